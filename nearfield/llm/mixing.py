@@ -6,6 +6,7 @@ import heapq
 import re
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,23 +150,22 @@ def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Meets the plan of mix() with the texts by a row number, in one shuffle. Rows whose words aren't taken go; n_chars,
     if there, is counted again. A document without words is in no mix.
     """
-    import pandas as pd
-
     numbered = docs.withColumn("row_", F.xxhash64(id_col, text_col, source_col))
     taken = mix(numbered.select(F.struct(F.col(id_col), F.col("row_")).alias("key"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), size_of(F.col("text")), "key", "source", **how)
-    taken = taken.where("taken > 0").select(F.col("key.row_").alias("row_"), "full", "first", "one", "two")
+    taken = taken.where("taken > 0").select(F.col("key.row_").alias("row_"), "size", "full", "first", "one", "two")
     # equal rows share a number: each of them then stands for one of the plan's rows
     w = Window.partitionBy("row_").orderBy("row_")
+    # a part of all words is a whole copy
     parts = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("two").alias("n")), F.struct(F.col("first").alias("at"), F.col("one").alias("n"))), lambda p: p["n"] > 0)
     pieces = F.concat(F.array_repeat(F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("n")), F.col("full")), parts)
     left, right = numbered.withColumn("k_", F.row_number().over(w)), taken.withColumn("k_", F.row_number().over(w))
-    out = left.join(right, ["row_", "k_"]).withColumn("piece_", F.explode(pieces))
+    out = left.join(right.withColumnRenamed("size", "size_"), ["row_", "k_"]).withColumn("piece_", F.explode(pieces))
 
     @F.pandas_udf("string")
     def part(text: pd.Series, at: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_words(t, int(a), int(k)) for t, a, k in zip(text, at, n, strict=True)], dtype=object)
 
-    at = F.col("piece_.at")
+    at = F.when(F.col("piece_.n") == F.col("size_"), -1).otherwise(F.col("piece_.at"))
     out = out.withColumn(text_col, F.when(at < 0, F.col(text_col)).otherwise(part(F.when(at >= 0, F.col(text_col)), at, F.col("piece_.n"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast("long"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from nearfield.llm.chat import OP10_SQL, op10_chat
 from nearfield.llm.decontaminate import OP6_SQL, op6_decontamination
+from nearfield.llm.lattice import op2_lattice
 from nearfield.llm.line_dedup import OP5_SQL, op5_line_dedup
 from nearfield.llm.mixing import op9_mixing
+from nearfield.llm.near_join import op8_near_join
 from nearfield.llm.quality import op7_quality
 from nearfield.llm.token_counts import op4_token_counts
+from nearfield.llm.token_file import op3_token_file
 from nearfield.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_token_counts, op5_line_dedup, op6_decontamination, op7_quality, op9_mixing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lattice, op3_token_file, op4_token_counts, op5_line_dedup, op6_decontamination, op7_quality, op8_near_join, op9_mixing, op10_chat)}
 SQL = {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat": OP10_SQL}

@@ -43,7 +43,7 @@ class Shingler:
 
         class Known(dict):
             def __missing__(self, w: bytes) -> int:
-                if len(self) > 500_000:
+                if len(self) > 250_000:
                     self.clear()
                 v = self[w] = digest(w)
                 return v
@@ -114,8 +114,8 @@ def candidate_edges(reps: DataFrame, trees: int, depth: int, alike: float) -> Da
 
     Each tree's labels are sorted; the texts that share a prefix of `depth` lie side by side, those with longer common
     prefixes nearest. They stream by: a text is tied to each earlier leader of its bucket whose sketch agrees in `alike`
-    of its places, and becomes a leader if there is none. So a bucket of copies makes a star, not all its pairs, and the
-    memory is that of the leaders.
+    of its places, and becomes a leader if there is none. Of these ties a bucket sends a spanning forest: a row each at
+    most, not all its pairs. The memory is that of the leaders.
     """
 
     def label(batches: Iterator) -> Iterator:
@@ -138,24 +138,33 @@ def candidate_edges(reps: DataFrame, trees: int, depth: int, alike: float) -> Da
     def tie(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, leaders, count, names = None, np.empty((16, SKETCH), dtype=np.uint8), 0, []
+        now, leaders, count, names, root = None, np.empty((16, SKETCH), dtype=np.uint8), 0, [], {}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
         for batch in batches:
             u, v = [], []
             sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
             for row, key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sketches, strict=True):
                 if key != now:
-                    now, count, names = key, 0, []
+                    now, count, names, root = key, 0, [], {}
                 if count:
                     near = np.flatnonzero((leaders[:count] == s).sum(1) >= alike * SKETCH)
                     if len(near):
-                        u += [row] * len(near)
-                        v += [names[i] for i in near]
+                        tops = sorted({top(names[i]) for i in near})
+                        u += [row, *tops[1:]]
+                        v += tops[:1] * len(tops)
+                        root.update(dict.fromkeys(tops, tops[0]))
                         continue
                 if count == len(leaders):
                     leaders = np.concatenate([leaders, np.empty_like(leaders)])
                 leaders[count] = s
                 count += 1
                 names.append(row)
+                root[row] = row
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     labels = reps.mapInArrow(label, "row long, key long, rest long, sketch binary")

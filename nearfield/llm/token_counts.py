@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from nearfield.llm.common import byte_batches, table, texts_of
 
 #: Entries that a worker keeps of the lengths of parts it has met.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 _PARTS = re.compile(rb" *[^ ]+(?: +\Z)?")
 _BREAK = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")

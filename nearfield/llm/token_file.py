@@ -14,7 +14,7 @@ from nearfield.llm.common import byte_batches, scratch, table, texts_of
 from nearfield.llm.range_coder import BLOCK_IDS, decode_blocks, encode_blocks, split_blocks
 
 #: Entries that a worker keeps of the ids of words it has met.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Ids that a worker codes at a time: some two thousand blocks side by side.
 GROUP_IDS = 4 << 20
 #: A segment is closed at so many ids; it holds whole documents, however long.

@@ -41,6 +41,47 @@ def centroid_sums(assigned: DataFrame, d: int, weight: Column | None = None, col
     return assigned.groupBy("list_no").agg(F.sum(w).alias("w"), F.count("*").alias("n"), *[F.sum(x[i] * w).alias(f"x{i}") for i in range(d)])
 
 
+#: Numbers that a task may send to the driver in a round of Lloyd's algorithm; beyond, lists are summed by a shuffle.
+SUMS = 1 << 20
+
+
+def lloyd_sums(vectors: DataFrame, books: list[np.ndarray], ip: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each book of centroids over its slice of the dimensions: weights, counts and sums of the vectors nearest to
+    each centroid. vectors has embedding and, if weighted, w. One map, whose tasks send sums only."""
+    sent = vectors.sparkSession.sparkContext.broadcast(books)
+    weighted = "w" in vectors.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        books = sent.value
+        total = [np.zeros((len(c), c.shape[1] + 2)) for c in books]
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
+            w = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64) if weighted else np.ones(n)
+            first = 0
+            for t, c in zip(total, books, strict=True):
+                y = x[:, first : first + c.shape[1]]
+                first += c.shape[1]
+                at = (-(y @ c.T) if ip else (c * c).sum(1)[None] - 2 * y @ c.T).argmin(1)
+                t[:, 0] += np.bincount(at, weights=w, minlength=len(c))
+                t[:, 1] += np.bincount(at, minlength=len(c))
+                for j in range(c.shape[1]):
+                    t[:, 2 + j] += np.bincount(at, weights=w * y[:, j], minlength=len(c))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([t.ravel() for t in total]).tolist()], pa.list_(pa.float64()))], ["s"])
+
+    flat = sum(np.array(r[0]) for r in vectors.select("embedding", *["w"] * weighted).mapInArrow(run, "s array<double>").toLocalIterator())
+    out, at = [], 0
+    for c in books:
+        t = flat[at : at + c.size + 2 * len(c)].reshape(len(c), -1)
+        at += t.size
+        out.append((t[:, 0], t[:, 1], t[:, 2:]))
+    return out
+
+
 @dataclass
 class KMeans:
     """Lloyd's algorithm over a DataFrame. init: the k vectors of least hash, distinct rows. An empty list is split off a
@@ -61,7 +102,8 @@ class KMeans:
             n = x.count()
             if n > self.k * self.max_points_per_centroid:
                 x = x.sample(self.k * self.max_points_per_centroid / n, seed=self.seed)
-        x = x.persist()
+        x = (x.select(F.col(col).alias("embedding")) if weight is None else x.select(F.col(col).alias("embedding"), weight.alias("w"))).persist()
+        col = "embedding"
         if init is None:
             init = np.array([r[0] for r in x.select(col, F.xxhash64(F.lit(self.seed), col).alias("h")).dropDuplicates(["h"]).orderBy("h").limit(self.k).select(col).collect()], dtype=np.float64)
         c = np.array(init, dtype=np.float64)
@@ -70,13 +112,15 @@ class KMeans:
             frozen = len(self.frozen)
             c = np.concatenate([self.frozen, c])[: self.k]
         for _ in range(self.niter):
-            rows = centroid_sums(assign(x, c, self.spherical, col), c.shape[1], weight, col).collect()
-            n = np.zeros(len(c))
             new = c.copy()
-            for r in rows:
-                n[r["list_no"]] = r["n"]
-                if r["list_no"] >= frozen and r["w"] > 0:
-                    new[r["list_no"]] = np.array(r[3:]) / r["w"]
+            if c.size <= SUMS:
+                ((w, n, sums),) = lloyd_sums(x, [c], self.spherical)
+            else:
+                w, n, sums = np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)
+                for r in centroid_sums(assign(x, c, self.spherical), c.shape[1], None if weight is None else F.col("w")).toLocalIterator():
+                    w[r["list_no"]], n[r["list_no"]], sums[r["list_no"]] = r["w"], r["n"], r[3:]
+            own = (w > 0) & (np.arange(len(c)) >= frozen)
+            new[own] = sums[own] / w[own, None]
             splits = self.split(new, n, frozen)
             if self.spherical:
                 new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-30)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import doubles
-from nearfield.operators.cluster import KMeans
+from nearfield.operators.cluster import KMeans, lloyd_sums
 
 
 class Codec:
@@ -126,13 +126,19 @@ class ProductQuantizer(Codec):
     books: np.ndarray | None = None  # (m, ksub, dsub)
 
     def fit(self, vectors: DataFrame, niter: int = 8) -> ProductQuantizer:
-        d = vectors.select(F.size("embedding")).first()[0]
-        w, k = d // self.m, 1 << self.nbits
-        books = []
-        for j in range(self.m):
-            c = KMeans(k, niter).fit(vectors.select(F.slice("embedding", j * w + 1, w).alias("embedding")))
-            books.append(np.concatenate([c, np.full((k - len(c), w), 1e15)]) if len(c) < k else c)  # fewer distinct parts than centroids
-        self.books = np.stack(books)
+        """k-means of all slices at once, a map a round, from the vectors of least hash."""
+        x = vectors.select("embedding").persist()
+        k = 1 << self.nbits
+        start = np.array([r[0] for r in x.select("embedding", F.xxhash64("embedding").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(k).select("embedding").collect()], dtype=np.float64)
+        books = np.split(start, self.m, axis=1)
+        helper = KMeans(k)
+        for _ in range(niter):
+            for j, (_w, n, sums) in enumerate(lloyd_sums(x, books)):
+                books[j] = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], books[j])
+                helper.split(books[j], n.copy(), 0)
+        x.unpersist()
+        far = np.full((k - len(start), start.shape[1] // self.m), 1e15)  # fewer distinct vectors than centroids
+        self.books = np.stack([np.concatenate([c, far]) for c in books])
         return self
 
     def tables(self, q: np.ndarray) -> np.ndarray:

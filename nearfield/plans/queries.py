@@ -245,7 +245,7 @@ def _fixed_ivf(spark, sf) -> tuple[IVF, DataFrame]:
 def _ivf_sql(limit: str = "TRUE") -> str:
     d = "list_sum(list_transform(range(1, len(w.q) + 1), lambda i: (w.q[i] - v.v[i]) * (w.q[i] - v.v[i])))"
     p = "pr AS (SELECT query_id, list_no, row_number() OVER (PARTITION BY query_id ORDER BY round(list_sum(list_transform(range(1, len(w) + 1), lambda i: (w[i] - c[i]) * (w[i] - c[i]))), 9), list_no) AS probe FROM (SELECT query_id, q AS w FROM q) s, (SELECT list_no, q AS c FROM c) t)"
-    return f"WITH {_KM}, {p}, x AS (SELECT a.list_no, a.vec_id, v.v, row_number() OVER (PARTITION BY a.list_no ORDER BY a.vec_id) AS at, count(*) OVER (PARTITION BY a.list_no) AS n FROM a JOIN v USING (vec_id)), b AS (SELECT pr.*, coalesce(sum(s.n) OVER (PARTITION BY query_id ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pr JOIN (SELECT DISTINCT list_no, n FROM x) s USING (list_no) WHERE probe <= 4), r AS (SELECT w.query_id, v.vec_id, round({d}, 6) AS distance FROM b JOIN x v USING (list_no) JOIN q w ON w.query_id = b.query_id WHERE {limit}), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM z WHERE rank <= 10"
+    return f"WITH {_KM}, {p}, x AS (SELECT a.list_no, a.vec_id, v.v, row_number() OVER (PARTITION BY a.list_no ORDER BY a.vec_id) AS pos, count(*) OVER (PARTITION BY a.list_no) AS n FROM a JOIN v USING (vec_id)), b AS (SELECT pr.*, coalesce(sum(s.n) OVER (PARTITION BY query_id ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pr JOIN (SELECT DISTINCT list_no, n FROM x) s USING (list_no) WHERE probe <= 4), r AS (SELECT w.query_id, v.vec_id, round({d}, 6) AS distance FROM b JOIN x v USING (list_no) JOIN q w ON w.query_id = b.query_id WHERE {limit}), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM z WHERE rank <= 10"
 
 
 @query(_ivf_sql())
@@ -254,7 +254,7 @@ def ivf_flat(spark, sf):
     return index.search(q, 10, 4)
 
 
-@query(_ivf_sql("at <= 100 - before"))
+@query(_ivf_sql("pos <= 100 - before"))
 def ivf_max_codes(spark, sf):
     index, q = _fixed_ivf(spark, sf)
     return index.search(q, 10, 4, max_codes=100)

@@ -66,8 +66,9 @@ def text_stats(docs: DataFrame, text_col: str = "text", window: int = 5) -> Data
     return out.select(*[c for c in docs.columns if c != text_col and c not in counts], *[v.alias(k) for k, v in counts.items()])
 
 
-def base_failed(n_words: Column = F.col("n_words"), n_repeat: Column = F.col("n_repeat_words")) -> Column:
-    return (n_words < 10) | (100 * n_repeat > 20 * n_words)
+def base_failed() -> Column:
+    """Of the columns of text_stats(): fewer than 10 words, or more than a fifth of them in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 @dataclass

@@ -56,7 +56,8 @@ class Pieces:
     """Log probabilities of the pieces, a column for each class of texts.
 
     index: a row of logp for each piece, "^" + piece for a word's first one and "+" + piece for later ones; bytes, which
-    spell characters that no piece holds, are "^\\0" + byte and "+\\0" + byte. The last row is no piece at all. A first
+    spell characters that no piece holds, are "^\\0" + byte and "+\\0" + byte. Row `none` is no piece at all, and rows of
+    characters spelled in bytes come behind it, so that no row changes its number. A first
     piece is drawn from one distribution, each later one from another until the word's end is drawn, so the
     probabilities of all words sum to at most 1 in every class.
     """
@@ -65,6 +66,7 @@ class Pieces:
     logp: np.ndarray
     end: np.ndarray
     longest: int
+    none: int
 
     @classmethod
     def of(cls, names: list[str], weight: np.ndarray, end: np.ndarray) -> Pieces:
@@ -72,29 +74,29 @@ class Pieces:
         first = np.array([n[0] == "^" for n in names])
         later = weight[~first].sum(0) + end
         logp = np.where(first[:, None], np.log(weight) - np.log(weight[first].sum(0)), np.log(weight) - np.log(later))
-        return cls({n: i for i, n in enumerate(names)}, np.vstack([logp, np.full(weight.shape[1], NONE)]), np.log(end) - np.log(later), max(len(n) - 1 for n in names))
+        return cls({n: i for i, n in enumerate(names)}, np.vstack([logp, np.full(weight.shape[1], NONE)]), np.log(end) - np.log(later), max(len(n) - 1 for n in names), len(names))
 
     def lattice(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """The arcs of words of one length: (start, end) to each word's row of logp. Places with no piece in any word are
         left out; a character without a piece of its own gets a row appended that spells it in bytes."""
-        n, none, get = len(words[0]), len(self.logp) - 1, self.index.get
+        n, none, get = len(words[0]), self.none, self.index.get
         out = {}
         for e in range(1, n + 1):
             for s in range(max(0, e - self.longest), e):
                 sign = "^" if s == 0 else "+"
                 rows = [get(sign + w[s:e], none) for w in words]
                 if s == e - 1 and none in rows:
-                    rows = [self.spelled(sign, w[s:e]) if r == none else r for r, w in zip(rows, words, strict=True)]
-                if e - s == 1 or min(rows) < none:
+                    rows = [get(sign + w[s:e]) or self.spelled(sign, w[s:e]) if r == none else r for r, w in zip(rows, words, strict=True)]
+                if e - s == 1 or any(r != none for r in rows):
                     out[s, e] = np.array(rows)
         return out
 
     def spelled(self, sign: str, c: str) -> int:
         raw = c.encode()
         row = self.logp[self.index[sign + "\0" + chr(raw[0])]] + sum(self.logp[self.index["+\0" + chr(b)]] for b in raw[1:])
-        self.logp = np.vstack([self.logp[:-1], row, self.logp[-1]])
-        self.index[sign + c] = len(self.logp) - 2
-        return len(self.logp) - 2
+        self.logp = np.vstack([self.logp, row])
+        self.index[sign + c] = len(self.logp) - 1
+        return len(self.logp) - 1
 
 
 def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:

@@ -89,7 +89,12 @@ def test_lattice_sums_all_segmentations():
         assert math.exp(lattice.log_probabilities([w], p)[0, 0]) == pytest.approx(brute(w))
     got = lattice.expected_counts(["abab"], np.ones((1, 1)), p)
     assert got[p.index["^a"], 0] + got[p.index["^ab"], 0] == pytest.approx(1)
-    assert np.isfinite(lattice.log_probabilities(["日b"], p)).all()
+    alone = lattice.log_probabilities(["日b"], p)[0, 0]
+    assert alone == pytest.approx(sum(p.logp[p.index[k], 0] for k in ("^\0" + chr(0xE6), "+\0" + chr(0x97), "+\0" + chr(0xA5), "+b")) + p.end[0])
+    # characters spelled in bytes leave the other words of a group as they were
+    words = ["日b", "ab", "b本", "語日", "本b"]
+    assert lattice.log_probabilities(words, p)[:, 0] == pytest.approx([lattice.log_probabilities([w], p)[0, 0] for w in words])
+    assert math.exp(lattice.log_probabilities(["ab", "本語"], p)[0, 0]) == pytest.approx(brute("ab"))
 
 
 def test_lattice_base_scores(docs):

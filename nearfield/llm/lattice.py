@@ -67,6 +67,8 @@ class Pieces:
     end: np.ndarray
     longest: int
     none: int
+    first: dict[str, int]
+    later: dict[str, int]
 
     @classmethod
     def of(cls, names: list[str], weight: np.ndarray, end: np.ndarray) -> Pieces:
@@ -74,20 +76,21 @@ class Pieces:
         first = np.array([n[0] == "^" for n in names])
         later = weight[~first].sum(0) + end
         logp = np.where(first[:, None], np.log(weight) - np.log(weight[first].sum(0)), np.log(weight) - np.log(later))
-        return cls({n: i for i, n in enumerate(names)}, np.vstack([logp, np.full(weight.shape[1], NONE)]), np.log(end) - np.log(later), max(len(n) - 1 for n in names), len(names))
+        return cls({n: i for i, n in enumerate(names)}, np.vstack([logp, np.full(weight.shape[1], NONE)]), np.log(end) - np.log(later), max(len(n) - 1 for n in names), len(names), *({n[1:]: i for i, n in enumerate(names) if n[0] == sign} for sign in "^+"))
 
     def lattice(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """The arcs of words of one length: (start, end) to each word's row of logp. Places with no piece in any word are
         left out; a character without a piece of its own gets a row appended that spells it in bytes."""
-        n, none, get = len(words[0]), self.none, self.index.get
+        n, none = len(words[0]), self.none
         out = {}
         for e in range(1, n + 1):
             for s in range(max(0, e - self.longest), e):
-                sign = "^" if s == 0 else "+"
-                rows = [get(sign + w[s:e], none) for w in words]
+                sign, own = ("+", self.later) if s else ("^", self.first)
+                get = own.get
+                rows = [get(w[s:e], none) for w in words]
                 if s == e - 1 and none in rows:
-                    rows = [get(sign + w[s:e]) or self.spelled(sign, w[s:e]) if r == none else r for r, w in zip(rows, words, strict=True)]
-                if e - s == 1 or any(r != none for r in rows):
+                    rows = [get(w[s:e]) or self.spelled(sign, w[s:e]) if r == none else r for r, w in zip(rows, words, strict=True)]
+                if e - s == 1 or min(rows) < none:  # only single characters are spelled in bytes
                     out[s, e] = np.array(rows)
         return out
 
@@ -95,7 +98,7 @@ class Pieces:
         raw = c.encode()
         row = self.logp[self.index[sign + "\0" + chr(raw[0])]] + sum(self.logp[self.index["+\0" + chr(b)]] for b in raw[1:])
         self.logp = np.vstack([self.logp, row])
-        self.index[sign + c] = len(self.logp) - 1
+        self.index[sign + c] = (self.later if sign == "+" else self.first)[c] = len(self.logp) - 1
         return len(self.logp) - 1
 
 
@@ -145,10 +148,14 @@ def expected_counts(words: list[str], members: np.ndarray, pieces: Pieces) -> np
             alpha.append(_log_sum([alpha[s] + p[lattice[s, e]] for s in range(max(0, e - pieces.longest), e) if (s, e) in lattice]))
         for s in range(n - 1, 0, -1):
             beta[s] = _log_sum([beta[e] + p[lattice[s, e]] for e in range(s + 1, min(n, s + pieces.longest) + 1) if (s, e) in lattice])
-        for (s, e), rows in lattice.items():
-            w = np.exp(alpha[s] + p[rows] + beta[e] - alpha[n])
-            for z in range(members.shape[1]):
-                total[:, z] += np.bincount(rows, weights=w * members[own, z], minlength=len(total))
+        # each arc's probability in each word that has it; one sum of all arcs for each class
+        met = [(rows, np.exp(alpha[s] + p[rows] + beta[e] - alpha[n])) for (s, e), rows in lattice.items()]
+        rows, weight = (np.concatenate(x) for x in zip(*met, strict=True))
+        word = np.tile(own, len(met))
+        some = np.flatnonzero(rows != pieces.none)
+        rows, weight, word = rows[some], weight[some], word[some]
+        for z in range(members.shape[1]):
+            total[:, z] += np.bincount(rows, weights=weight * members[word, z], minlength=len(total))
     return total
 
 

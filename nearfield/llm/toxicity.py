@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import fold, stored, table, texts_of
+from nearfield.llm.common import byte_batches, fold, stored, table, texts_of
 
 # What a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
@@ -263,8 +263,9 @@ def fit_characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         total = np.zeros(N**_ORDER, dtype=np.int64)
         for batch in batches:
-            if texts := _fold_rows(batch, 1, folds, held, True):
-                total += gram_counts(texts)
+            texts = _fold_rows(batch, 1, folds, held, True)
+            for a, b in byte_batches(texts, 2 << 20):  # counting takes some 25 bytes for each byte of text
+                total += gram_counts(texts[a:b])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["g", "n"])
 

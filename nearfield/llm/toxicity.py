@@ -264,7 +264,7 @@ def fit_characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = np.zeros(N**_ORDER, dtype=np.int64)
         for batch in batches:
             texts = _fold_rows(batch, 1, folds, held, True)
-            for a, b in byte_batches(texts, 2 << 20):  # counting takes some 25 bytes for each byte of text
+            for a, b in byte_batches(texts, 2 << 20):  # counting takes several times a text's size
                 total += gram_counts(texts[a:b])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["g", "n"])

@@ -169,7 +169,17 @@ def candidate_edges(reps: DataFrame, trees: int, depth: int, alike: float) -> Da
 
     labels = reps.mapInArrow(label, "row long, key long, rest long, sketch binary")
     dealt = labels.repartition("key").sortWithinPartitions("key", "rest", "row")
-    return dealt.mapInArrow(tie, "u long, v long").distinct()
+    return stars(dealt.mapInArrow(tie, "u long, v long"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Distinct (u, v) pairs that connect what edges connect. Each u keeps the edge to its least neighbour, on which its
+    others are hung, so the ties of a group to leaders that differ by tree fall together. A u has one edge a tree, as
+    a row stands in one bucket of each and is tied there once, so the set gathered for one is bounded."""
+    near = edges.where("u <> v").groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    hung = F.transform(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), lambda x: F.struct(F.element_at("vs", 1).alias("u"), x.alias("v")))
+    every = F.concat(F.array(F.struct("u", F.element_at("vs", 1).alias("v"))), hung)
+    return near.select(F.explode(every).alias("e")).select("e.u", "e.v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -200,6 +200,22 @@ def test_near_join_equals_brute_force(docs):
     assert got == sorted(want)
 
 
+def test_stars_connect_what_edges_connect(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(u), int(v)) for u, v in rng.integers(0, 60, (70, 2))] + [(100 + i, 200 + t) for i in range(50) for t in range(4)] + [(7, 7)]
+
+    def parts(pairs):
+        least = {x: x for e in edges for x in e}
+        for _ in least:
+            for u, v in pairs:
+                least[u] = least[v] = min(least[u], least[v])
+        return least
+
+    got = [tuple(r) for r in near_join.stars(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert parts(got) == parts(edges)
+    assert sum(u >= 100 for u, _ in got) == 50 + 3
+
+
 def test_seats_go_to_the_highest_quotients():
     rng = random.Random(5)
     for _ in range(200):

@@ -30,9 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word Jaccard similarity of at least 0.8 connect."""
-    rows = _keyed(docs)
-    gone = stored(near_duplicates(rows, id_col="row_").where("not kept").select("row_"), "copies")
+    """One document of each group that links of five-word Jaccard similarity of at least 0.8 connect: that of the least
+    id, null last, whatever the order of the rows."""
+    rows = _keyed(docs).withColumn("key_", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_"))
+    gone = stored(near_duplicates(rows, id_col="key_").where("not kept").select("key_.row_"), "copies")
     return rows.join(gone, "row_", "left_anti").select(*docs.columns)
 
 

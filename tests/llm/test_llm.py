@@ -200,6 +200,16 @@ def test_near_join_equals_brute_force(docs):
     assert got == sorted(want)
 
 
+def test_pipeline_keeps_the_same_copies_in_any_order(spark, docs):
+    import corpus_pipeline
+
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    orders = [common.stored(some.orderBy(o), "order") for o in (F.asc("doc_id"), F.desc("doc_id"))]
+    one, two = (sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, d, "").collect()) for d in orders)
+    assert one == two
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").columns == docs.columns
+
+
 def test_stars_connect_what_edges_connect(spark):
     rng = np.random.default_rng(4)
     edges = [(int(u), int(v)) for u, v in rng.integers(0, 60, (70, 2))] + [(100 + i, 200 + t) for i in range(50) for t in range(4)] + [(7, 7)]

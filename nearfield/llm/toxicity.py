@@ -46,7 +46,7 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 class Decoder:
     """The likeliest intended string behind a written span, under the channel and the character model."""
 
-    KEEP, SWAP, DROP, REPEAT, GAP = (math.log(x) for x in (0.05, 0.8, 0.02, 0.3, 0.95))
+    KEEP, SWAP, DROP, REPEAT, GAP, END = (math.log(x) for x in (0.05, 0.8, 0.02, 0.3, 0.95, 0.9))
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
@@ -60,8 +60,9 @@ class Decoder:
             out = self.known[span, spaced] = self.decode(span, spaced)
         return out
 
-    def arcs(self, ch: str, before: str, run: int, spaced: bool) -> list[tuple[str, int, float]]:
-        """(written out, its symbol or -1 for none, log channel probability) of a lattice position."""
+    def arcs(self, ch: str, before: str, run: int, spaced: bool, ends: bool = False) -> list[tuple[str, int, float]]:
+        """(written out, its symbol or -1 for none, log channel probability) of a lattice position. ends: nothing but
+        marks of sentences follow, so that the character may be one as well, beside the word."""
         ch = HOMOGLYPHS.get(ch, ch)
         if spaced and not ch.isalnum() and ch not in LEET:
             return [("", -1, self.GAP), (" ", 0, math.log(1 - math.exp(self.GAP)))]
@@ -69,7 +70,7 @@ class Decoder:
             own = [(ch, ord(ch) - 96, 0.0 if run < 3 else 3 * self.DROP)]
         elif ch in LEET:
             own = [(x, ord(x) - 96, self.SWAP - math.log(len(LEET[ch]))) for x in LEET[ch]]
-            own += [(ch, 28, self.KEEP), ("", -1, self.DROP)]
+            own += [(ch, 28, self.KEEP), (ch, -1, self.END) if ends else ("", -1, self.DROP)]
         else:
             own = [(ch, 27 if ord(ch) >= 128 else 28, 0.0)]
         if ch == before:
@@ -80,13 +81,14 @@ class Decoder:
         model, size = self.model, N**3
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         before, run = "", 0
-        for ch in span:
+        end = len(span) if spaced else word_end(span)
+        for i, ch in enumerate(span):
             run = run + 1 if ch == before else 1
             after: dict[int, tuple[float, tuple]] = {}
-            for text, symbol, cost in self.arcs(ch, before, run, spaced):
+            for text, symbol, cost in self.arcs(ch, before, run, spaced, i >= end):
                 for h, (p, path) in states.items():
                     if symbol < 0:
-                        to, q, way = h, p + cost, path
+                        to, q, way = h, p + cost, (path, text) if text else path
                     else:
                         g = h * N + symbol
                         to, q, way = g % size, p + cost + model[g], (path, text)
@@ -100,13 +102,29 @@ class Decoder:
         while path:
             path, text = path
             out.append(text)
-        return "".join(reversed(out))
+        out = "".join(reversed(out))
+        # with the marks at the end read as marks, a word that has no choice itself stays as written
+        return span if end < len(span) and out.endswith(span[end:]) and not _NOISE.search(span[:end]) else out
 
 
 _MARKS = re.escape("".join(x for x in LEET if not x.isdigit()))
-#: Spans whose lattice has more than one path: single characters with gaps; a stand-in before a letter; a letter thrice.
-_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z0-9{_MARKS}]([ .\-_*])(?:\1)?){{3,}}[a-z0-9{_MARKS}](?![^\W_])")
-_NOISY = re.compile(rf"[a-z]*(?:[0-9{_MARKS}][a-z]|([a-z])\1\1|[а-џα-ω][a-z]|[a-z][а-џα-ω])[^\W_]*(?:[{_MARKS}]+[^\W_]+)*")
+#: Stand-ins that may also end a sentence, a cell or a term after a word.
+_ENDING = "!|+(<"
+#: Spans whose lattice has more than one path: three or more single characters with gaps (with a letter if just three); a
+#: whole word, marks included, of a letter and a stand-in, a homoglyph or a letter thrice. A letter twice is spelling.
+_SPACED = re.compile(rf"(?<![^\W_])(?:(?:[a-z0-9{_MARKS}]([ .\-_*])(?:\1)?){{3,}}|(?=[^a-z]{{0,6}}[a-z])(?:[a-z0-9{_MARKS}]([ .\-_*])(?:\2)?){{2}})[a-z0-9{_MARKS}](?![^\W_])")
+_WORD = re.compile(rf"(?:[^\W_]|[{_MARKS}])+")
+
+
+def word_end(span: str) -> int:
+    """Where marks begin that may stand after the word: those of sentences, and any thrice or more."""
+    end = len(span.rstrip(_ENDING))
+    last = span[end - 1 : end]
+    return len(span[:end].rstrip(last)) if last and last * 3 == span[end - 3 : end] and last in LEET and not last.isdigit() else end
+
+
+_LATIN = re.compile(r"[a-z]")
+_NOISE = re.compile(rf"[0-9{_MARKS}{''.join(HOMOGLYPHS)}]|([a-z])\1\1")
 _ODD = re.compile(r"[​-‏⁠﻿­]")
 _WIDE = re.compile(r"[！-～\U0001d400-\U0001d7ff]")
 _WORDS = re.compile(r"[^\W_]+")
@@ -115,8 +133,9 @@ _WORDS = re.compile(r"[^\W_]+")
 _B = np.arange(256)
 _LETTER = (_B >= 97) & (_B <= 122)
 _STAND = np.isin(_B, [ord(x) for x in LEET if x.isascii()])
-_GAP = np.isin(_B, list(b" .-_*"))
-_FOREIGN = np.isin(_B, [0xCE, 0xCF, 0xD0, 0xD1, 0xD4, 0xE2, 0xC2])  # lead bytes of homoglyphs and of € £ ¡
+_MARK = np.isin(_B, [0xE2, 0xC2])  # of € £ ¡ alone
+_ALNUM = _LETTER | ((_B >= 48) & (_B <= 57))
+_FOREIGN = np.isin(_B, [0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD4, 0xE2, 0xC2])  # lead bytes of homoglyphs and of € £ ¡
 
 
 _BLANK = np.isin(_B, list(b" \t\n\x0b\x0c\r"))
@@ -126,31 +145,36 @@ def choices(text: bytes) -> list[tuple[int, int]]:
     """The stretches of a lower-cased text, whole words each, where a span can have more than one path; most texts have
     none and stay as they are."""
     b = np.frombuffer(text, dtype=np.uint8)
-    if len(b) < 3:
+    if len(b) < 2:
         return []
     letter, stand = _LETTER[b], _STAND[b]
-    hot = np.zeros(len(b), dtype=bool)
-    hot[1:] = stand[:-1] & letter[1:]
-    hot |= _FOREIGN[b]
+    hot = stand | _FOREIGN[b]
     hot[2:] |= letter[2:] & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])
-    gap = np.concatenate(([True], _GAP[b], [True]))
-    alone = np.flatnonzero((letter | stand) & gap[:-2] & gap[2:])  # a character between gaps; four near one another
-    if len(alone) > 3:
-        near = alone[3:] - alone[:-3] <= 9
-        for k in range(4):
-            hot[alone[k : len(alone) - 3 + k][near]] = True
-    at = np.flatnonzero(hot)
+    edge = np.concatenate(([True], ~_ALNUM[b], [True]))
+    alone = np.flatnonzero((letter | stand | _MARK[b]) & edge[:-2] & edge[2:])  # a single character; three near one another
+    spaced = np.zeros(len(b), dtype=bool)
+    if len(alone) > 2:
+        near = alone[2:] - alone[:-2] <= (6 if text.isascii() else 10)
+        for k in range(3):
+            spaced[alone[k : len(alone) - 2 + k][near]] = True
+    at = np.flatnonzero(hot | spaced)
     if not len(at):
         return []
     blank = np.concatenate(([-1], np.flatnonzero(_BLANK[b]), [len(b)]))
     k = np.searchsorted(blank, at)
-    starts, ends = blank[k - 1] + 1, blank[np.minimum(k, len(blank) - 1)]
+    starts, ends = blank[k - 1] + 1, blank[k]
+    letters = np.concatenate(([0], np.cumsum(letter)))
+    use = spaced[at] | (letters[ends] > letters[starts])
+    if not use.any():
+        return []
+    starts, ends = starts[use], ends[use]
     first = np.concatenate(([True], starts[1:] > ends[:-1] + 2))
     return list(zip(starts[first].tolist(), np.maximum.reduceat(ends, np.flatnonzero(first)).tolist(), strict=True))
 
 
 def restore(text: str, decoder: Decoder) -> tuple[str, int]:
-    """The lower-cased text with each obfuscated span decoded; how many were. A span without choice is left alone."""
+    """The lower-cased text with each obfuscated span decoded; how many were. A span without choice is left alone,
+    and so are words without a Latin letter."""
     t = text.lower()
     if not t.isascii():
         if _ODD.search(t):
@@ -167,6 +191,8 @@ def restore(text: str, decoder: Decoder) -> tuple[str, int]:
         def put(m: re.Match) -> str:
             nonlocal n
             s = m.group()
+            if not spaced and not (_LATIN.search(s) and _NOISE.search(s)):
+                return s
             out = decoder(s, spaced)
             n += out != s
             return out
@@ -175,7 +201,7 @@ def restore(text: str, decoder: Decoder) -> tuple[str, int]:
 
     out, last = [], 0
     for a, e in stretches:
-        out += [raw[last:a].decode(), _NOISY.sub(one(False), _SPACED.sub(one(True), raw[a:e].decode()))]
+        out += [raw[last:a].decode(), _WORD.sub(one(False), _SPACED.sub(one(True), raw[a:e].decode()))]
         last = e
     return "".join([*out, raw[last:].decode()]), n
 

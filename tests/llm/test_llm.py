@@ -68,6 +68,15 @@ def test_decoding_restores_written_words():
     assert toxicity.restore("plain words, left alone!", d) == ("plain words, left alone!", 0)
 
 
+def test_stand_ins_in_a_row_and_at_the_end_are_decoded():
+    text = b"a loser is an idiot and a fool says shit to an asshole or an ass and the ass bit a dog " * 200
+    d = toxicity.Decoder(toxicity.log_model(toxicity.gram_counts([text])))
+    for written, meant in (("id107", "idiot"), ("sh17", "shit"), ("shi+", "shit"), ("a55", "ass"), ("a$$", "ass"), ("a55hole", "asshole"), ("l053r", "loser"), ("f00l!", "fool!"), ("іԁiot", "idiot"), ("аѕshole", "asshole"), ("d o g", "dog"), ("a\nd.o.g\n", "a\ndog\n"), ("(f o o l)", "(fool)")):
+        assert toxicity.restore(written, d)[0].lstrip("(") == meant.lstrip("("), written
+    for plain in ("the fool says, an idiot!", "1.2.3 and 107", "a dog!!", "a fool$$$", "annd!!"):
+        assert toxicity.restore(plain, d) == (plain, 0)
+
+
 def test_planted_insults_are_learned(spark):
     rng = random.Random(2)
     words = ["lo", "re", "mi", "fa", "nato", "kuse"]

@@ -39,15 +39,19 @@ def _best(pairs: DataFrame, k: int, greater: bool) -> DataFrame:
     return pairs.where(~F.isnan("distance")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
-def _pairs(queries: DataFrame, vectors: DataFrame, name: str, arg: float, digits: int | None) -> tuple[DataFrame, bool]:
-    f, greater = metric(name, arg)
-    d = f(F.col("q"), F.col("embedding"))
-    d = d if digits is None else F.round(d, digits)
-    blocks = [vectors.crossJoin(F.broadcast(b)).select("query_id", "vec_id", d.alias("distance")) for b in query_blocks(queries, dimension(vectors))]
+def _each(queries: DataFrame, vectors: DataFrame, distance: Column) -> DataFrame:
+    """The distances of all queries to all vectors, a broadcast for each block of queries."""
+    blocks = [vectors.crossJoin(F.broadcast(b)).select("query_id", "vec_id", distance.alias("distance")) for b in query_blocks(queries, dimension(vectors))]
     out = blocks[0]
     for b in blocks[1:]:
         out = out.unionByName(b)
-    return out, greater
+    return out
+
+
+def _pairs(queries: DataFrame, vectors: DataFrame, name: str, arg: float, digits: int | None) -> tuple[DataFrame, bool]:
+    f, greater = metric(name, arg)
+    d = f(F.col("q"), F.col("embedding"))
+    return _each(queries, vectors, d if digits is None else F.round(d, digits)), greater
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, name: str = "l2", arg: float = 2.0, selector: Column | None = None, digits: int | None = 6) -> DataFrame:
@@ -127,12 +131,12 @@ def sharded(queries: DataFrame, vectors: DataFrame, shards: int, k: int) -> Data
 
 
 def split_dimensions(queries: DataFrame, vectors: DataFrame, parts: int, k: int) -> DataFrame:
-    """Distances of slices of the dimensions, added up."""
-    d = dimension(vectors)
-    w = d // parts
+    """Distances of slices of the dimensions, added up; the first slices have one more where parts doesn't divide them."""
+    w, more = divmod(dimension(vectors), parts)
     f = metric("l2")[0]
-    total = sum((f(F.slice("q", i * w + 1, w), F.slice("embedding", i * w + 1, w)) for i in range(parts)), F.lit(0.0))
-    return _best(vectors.crossJoin(F.broadcast(query_blocks(queries, d)[0])).select("query_id", "vec_id", F.round(total, 6).alias("distance")), k, False)
+    cuts = [i * w + min(i, more) for i in range(parts + 1)]
+    total = sum((f(F.slice("q", a + 1, b - a), F.slice("embedding", a + 1, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b), F.lit(0.0))
+    return _best(_each(queries, vectors, F.round(total, 6)), k, False)
 
 
 def id_range(least: int, below: int) -> Column:

@@ -59,6 +59,14 @@ def test_arrow_equals_columns(v, q):
     assert sorted(a) == sorted(b)
 
 
+@pytest.mark.parametrize("parts", [4, 5, 20])
+def test_split_dimensions_search_all_queries_over_all_dimensions(v, q, parts, monkeypatch):
+    want = sorted(search.knn(q, v, 5).collect())
+    monkeypatch.setattr(search, "BLOCK_BYTES", 500)  # several blocks of the ten queries
+    assert len(search.query_blocks(q, 16)) > 2
+    assert sorted(search.split_dimensions(q, v, parts, 5).collect()) == want
+
+
 def test_ivf_probes_raise_recall(v, q, spark, tmp_path):
     index = IVF(12).fit(v).add(v)
     low, high, full = (mean_recall(index.search(q, 10, n), v, q) for n in (1, 4, 12))

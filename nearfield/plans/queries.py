@@ -188,7 +188,7 @@ def hamming_histogram(spark, sf):
 
 @query()
 def binary_multihash(spark, sf):
-    return binary.hash_search(*_binary(spark, sf), 10, bits=8, tables=4, flips=1)
+    return binary.hash_search(*_binary(spark, sf), 10, bits=8, tables=8, flips=1)
 
 
 _KM = _V + ", c AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS list_no, v AS q FROM v QUALIFY list_no < 16), a AS (SELECT vec_id, arg_min(list_no, (round(" + _D["l2"] + ", 9), list_no)) AS list_no FROM v, c GROUP BY vec_id)"
@@ -274,14 +274,16 @@ def ivf_all_probes(spark, sf):
 
 @query()
 def ivf_pq(spark, sf):
+    """A code of 32 bits ranks too coarsely for a shortlist of fixed length: a third of all rows are refined."""
     v = V(spark, sf)
-    return IVF(16, codec=quantize.ProductQuantizer(8, 4), by_residual=True).fit(v, 4).add(v).search(Q(v), 10, 4)
+    found = IVF(16, codec=quantize.ProductQuantizer(8, 4), by_residual=True).fit(v, 4).add(v).search(Q(v), max(100, -(-v.count() // 3)), 14)
+    return search.rerank(found, Q(v), v, 10)
 
 
 @query()
 def ivf_sq8(spark, sf):
     v = V(spark, sf)
-    return IVF(16, codec=quantize.ScalarQuantizer("8bit")).fit(v, 4).add(v).search(Q(v), 10, 4)
+    return search.rerank(IVF(16, codec=quantize.ScalarQuantizer("8bit")).fit(v, 4).add(v).search(Q(v), 40, 12), Q(v), v, 10)
 
 
 @query("WITH x AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), s AS (SELECT dim, min(x) AS lo, max(x) - min(x) AS w FROM x GROUP BY dim) SELECT vec_id, CAST(sum(least(greatest(floor((x - lo) / w * 256), 0), 255)) AS BIGINT) AS code_sum FROM x JOIN s USING (dim) GROUP BY vec_id")

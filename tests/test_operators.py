@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import vectors as fv
 from nearfield.operators import binary, cluster, declarative, evaluate, graph, quantize, search, transforms
 from nearfield.operators.ivf import IVF
+from nearfield.plans import queries
 from nearfield.plans.factory import Index, code_size, parse
 from nearfield.sources import vecs
 
@@ -165,3 +166,14 @@ def test_multihash_is_a_subset_with_high_recall(v):
     qs = b.where("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), F.col("words").alias("qw"))
     one = binary.hash_search(qs, b, 1, bits=4, tables=4)
     assert one.count() == qs.count() and one.where("distance > 0").count() == 0
+
+
+@pytest.mark.parametrize("name,exact", [("ivf_pq", "knn_l2"), ("ivf_sq8", "knn_l2"), ("binary_multihash", "hamming_knn")])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_index_searches_reach_their_recall(spark, name, exact, sf):
+    """Bits tie, so there the distance of the exact tenth counts as found; distances by codes say nothing."""
+    best = queries.QUERIES[exact](spark, f"/root/testdata/{sf}").collect()
+    rows = queries.QUERIES[name](spark, f"/root/testdata/{sf}").collect()
+    true, last = {(r["query_id"], r["vec_id"]) for r in best}, {r["query_id"]: r["distance"] for r in best if r["rank"] == 10}
+    assert len({(r["query_id"], r["vec_id"]) for r in rows}) == len(rows)
+    assert sum((r["query_id"], r["vec_id"]) in true or exact == "hamming_knn" and r["distance"] <= last[r["query_id"]] for r in rows) >= 0.9 * len(best)

@@ -26,6 +26,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors, gives true sizes."""
     path = scratch(df.sparkSession, what)
@@ -54,6 +60,25 @@ def byte_batches(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def pieces(batches: Iterator, text: int, limit: int = 2 << 20) -> Iterator:
+    """The batches in slices of about `limit` bytes of the text column each; a longer text is a slice of its own. What a
+    task makes of texts at a time so has a bound in bytes, not in rows."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.get_total_buffer_size() <= limit:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        start = held = 0
+        for i, n in enumerate(sizes):
+            if held and held + n > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield batch.slice(start)
+
+
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import table, texts_of
+from nearfield.llm.common import pieces, table, texts_of
 
 #: Words are runs of 0-9, a-z and everything beyond ASCII; A-Z are lower-cased, the rest becomes space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -143,7 +143,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             import pyarrow as pa
 
             windows = Windows(*sent.value)
-            for batch in batches:
+            for batch in pieces(batches, 2):
                 n, spans, items = [], [], []
                 for t in texts_of(batch.column(2)):
                     words = words_of(t)

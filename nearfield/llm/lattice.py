@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import fold, fold_column, stored, table, texts_of
+from nearfield.llm.common import fold, fold_column, pieces, stored, table, texts_of
 
 MARK = "▁"
 LOG10 = math.log(10.0)
@@ -218,7 +218,7 @@ def count_words(docs: DataFrame, classes: list[str], folds: int, held: int, most
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["word", "z", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for d, t, c in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 z = -1 if fold(d, folds) == held else at.get(c, len(at))
                 seen.setdefault(z, Counter()).update(words_in(t))
@@ -339,7 +339,7 @@ def score_texts(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: s
         at, near = known.value
         m = sent.value
         end = np.array([m.ends[-1] > 0, math.log10(m.ends[-1] + 1) - unit, *m.end()])
-        for batch in batches:
+        for batch in pieces(batches, 2):
             key, word, n, ids, out, tokens, own = [], [], [], [], [], [], []
             for i, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                 every = Counter(words_in(t))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
-from nearfield.llm.common import byte_batches, table, texts_of
+from nearfield.llm.common import byte_batches, pieces, table, texts_of
 
 #: Entries that a worker keeps of the lengths of parts it has met.
 CACHE_ENTRIES = 250_000
@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
             path = public_tokenizers.path(path)
         count = counter(path, longest)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = texts_of(batch.column(1))
             n = [c for a, b in byte_batches(texts, batch_bytes) for c in count(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

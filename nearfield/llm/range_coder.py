@@ -12,73 +12,107 @@ import numpy as np
 
 #: A block on disk: magic, number of ids, number of 16-bit words that follow, crc32 of the ids as little-endian u32.
 HEAD = struct.Struct("<4sIII")
-MAGIC = b"NFR1"
-BLOCK_IDS = 2048
+MAGIC = b"NFR2"
+BLOCK_IDS = 8192
 
-# Fixed sizes of the model: slots of the hashed contexts, and bounds that keep a step's frequencies within the range.
-_SLOTS = 512
+# Fixed sizes of the model. The least range before an id, 2**47, is more than the largest totals need: 2**9 for the
+# shares, 2**11 for the bands and 2**17 within one.
+_SLOTS_BITS = 11
+_SLOTS = 1 << _SLOTS_BITS
 _U = np.uint64
-_TOP, _LOW, _SIXTEEN, _TOP_SHIFT = _U(1 << 48), _U(1 << 44), _U(16), _U(48)
-_LIMIT, _INC = 480, 12
-_FLAG_LIMIT, _FLAG_INC = _U(480), _U(24)
-#: What an occurrence of a digit adds to the digits' cumulative frequencies.
-_STEP = (np.arange(16)[None, :] >= np.arange(16)[:, None]).astype(np.uint16) * np.uint16(_INC)
-_RAMP = np.arange(1, 17, dtype=np.uint16)
+_TOP, _LOW, _SIXTEEN, _TOP_SHIFT = _U(1 << 48), _U(1 << 47), _U(16), _U(48)
+#: Shares as (order 2's, with order 1's, all), and what an id of order 2, of order 1 or of neither adds.
+_SHARE = np.array([4, 8, 24, 0], np.uint16)
+_SHARE_INC = np.array([[24, 24, 24, 0], [0, 24, 24, 0], [0, 0, 24, 0]], np.uint16)
+_SHARE_LIMIT = 480
+_BANDS, _BAND_LIMIT, _BAND_INC = 16, 2048, 24
+#: A block's row of bands: the sum of those below each, and of all in the place of the first, whose own sum is 0.
+_ROW = np.array([256, *range(16, 256, 16)], np.uint16)
+#: What an occurrence of a band adds to the row.
+_STEP = ((np.arange(16)[None, :] > np.arange(16)[:, None]) | (np.arange(16) == 0)).astype(np.uint16) * np.uint16(_BAND_INC)
 
 
-class _Digits:
-    """Adaptive cumulative frequencies of a digit of 0 to 15, a row for each context."""
+class Prior:
+    """The frequencies of order 0 that all blocks start from: a file's counts of ids, which it holds at its head.
 
-    def __init__(self, rows: int) -> None:
-        self.cum = np.tile(_RAMP, (rows, 1))
+    Ids in order of frequency are cut into 16 bands of about equal mass. How often each band comes is learned anew in
+    every block; within a band, ids have their frequencies in the file. Without counts, all ids are equally frequent.
+    """
 
-    def learn(self, at: np.ndarray, cum: np.ndarray, digit: np.ndarray) -> None:
-        cum = cum + _STEP.take(digit, axis=0)
-        full = np.flatnonzero(cum[:, 15] > _LIMIT)
-        if len(full):
-            cum[full] = (cum[full] + _RAMP) >> 1
-        self.cum[at] = cum
+    def __init__(self, counts: np.ndarray | None = None) -> None:
+        counts = np.ones(1 << 16, np.int64) if counts is None else np.asarray(counts, np.int64)
+        ids = np.lexsort((np.arange(len(counts)), -counts))
+        ids = ids[counts[ids] > 0]
+        own = counts[ids].astype(object)  # whole numbers of any size, so that every reader builds the same table
+        total = int(own.sum()) if len(ids) else 1
+        before = np.concatenate(([0], np.cumsum(own)))[:-1] if len(ids) else np.zeros(0, object)
+        band = np.array([int(x) * _BANDS // total for x in before], np.int64)
+        self.band, self.low, self.freq = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, _U), np.zeros(1 << 16, _U)
+        self.total, self.base, found = np.ones(_BANDS, _U), np.zeros(_BANDS, np.int64), [np.zeros(1, np.uint16)]
+        at = 1
+        for b in range(_BANDS):
+            here = np.flatnonzero(band == b)
+            if len(here):
+                mass, scale = int(own[here].sum()), max(1 << 14, len(here))
+                f = np.array([max(1, int(x) * scale // mass) for x in own[here]], np.int64)
+                self.band[ids[here]], self.freq[ids[here]], self.low[ids[here]] = b, f, np.cumsum(f) - f
+                self.total[b], self.base[b] = f.sum(), at
+                found.append(np.repeat(ids[here].astype(np.uint16), f))
+                at += len(found[-1])
+        self.found = np.concatenate(found)
 
 
 class _Model:
     """Predictions of `n` blocks.
 
-    Order 2 and order 1: the id that last followed the same two ids (one id), with a confidence of 0 to 3 that counts
-    its successes. Order 0: frequencies of an id's upper digits, adapted after every id that the others miss. How much
-    of the range goes to order 2's id, to order 1's and to order 0 is itself learned, for each pair of confidences.
+    Order 1 and order 2: the id that last followed the same id, or the same two (one id each), with a confidence of 0 to 3
+    that counts its successes; 0 is nothing known. A slot names the context that wrote it, so contexts never answer for
+    one another; the later of two that fall on one slot has it. Order 0: the bands' frequencies in the block, times the
+    prior's within the band, for every id that the others miss. How much of the range goes to order 2's id, to order 1's
+    and to order 0 is itself learned, for each pair of confidences.
     """
 
     def __init__(self, n: int) -> None:
-        self.by_slot, self.by_flag, self.by_high = np.arange(n) * _SLOTS, np.arange(n) * 16, np.arange(n)
-        self.seen1, self.seen2 = np.zeros(n * _SLOTS, np.uint32), np.zeros(n * _SLOTS, np.uint32)  # id | confidence << 16
-        self.a, self.b, self.t = np.full(n * 16, 4, _U), np.full(n * 16, 8, _U), np.full(n * 16, 24, _U)  # order 2's share, with order 1's, all
-        self.high, self.mid = _Digits(n), _Digits(n * 16)
-        self.c1, self.c2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.by_share = np.arange(n) * 16
+        self.by_slot = (np.arange(2 * n) << _SLOTS_BITS).reshape(2, n)
+        self.slots = np.zeros(2 * n << _SLOTS_BITS, _U)  # context << 32 | confidence << 16 | id
+        self.shares = np.tile(_SHARE, n * 16).view("V8")
+        self.bands = np.tile(_ROW, (n, 1))
+        self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
 
     def start(self, k: int) -> None:
         """Looks the contexts of the first k blocks' next ids up."""
-        c1 = self.c1[:k]
-        h = (c1 * np.uint32(0x9E3779B1)) >> np.uint32(23)
-        self.at1 = self.by_slot[:k] + h
-        self.at2 = self.by_slot[:k] + (((c1 + self.c2[:k] * np.uint32(0x10001)) * np.uint32(0x85EBCA6B)) >> np.uint32(23))
-        self.e1, self.e2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
-        self.p1, self.p2 = self.e1 & np.uint32(0xFFFF), self.e2 & np.uint32(0xFFFF)
-        self.k1, self.k2 = self.e1 >> np.uint32(16), self.e2 >> np.uint32(16)
-        self.ctx = self.by_flag[:k] + (self.k2 << np.uint32(2) | self.k1)
-        self.fa, self.fb, self.ft = self.a.take(self.ctx), self.b.take(self.ctx), self.t.take(self.ctx)
-
-    def learn(self, k: int, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
-        """ids: what came; two, one: where it was order 2's id, or else order 1's."""
-        a, b, t = self.fa + two * _FLAG_INC, self.fb + (two | one) * _FLAG_INC, self.ft + _FLAG_INC
-        full = np.flatnonzero(t > _FLAG_LIMIT)
+        self.context = np.stack((self.last[:k], self.last[:k] | self.before[:k] << np.uint32(16)))
+        mixed = (self.context ^ self.context >> np.uint32(15)) * np.uint32(0x9E3779B1)
+        self.at = self.by_slot[:, :k] + (mixed >> np.uint32(32 - _SLOTS_BITS))
+        found = self.slots.take(self.at)
+        self.entry = found.astype(np.uint32) * ((found >> _U(32)) == self.context)
+        self.id, self.trust = self.entry & np.uint32(0xFFFF), self.entry >> np.uint32(16)
+        self.which = self.by_share[:k] + (self.trust[1] << np.uint32(2) | self.trust[0])
+        self.share = self.shares.take(self.which).view(np.uint16).reshape(k, 4)
+        self.two, self.one, self.all = self.share[:, :3].T.astype(_U)
+
+    def learn(self, k: int, ids: np.ndarray, came: np.ndarray) -> None:
+        """ids: what came; came: 0 where it was order 2's id, 1 order 1's, 2 neither's."""
+        share = self.share + _SHARE_INC.take(came, axis=0)
+        full = np.flatnonzero(share[:, 2] > _SHARE_LIMIT)
+        if len(full):
+            share[full] = (share[full] + np.array([1, 2, 3, 0], np.uint16)) >> 1
+        self.shares[self.which] = share.reshape(-1).view("V8")
+        unit = np.uint32(1 << 16)
+        kept = np.where(self.trust > 1, self.id, ids) | unit  # a trusted id stays, with the least confidence
+        again = (self.id == ids) & (self.trust > 0)
+        new = np.where(again, np.minimum(self.entry + unit, self.id | np.uint32(3 << 16)), kept)
+        self.slots[self.at] = self.context.astype(_U) << _U(32) | new
+        self.before[:k] = self.last[:k]
+        self.last[:k] = ids
+
+    def learn_band(self, at: np.ndarray, rows: np.ndarray, band: np.ndarray) -> None:
+        rows = rows + _STEP.take(band, axis=0)
+        full = np.flatnonzero(rows[:, 0] > _BAND_LIMIT)
         if len(full):
-            a[full], b[full], t[full] = (a[full] + _U(1)) >> _U(1), (b[full] + _U(2)) >> _U(1), (t[full] + _U(3)) >> _U(1)
-        self.a[self.ctx], self.b[self.ctx], self.t[self.ctx] = a, b, t
-        for seen, at, e, p, c in ((self.seen1, self.at1, self.e1, self.p1, self.k1), (self.seen2, self.at2, self.e2, self.p2, self.k2)):
-            fresh = np.where(c > 1, p | np.uint32(1 << 16), ids)  # a trusted id keeps a confidence of 1
-            seen[at] = np.where(p == ids, np.minimum(e + np.uint32(1 << 16), p | np.uint32(3 << 16)), fresh)
-        self.c2[:k] = self.c1[:k]
-        self.c1[:k] = ids
+            rows[full] = (rows[full] + np.array([16, *range(1, 16)], np.uint16)) >> 1
+        self.bands[at] = rows
 
 
 def _lanes(sizes: np.ndarray, longest: int) -> list[int]:
@@ -86,8 +120,12 @@ def _lanes(sizes: np.ndarray, longest: int) -> list[int]:
     return np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (below 65536, at most BLOCK_IDS) as bytes with its header. An empty block is its header."""
+def encode_blocks(blocks: list[np.ndarray], prior: Prior | None = None) -> list[bytes]:
+    """Each block of ids (below 65536, at most BLOCK_IDS, all with a frequency in the prior) as bytes with its header. An
+    empty block is its header."""
+    prior = prior or Prior()
+    if any(len(b) and not prior.freq.take(b).all() for b in blocks):
+        raise ValueError("an id has no frequency in the prior")
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n = len(blocks)
     sizes = np.array([len(blocks[i]) for i in order], dtype=np.int64)
@@ -103,32 +141,28 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         x = ids[t, :k]
         m.start(k)
         lo, r = low[:k], rng[:k]
-        two = m.p2 == x
-        one = (m.p1 == x) & ~two
-        miss = np.flatnonzero(~(two | one))
-        r //= m.ft
-        below, above = m.fb.copy(), m.ft.copy()
-        below[one], above[one] = m.fa[one], m.fb[one]
-        below[two], above[two] = 0, m.fa[two]
+        came = np.where(m.id[1] == x, 0, np.where(m.id[0] == x, 1, 2))
+        miss = np.flatnonzero(came == 2)
+        r //= m.all
+        below, above = np.choose(came, (0, m.two, m.one)), np.choose(came, (m.two, m.one, m.all))
         lo += below * r
         r *= above - below
         if len(miss):
             y = x.take(miss)
             lm, rm = lo.take(miss), r.take(miss)
-            high = y >> np.uint32(12)
-            for digits, where, digit in ((m.high, miss, high), (m.mid, miss * 16 + high, (y >> np.uint32(8)) & np.uint32(15))):
-                cum = digits.cum.take(where, axis=0)
-                top = np.arange(len(miss)) * 16 + digit
-                upper = cum.ravel().take(top)
-                lower = np.where(digit > 0, cum.ravel().take(top - (digit > 0)), 0)
-                rm //= cum[:, 15]
-                lm += lower * rm
-                rm *= upper - lower
-                digits.learn(where, cum, digit)
-            rm >>= _U(8)
-            lm += (y & np.uint32(255)) * rm
+            band = prior.band.take(y)
+            rows = m.bands.take(miss, axis=0)
+            first, after = np.arange(len(miss)) * 16, band + 1 & 15
+            lower = (rows.ravel().take(first + band) * (band > 0)).astype(_U)
+            rm //= rows[:, 0]
+            lm += lower * rm
+            rm *= rows.ravel().take(first + after) - lower
+            rm //= prior.total.take(band)
+            lm += prior.low.take(y) * rm
+            rm *= prior.freq.take(y)
+            m.learn_band(miss, rows, band)
             lo[miss], r[miss] = lm, rm
-        m.learn(k, x, two, one)
+        m.learn(k, x, came)
         todo = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _LOW))
         while len(todo):
             a, b = lo.take(todo), r.take(todo)
@@ -163,13 +197,15 @@ def split_blocks(data: bytes) -> list[tuple[int, bytes, int]]:
 
 
 def _digit_of(cum: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """How many of each row's cumulative frequencies are at most v."""
+    """How many of each row's sums are at most v; the first, of all, never is."""
     eight = (cum <= v.astype(np.uint16)[:, None]).view(_U)  # bytes of 0 and 1; their sum comes out in the top byte
     return ((eight * _U(0x0101010101010101)) >> _U(56)).sum(1).astype(np.int64)
 
 
-def decode_blocks(blocks: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
-    """The ids (little-endian u32) of blocks as split_blocks gives them; a ValueError if a checksum differs."""
+def decode_blocks(blocks: list[tuple[int, bytes, int]], prior: Prior | None = None) -> list[np.ndarray]:
+    """The ids (little-endian u32) of blocks as split_blocks gives them, coded with the same prior; a ValueError if a
+    checksum differs."""
+    prior = prior or Prior()
     order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     n = len(blocks)
     sizes = np.array([blocks[i][0] for i in order], dtype=np.int64)
@@ -187,41 +223,34 @@ def decode_blocks(blocks: list[tuple[int, bytes, int]]) -> list[np.ndarray]:
     for t, k in enumerate(_lanes(sizes, longest)):
         m.start(k)
         lo, r, c = low[:k], rng[:k], code[:k]
-        r //= m.ft
+        r //= m.all
         v = (c - lo) // r
-        two = v < m.fa
-        none = v >= m.fb
-        one = ~(two | none)
-        miss = np.flatnonzero(none)
-        below, above = m.fb.copy(), m.ft.copy()
-        below[one], above[one] = m.fa[one], m.fb[one]
-        below[two], above[two] = 0, m.fa[two]
+        came = (v >= m.two).astype(np.int64) + (v >= m.one)
+        miss = np.flatnonzero(came == 2)
+        below, above = np.choose(came, (0, m.two, m.one)), np.choose(came, (m.two, m.one, m.all))
         lo += below * r
         r *= above - below
-        x = np.where(two, m.p2, m.p1)
+        x = np.where(came == 0, m.id[1], m.id[0])
         if len(miss):
             lm, rm, cm = lo.take(miss), r.take(miss), c.take(miss)
-            where, y = miss, 0
-            for digits in (m.high, m.mid):
-                cum = digits.cum.take(where, axis=0)
-                total = cum[:, 15]
-                rm //= total
-                digit = _digit_of(cum, np.minimum((cm - lm) // rm, total - 1))
-                top = np.arange(len(miss)) * 16 + digit
-                upper = cum.ravel().take(top)
-                lower = np.where(digit > 0, cum.ravel().take(top - (digit > 0)), 0)
-                lm += lower * rm
-                rm *= upper - lower
-                digits.learn(where, cum, digit)
-                where, y = miss * 16 + digit, y << 4 | digit
-            rm >>= _U(8)
-            last = np.minimum((cm - lm) // rm, _U(255))
-            lm += last * rm
+            rows = m.bands.take(miss, axis=0)
+            rm //= rows[:, 0]
+            band = _digit_of(rows, np.minimum((cm - lm) // rm, rows[:, 0] - _U(1)))
+            first, after = np.arange(len(miss)) * 16, band + 1 & 15
+            lower = (rows.ravel().take(first + band) * (band > 0)).astype(_U)
+            lm += lower * rm
+            rm *= rows.ravel().take(first + after) - lower
+            total = prior.total.take(band)
+            rm //= total
+            y = prior.found.take(prior.base.take(band) + np.minimum((cm - lm) // rm, total - _U(1)).astype(np.int64))
+            lm += prior.low.take(y) * rm
+            rm *= np.maximum(prior.freq.take(y), _U(1))  # damage may lead to an id that never was; the checksum tells
+            m.learn_band(miss, rows, band)
             lo[miss], r[miss] = lm, rm
-            x[miss] = y << 8 | last.astype(np.int64)
+            x[miss] = y
         # an id of order 1 that is order 2's as well was coded as order 2's
         ids[t, :k] = x
-        m.learn(k, x, two, one)
+        m.learn(k, x, came)
         todo = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _LOW))
         while len(todo):
             a, b = lo.take(todo), r.take(todo)

@@ -10,13 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import byte_batches, scratch, table, texts_of
-from nearfield.llm.range_coder import BLOCK_IDS, decode_blocks, encode_blocks, split_blocks
+from nearfield.llm.common import discard, pieces, scratch, table, texts_of
+from nearfield.llm.range_coder import BLOCK_IDS, Prior, decode_blocks, encode_blocks, split_blocks
 
 #: Entries that a worker keeps of the ids of words it has met.
 CACHE_ENTRIES = 250_000
-#: Ids that a worker codes at a time: some two thousand blocks side by side.
-GROUP_IDS = 4 << 20
+#: Ids that a worker codes at a time: some thousand blocks side by side.
+GROUP_IDS = 8 << 20
 #: A segment is closed at so many ids; it holds whole documents, however long.
 SEGMENT_IDS = 1 << 16
 
@@ -39,6 +39,8 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.folds = self._same("Aa Zz The", "aa zz the")
+        if not self._same("ab  cd\n\tab,\r cd\x0b\x0cab ", "ab cd ab, cd ab") or self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} doesn't part words at white space and drop it, or has over 65,536 ids")
         self.known: dict[bytes, bytes] = {}
 
     def _same(self, a: str, b: str) -> bool:
@@ -72,8 +74,8 @@ class WordIds:
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
-def encode_segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, segment, start, n_ids, ids, lengths, blocks): docs in ascending id order as coded segments.
+def id_segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, segment, start, n_ids, ids, lengths, raw): docs in ascending id order as segments of token ids, raw.
 
     Documents are dealt by ranges of ids and sorted, so shards and the segments within them are in order; start is a
     segment's place in its shard.
@@ -91,68 +93,120 @@ def encode_segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        encode = _encoders.setdefault(path, None) or _encoders.update({path: WordIds(path)}) or _encoders[path]
+        encode = WordIds(path)
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], dtype="<u2").tobytes()
-        segments: list[tuple[list, list[bytes]]] = [([], [])]
-        held = size = 0
+        names: list = []
+        parts: list[bytes] = []
+        size = 0
 
         def pack():
-            nonlocal number, start, segments, held
-            full = [s for s in segments if s[0]]
-            ids = [np.frombuffer(b"".join(s[1]), dtype="<u2") for s in full]
-            blocks = [[x[i : i + BLOCK_IDS] for i in range(0, len(x), BLOCK_IDS)] for x in ids]
-            coded = iter(encode_blocks([b for own in blocks for b in own]))
-            data = [b"".join(next(coded) for _ in own) for own in blocks]
-            n = [len(x) for x in ids]
-            starts = [start, *accumulate(n, initial=start)][1:-1] if n else []
+            nonlocal number, start, size
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([shard] * len(n), pa.int32()), pa.array(range(number, number + len(n)), pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()),
-                    pa.array([s[0] for s in full], pa.list_(ids_type)), pa.array([[len(x) // 2 for x in s[1]] for s in full], pa.list_(pa.int64())), pa.array(data, pa.binary()),
+                    pa.array([shard], pa.int32()), pa.array([number], pa.int64()), pa.array([start], pa.int64()), pa.array([size], pa.int64()),
+                    pa.array([names], pa.list_(ids_type)), pa.array([[len(x) // 2 for x in parts]], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary()),
                 ],
-                ["shard", "segment", "start", "n_ids", "ids", "lengths", "blocks"],
+                ["shard", "segment", "start", "n_ids", "ids", "lengths", "raw"],
             )
-            number, start, segments, held = number + len(n), start + sum(n), [([], [])], 0
+            number, start, size = number + 1, start + size, 0
+            names.clear()
+            parts.clear()
             return out
 
         ids_type = None
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids_type = batch.column(0).type
-            names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, b in byte_batches(texts, 1 << 20):
-                for name, x in zip(names[a:b], encode(texts[a:b]), strict=True):
-                    x += end
-                    segments[-1][0].append(name)
-                    segments[-1][1].append(x)
-                    size += len(x) // 2
-                    held += len(x) // 2
-                    if size >= SEGMENT_IDS:
-                        segments.append(([], []))
-                        size = 0
-                if held >= GROUP_IDS:
+            for name, x in zip(batch.column(0).to_pylist(), encode(texts_of(batch.column(1))), strict=True):
+                x += end
+                names.append(name)
+                parts.append(x)
+                size += len(x) // 2
+                if size >= SEGMENT_IDS:
                     yield pack()
-                    size = 0
-        if held:
+        if names:
             yield pack()
 
-    # by row, ids at the same place: null first, then ascending; repeated ids stand by their texts
-    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(run, f"shard int, segment long, start long, n_ids long, ids array<{kind}>, lengths array<long>, blocks binary")
+    # null ids first, then ascending; rows of one id stand by the hashes of their texts, so they can fall into many tasks;
+    # equal rows by a seeded number, so that they can as well
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.rand(29).alias("r"))
+    order = [F.col("id").asc_nulls_first(), F.col("h"), F.col("r")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order[:2], "text").select("id", "text")
+    return dealt.mapInArrow(run, f"shard int, segment long, start long, n_ids long, ids array<{kind}>, lengths array<long>, raw binary")
 
 
-_encoders: dict[str, WordIds | None] = {}
+def id_counts(segments: DataFrame) -> DataFrame:
+    """(id, n) over all segments: at most 65,536 rows, and as many from a task."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text, each followed by end_id, and writes the segments.
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
+
+    return segments.select("raw").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def prior_of(head: DataFrame) -> Prior:
+    counts = np.zeros(1 << 16, np.int64)
+    for r in head.collect():
+        counts[r["id"]] = r["n"]
+    return Prior(counts)
+
+
+def grouped(batches: Iterator, n_ids: int) -> Iterator[list]:
+    """Rows of batches in groups of about GROUP_IDS ids, each a list of the columns' values."""
+    rows, held = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows.append([c[i] for c in batch.columns])
+            held += rows[-1][n_ids].as_py()
+            if held >= GROUP_IDS:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
 
-    The files are Parquet, for its commit protocol and any file system; each segment's `blocks` are the coded blocks one
-    behind the other (see range_coder), with no compression on top. Texts that are null or empty are the end id alone;
-    documents of a null id come first; repeated ids stand in the order of their texts; other columns aren't read; an
-    empty table writes no segment. Only tokenizers of at most 65,536 ids.
+
+def code_segments(segments: DataFrame, prior: Prior) -> DataFrame:
+    """segments with their raw ids as coded blocks, one behind the other."""
+    sent = segments.sparkSession.sparkContext.broadcast(prior)
+    kind = segments.schema["ids"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for rows in grouped(batches, 3):
+            ids = [np.frombuffer(r[6].as_buffer(), dtype="<u2") for r in rows]
+            blocks = [[x[i : i + BLOCK_IDS] for i in range(0, len(x), BLOCK_IDS)] for x in ids]
+            coded = iter(encode_blocks([b for own in blocks for b in own], sent.value))
+            data = [b"".join(next(coded) for _ in own) for own in blocks]
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[j].as_py() for r in rows], rows[0][j].type) for j in range(6)], pa.array(data, pa.binary())], ["shard", "segment", "start", "n_ids", "ids", "lengths", "blocks"])
+
+    return segments.select("shard", "segment", "start", "n_ids", "ids", "lengths", "raw").mapInArrow(run, f"shard int, segment long, start long, n_ids long, ids {kind}, lengths array<long>, blocks binary")
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encodes every whole text, each followed by end_id, and writes the file: `head`, the counts of its ids, from which
+    order 0 starts in all blocks, and `segments`.
+
+    Texts are tokenized once; their ids wait in the shared folder until all are counted. The files are Parquet, for its
+    commit protocol and any file system; each segment's `blocks` are the coded blocks one behind the other (see
+    range_coder), with no compression on top. Texts that are null or empty are the end id alone;
+    documents of a null id come first; rows that repeat an id stand in the order of their texts' hashes, and may be dealt
+    to many tasks; other columns aren't read; an empty table writes no segment. Texts of any length are encoded whole.
+    Only tokenizers of at most 65,536 ids that part words at white space; others are an error.
     """
-    encode_segments(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "none").parquet(path)
+    raw = scratch(docs.sparkSession, "ids")
+    id_segments(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(raw)
+    segments = docs.sparkSession.read.parquet(raw)
+    id_counts(segments).coalesce(1).write.parquet(f"{path}/head")
+    code_segments(segments, prior_of(docs.sparkSession.read.parquet(f"{path}/head"))).write.option("compression", "none").parquet(f"{path}/segments")
+    discard(docs.sparkSession, raw)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -161,7 +215,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     A segment is decoded by itself, so nothing is shuffled. The driver holds the number of ids of each shard, which is a
     row for each task that wrote.
     """
-    files = spark.read.parquet(path)
+    files = spark.read.parquet(f"{path}/segments")
+    sent = spark.sparkContext.broadcast(prior_of(spark.read.parquet(f"{path}/head")))
     kind = files.schema["ids"].dataType.elementType.simpleString()
     shards = sorted((r[0], r[1]) for r in files.groupBy("shard").agg(F.sum("n_ids")).collect())
     before = spark.sparkContext.broadcast(dict(zip([s for s, _ in shards], accumulate([n for _, n in shards], initial=0), strict=False)))
@@ -169,11 +224,13 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def part(rows: list[tuple]) -> object:
+        for rows in grouped(batches, 5):
+            id_type = rows[0][2].type.value_type
+            rows = [[x.as_py() for x in r] for r in rows]
             blocks = [split_blocks(r[4]) for r in rows]
-            ids = iter(decode_blocks([b for own in blocks for b in own]))
+            ids = iter(decode_blocks([b for own in blocks for b in own], sent.value))
             out: tuple[list, ...] = ([], [], [], [], [])
-            for (shard, start, names, lengths, _), own in zip(rows, blocks, strict=True):
+            for (shard, start, names, lengths, _, _), own in zip(rows, blocks, strict=True):
                 x = np.concatenate([next(ids) for _ in own]) if own else np.empty(0, "<u4")
                 at, first, raw = 0, before.value[shard] + start, x.tobytes()
                 for name, n in zip(names, lengths, strict=True):
@@ -185,22 +242,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                         out[4].append(x[at : at + n])
                     at += n
             cols = [pa.array(out[0], id_type), *[pa.array(c, pa.int64()) for c in out[1:4]]]
-            return pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.list_(pa.int32()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.list_(pa.int32()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
 
-        id_type = pa.int64()
-        rows, held = [], 0
-        for batch in batches:
-            id_type = batch.column(2).type.value_type
-            for i in range(batch.num_rows):
-                rows.append(tuple(batch.column(j)[i].as_py() for j in (0, 1, 2, 3, 4)))
-                held += sum(rows[-1][3])
-                if held >= GROUP_IDS:
-                    yield part(rows)
-                    rows, held = [], 0
-        if rows:
-            yield part(rows)
-
-    some = files.select("shard", "start", "ids", "lengths", "blocks")
+    some = files.select("shard", "start", "ids", "lengths", "blocks", "n_ids")
     return some.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.vectors import hamming, pack_bits, sign_bits
-from nearfield.operators.search import _best
+from nearfield.functions.vectors import hamming, pack_bits, sign_bits, unpack_bits
+from nearfield.operators import graph
+from nearfield.operators.ivf import IVF
+from nearfield.operators.search import _best, _each, dimension
 
 
 def to_binary(vectors: DataFrame) -> DataFrame:
@@ -16,8 +19,8 @@ def to_binary(vectors: DataFrame) -> DataFrame:
 
 
 def pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Hamming distances of a stated query set, broadcast, to all vectors."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", hamming(F.col("words"), F.col("qw")).cast("double").alias("distance"))
+    """Hamming distances of a stated query set, broadcast in blocks of checked size, to all vectors."""
+    return _each(queries, vectors, hamming(F.col("words"), F.col("qw")).cast("double"), dimension(queries, "qw"))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -58,3 +61,41 @@ def hash_search(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, t
 def from_float(distance: Column) -> Column:
     """Squared L2 distance of +-1 vectors as bits."""
     return F.round(distance / 4)
+
+
+def signs(rows: DataFrame, bits: int, words: str = "words", to: str = "embedding") -> DataFrame:
+    """Words as vectors of -1 and 1, whose squared L2 distance is four times the Hamming distance."""
+    return rows.withColumn(to, F.transform(unpack_bits(F.col(words), bits), lambda b: (2 * b - 1).cast("float"))).drop(words)
+
+
+class BinaryIVF:
+    """An inverted file of bits: centroids are the majority of their lists' bits, lists and rank are by Hamming distance."""
+
+    def __init__(self, nlist: int, bits: int) -> None:
+        self.bits, self.index = bits, IVF(nlist)
+
+    def fit(self, vectors: DataFrame, niter: int = 8) -> BinaryIVF:
+        self.index.fit(signs(vectors, self.bits), niter)
+        self.index.centroids = np.where(np.asarray(self.index.centroids) >= 0, 1.0, -1.0)
+        return self
+
+    def add(self, vectors: DataFrame) -> BinaryIVF:
+        self.index.add(signs(vectors, self.bits))
+        return self
+
+    def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
+        found = self.index.search(signs(queries, self.bits, "qw", "q"), k, nprobe)
+        return found.withColumn("distance", from_float(F.col("distance")))
+
+    def range_search(self, queries: DataFrame, radius: int, nprobe: int = 8) -> DataFrame:
+        return self.index.range_search(signs(queries, self.bits, "qw", "q"), 4 * radius, nprobe).withColumn("distance", from_float(F.col("distance")))
+
+
+def build_graph(vectors: DataFrame, bits: int, m: int = 16, **how) -> DataFrame:
+    """A layered graph over bits."""
+    return graph.build(signs(vectors, bits), m, **how)
+
+
+def graph_search(built: DataFrame, queries: DataFrame, bits: int, k: int, ef: int = 64) -> DataFrame:
+    found = graph.merged(graph.search(built, signs(queries, bits, "qw", "q"), k, ef), k)
+    return found.withColumn("distance", from_float(F.col("distance")))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.search import BLOCK_BYTES, _best, dimension
+from nearfield.operators.search import _best, dimension, query_blocks
 
 
 def exact_neighbors(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
@@ -195,6 +195,7 @@ class State:
     expanded: set = field(default_factory=set)
     predicted: float = -1.0
     memory: dict = field(default_factory=dict)
+    within: list[tuple[float, int]] = field(default_factory=list)  # (distance, node) inside a range search's radius
 
     def top(self) -> np.ndarray:
         return np.sort([-d for d, _ in self.best])[: self.k]
@@ -206,7 +207,7 @@ class State:
 Policy = Callable[[State, float], bool]
 
 
-def walk(g: Shard, query: np.ndarray, k: int, ef: int, policy: Policy | None = None, admit: np.ndarray | None = None) -> State:
+def walk(g: Shard, query: np.ndarray, k: int, ef: int, policy: Policy | None = None, admit: np.ndarray | None = None, radius: float | None = None) -> State:
     """Greedy descent through the upper levels, then a best-first walk of level 0 with a queue of `ef`. policy(state,
     distance of the node about to be expanded) ends the walk by returning True and may change state.ef. admit: which
     nodes may be results; all are walked through."""
@@ -229,10 +230,12 @@ def walk(g: Shard, query: np.ndarray, k: int, ef: int, policy: Policy | None = N
     todo = [(d, at)]
     if admit is None or admit[at]:
         s.best = [(-d, at)]
+        if radius is not None and d < radius:
+            s.within.append((d, at))
     wide = [-d]  # the queue's own bound, over all nodes that were met
     while todo:
         d, at = heapq.heappop(todo)
-        if len(wide) >= s.ef and d > -wide[0]:
+        if len(wide) >= s.ef and d > -wide[0] and (radius is None or d >= radius):
             break
         if policy is not None and policy(s, d):
             break
@@ -245,7 +248,10 @@ def walk(g: Shard, query: np.ndarray, k: int, ef: int, policy: Policy | None = N
         ds = ((x[own] - query) ** 2).sum(1)
         s.ndis += len(own)
         for j, v in zip(own, ds.tolist(), strict=True):
-            if len(wide) < s.ef or v < -wide[0]:
+            inside = radius is not None and v < radius
+            if inside and (admit is None or admit[j]):
+                s.within.append((v, j))
+            if inside or len(wide) < s.ef or v < -wide[0]:
                 heapq.heappush(todo, (v, j))
                 heapq.heappush(wide, -v)
                 while len(wide) > s.ef:
@@ -285,12 +291,21 @@ def load_shards(rows: Iterator, names: list[str]) -> Iterator[tuple[int, Shard]]
 
 
 def search(graph: DataFrame, queries: DataFrame, k: int, ef: int = 64, policy: Callable[[], Policy] | None = None, selector: Callable[[np.ndarray], np.ndarray] | None = None, radius: float | None = None) -> DataFrame:
-    """(query_id, vec_id, distance, ndis, nstep, predicted) of every shard's walk, k a shard; merge with merged()."""
-    d = dimension(graph.where("level = 0"))
-    n = queries.count()
-    if n * (d * 8 + 16) > BLOCK_BYTES:
-        raise ValueError("too many queries for one pass: search them in blocks")
-    rows = queries.orderBy("query_id").collect()
+    """(query_id, vec_id, distance, ndis, nstep, predicted) of every shard's walk, k a shard; merge with merged(). Queries
+    are broadcast in blocks of checked size, each a pass over the graph.
+
+    With a radius, all nodes met within it are results, however many: the walk ends when the nearest node that is not
+    expanded yet is beyond the radius and beyond the ef nearest.
+    """
+    out = None
+    for block in query_blocks(queries, dimension(queries, "q")):
+        part = _search(graph, block, k, ef, policy, selector, radius)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _search(graph: DataFrame, queries: DataFrame, k: int, ef: int, policy, selector, radius: float | None) -> DataFrame:
+    rows = queries.orderBy("query_id").collect()  # at most BLOCK_BYTES, see query_blocks
     sent = graph.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
 
     def run(batches: Iterator) -> Iterator:
@@ -301,9 +316,11 @@ def search(graph: DataFrame, queries: DataFrame, k: int, ef: int = 64, policy: C
             out: tuple[list, ...] = ([], [], [], [], [], [])
             admit = None if selector is None else selector(g.ids)
             for qid, v in zip(ids, q, strict=True):
-                s = walk(g, v, k, ef, policy() if policy else None, admit)
-                found = sorted((-a, int(g.ids[i])) for a, i in s.best)
-                found = [f for f in found if f[0] < radius] if radius is not None else found[:k]
+                s = walk(g, v, k, ef, policy() if policy else None, admit, radius)
+                if radius is None:
+                    found = sorted((-a, int(g.ids[i])) for a, i in s.best)[:k]
+                else:
+                    found = sorted((a, int(g.ids[i])) for a, i in s.within)
                 for a, i in found:
                     for c, val in zip(out, (qid, i, round(a, 6), s.ndis, s.step, s.predicted), strict=True):
                         c.append(val)
@@ -318,6 +335,48 @@ def merged(found: DataFrame, k: int) -> DataFrame:
 
 
 def knn_graph(vectors: DataFrame, k: int, shard_points: int = 20_000) -> DataFrame:
-    """(vec_id, rank, neighbor, distance): the exact neighbours within each shard of bounded size, by NumPy blocks."""
-    g = build(vectors, k, "nsg", shard_points, build_k=k)
-    return g.select(F.col("node").alias("vec_id"), F.posexplode("neighbors").alias("rank", "neighbor"))
+    """(vec_id, rank, neighbor, distance): every vector's k exact nearest others.
+
+    Shards of bounded size meet pair by pair, each pair in a task of its own; a vector travels once for each shard.
+    """
+    n = vectors.count()
+    shards = max(1, -(-n // shard_points))
+    dealt = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("s"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    units = dealt.select("vec_id", "embedding", (F.least("s", "t") * shards + F.greatest("s", "t")).alias("unit"), (F.col("s") > F.col("t")).alias("side"), (F.col("s") == F.col("t")).alias("one"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def near(rows: list) -> object:
+            ids, side = np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows])
+            x = np.array([r[1] for r in rows], dtype=np.float64)
+            out: tuple[list, ...] = ([], [], [])
+            pairs = [(np.arange(len(ids)),) * 2] if rows[0][4] else [(np.flatnonzero(side), np.flatnonzero(~side)), (np.flatnonzero(~side), np.flatnonzero(side))]
+            for a, b in pairs:
+                for i in range(0, len(a), 256):
+                    own = a[i : i + 256]
+                    d = (x[own] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1)[None] - 2 * x[own] @ x[b].T
+                    d[ids[own][:, None] == ids[b][None]] = np.inf
+                    at = np.lexsort((np.broadcast_to(ids[b], d.shape), d), axis=1)[:, :k]
+                    best = np.take_along_axis(d, at, 1)
+                    ok = np.isfinite(best)
+                    out[0].extend(np.repeat(ids[own], ok.sum(1)).tolist())
+                    out[1].extend(ids[b][at][ok].tolist())
+                    out[2].extend(np.maximum(best[ok], 0.0).tolist())
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "distance"])
+
+        now, rows = None, []
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r[2] != now:
+                    if rows:
+                        yield near(rows)
+                    now, rows = r[2], []
+                rows.append(r)
+        if rows:
+            yield near(rows)
+
+    found = units.repartition("unit").sortWithinPartitions("unit", "side", "vec_id").mapInArrow(run, "query_id long, vec_id long, distance double")
+    best = _best(found.withColumn("distance", F.round("distance", 6)), k, False)
+    return best.select(F.col("query_id").alias("vec_id"), "rank", F.col("vec_id").alias("neighbor"), "distance")

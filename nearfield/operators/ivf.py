@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import hamming, metric, pack_bits
 from nearfield.operators.cluster import KMeans, assign, imbalance
-from nearfield.operators.quantize import Codec, SignHash
-from nearfield.operators.search import _best
+from nearfield.operators.quantize import Codec, ProductQuantizer, SignHash
+from nearfield.operators.search import _best, _each, dimension, query_blocks, rerank
 
 
 def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int, ip: bool = False) -> DataFrame:
@@ -117,11 +117,81 @@ class IVF:
     def reconstruct(self, ids: DataFrame) -> DataFrame:
         return self.decode(self.lists.join(ids.select("vec_id").distinct(), "vec_id", "left_semi")).select("vec_id", "embedding")
 
+    def read(self, list_nos: list[int]) -> DataFrame:
+        """The rows of the given lists alone: of a table partitioned by list_no, no other list is read."""
+        return self.lists.where(F.col("list_no").isin([int(x) for x in list_nos]))
+
     def candidates(self, probed: DataFrame) -> DataFrame:
-        """The rows of the probed lists with their distances. probed is as probes() or the caller gives it."""
-        rows = probed.select("query_id", "q", "list_no", "probe").join(self.decode(self.lists), "list_no")
+        """The rows of the probed lists with their distances, for any metric. probed is as probes() or the caller gives it."""
+        nos = [r[0] for r in probed.select("list_no").distinct().collect()]  # at most nlist
+        rows = probed.select("query_id", "q", "list_no", "probe").join(self.decode(self.read(nos)), "list_no")
         return rows.select("query_id", "probe", "list_no", "vec_id", F.round(metric(self.metric)[0](F.col("q"), F.col("embedding")), 6).alias("distance"))
 
+    def scan(self, probed: DataFrame, k: int | None = None, radius: float | None = None) -> DataFrame:
+        """(query_id, vec_id, distance) of the probed lists' rows by squared L2 or inner product: each task's k best a
+        query, or all within the radius.
+
+        The probes of a block of queries of checked size are broadcast; the lists that they name are read once a block
+        and scored in NumPy, codes of a product quantiser by tables of distances, others decoded a list at a time.
+        """
+        ip, codec, out = self.ip, self.codec, None
+        col = "embedding" if codec is None else "code"
+        centroids = np.asarray(self.centroids, dtype=np.float64) if self.by_residual else None
+        asked = probed.groupBy("query_id").agg(F.first("q").alias("q"), F.collect_list("list_no").alias("lists"))
+        for block in query_blocks(asked, dimension(asked, "q") + self.nlist):
+            rows = block.orderBy("query_id").collect()  # at most BLOCK_BYTES, see query_blocks
+            ids = np.array([r[0] for r in rows], dtype=np.int64)
+            q = np.array([r[1] for r in rows], dtype=np.float64)
+            by_list: dict[int, list[int]] = {}
+            for i, r in enumerate(rows):
+                for x in r[2]:
+                    by_list.setdefault(x, []).append(i)
+            sent = probed.sparkSession.sparkContext.broadcast((ids, q, by_list))
+
+            def run(batches, sent=sent):
+                import pyarrow as pa
+
+                ids, q, by_list = sent.value
+                best: tuple[np.ndarray, ...] = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+
+                def pack(rows):
+                    return pa.RecordBatch.from_arrays([pa.array(ids[rows[0]]), pa.array(rows[2]), pa.array(rows[1])], ["query_id", "vec_id", "distance"])
+
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    nos, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    if codec is None:
+                        x = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(nos), -1)
+                    else:
+                        x = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False)).reshape(len(nos), -1)
+                    parts = [best]
+                    for no in np.unique(nos).tolist():
+                        own = np.array(by_list.get(no, []), dtype=np.int64)
+                        if not len(own):
+                            continue
+                        at = np.flatnonzero(nos == no)
+                        d = scores(q[own], x[at], codec, None if centroids is None else centroids[no], ip)
+                        for j, i in enumerate(own.tolist()):
+                            dj = np.round(d[j], 6)
+                            use = np.arange(len(dj)) if k is not None else np.flatnonzero(dj > radius if ip else dj < radius)
+                            if k is not None and len(dj) > k:
+                                use = np.lexsort((names[at], -dj if ip else dj))[:k]
+                            parts.append((np.full(len(use), i), dj[use], names[at][use]))
+                    rows = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                    if k is None:
+                        yield pack(rows)
+                        continue
+                    order = np.lexsort((rows[2], -rows[1] if ip else rows[1], rows[0]))
+                    rows = tuple(c[order] for c in rows)
+                    first = np.searchsorted(rows[0], rows[0])  # where each query begins
+                    best = tuple(c[np.arange(len(first)) - first < k] for c in rows)
+                yield pack(best)
+
+            part = self.read(sorted(by_list)).select("list_no", "vec_id", col).mapInArrow(run, "query_id long, vec_id long, distance double")
+            out = part if out is None else out.unionByName(part)
+        return out.withColumn("distance", F.round("distance", 6))
+
     def search(self, queries: DataFrame, k: int, nprobe: int = 8, max_codes: int | None = None) -> DataFrame:
         return self.search_assigned(probes(queries, self.centroids, nprobe, self.ip), k, max_codes)
 
@@ -132,17 +202,32 @@ class IVF:
             w = Window.partitionBy("query_id").orderBy("probe").rowsBetween(Window.unboundedPreceding, -1)
             probed = probed.join(sizes, "list_no").withColumn("left", max_codes - F.coalesce(F.sum("n").over(w), F.lit(0))).where("left > 0")
             part = probed.groupBy("list_no").agg(F.max("left").alias("most"))
-            ranked = self.lists.withColumn("at", F.row_number().over(Window.partitionBy("list_no").orderBy("vec_id"))).join(part, "list_no").where("at <= most").drop("most")
+            nos = [r[0] for r in part.select("list_no").collect()]  # at most nlist
+            ranked = self.read(nos).withColumn("at", F.row_number().over(Window.partitionBy("list_no").orderBy("vec_id"))).join(part, "list_no").where("at <= most").drop("most")
             rows = probed.select("query_id", "q", "list_no", "left").join(self.decode(ranked), "list_no").where("at <= left")
             pairs = rows.select("query_id", "vec_id", F.round(metric(self.metric)[0](F.col("q"), F.col("embedding")), 6).alias("distance"))
         else:
-            pairs = self.candidates(probed)
+            pairs = self.scan(probed, k) if self.metric in ("l2", "ip") else self.candidates(probed)
         return _best(pairs, k, metric(self.metric)[1])
 
     def range_search(self, queries: DataFrame, radius: float, nprobe: int = 8) -> DataFrame:
-        pairs = self.candidates(probes(queries, self.centroids, nprobe, self.ip)).select("query_id", "vec_id", "distance")
+        probed = probes(queries, self.centroids, nprobe, self.ip)
+        if self.metric in ("l2", "ip"):
+            return self.scan(probed, radius=radius)
+        pairs = self.candidates(probed).select("query_id", "vec_id", "distance")
         return pairs.where(F.col("distance") > radius if metric(self.metric)[1] else F.col("distance") < radius)
 
+    def search_and_reconstruct(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
+        """Results with the vectors that the index holds for them, decoded for the results alone."""
+        found = self.search(queries, k, nprobe)
+        return found.join(self.reconstruct(found), "vec_id", "left")
+
+    def search_and_return_codes(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
+        """Results with their lists and codes (or raw vectors, without a codec)."""
+        found = self.search(queries, k, nprobe)
+        own = self.lists.join(found.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "list_no", "embedding" if self.codec is None else "code")
+        return found.join(own, "vec_id")
+
     def stats(self) -> DataFrame:
         return imbalance(self.lists)
 
@@ -158,6 +243,55 @@ class IVF:
         return cls(about["nlist"], about["metric"], _codec_from(about["codec"]), about["by_residual"], np.array(about["centroids"]), spark.read.parquet(f"{path}/lists"))
 
 
+def scores(q: np.ndarray, x: np.ndarray, codec: Codec | None, centroid: np.ndarray | None, ip: bool) -> np.ndarray:
+    """(queries, rows) scores of one list's rows: vectors, or codes of a codec, of residuals if a centroid is given."""
+    if isinstance(codec, ProductQuantizer) and not ip:
+        return codec.adc(q if centroid is None else q - centroid, x)
+    if codec is not None:
+        x = codec.decode(x).astype(np.float32).astype(np.float64)
+        if centroid is not None:
+            x = (x + centroid).astype(np.float32).astype(np.float64)
+    if ip:
+        return q @ x.T
+    return np.stack([((x - v) ** 2).sum(1) for v in q])
+
+
+@dataclass
+class RefinedIVF:
+    """An inverted file of codes with a second code of what the first leaves over: the shortlist is ranked by the first,
+    the result by both together, without the raw vectors."""
+
+    base: IVF
+    codec: Codec
+    k_factor: int = 4
+    rest: DataFrame | None = None
+
+    def _left(self, vectors: DataFrame) -> DataFrame:
+        own = self.base.decode(self.base.encode(self.base.assign(vectors))).select("vec_id", F.col("embedding").alias("y"))
+        return vectors.join(own, "vec_id").select("vec_id", F.zip_with("embedding", "y", lambda a, b: (a - b).cast("float")).alias("embedding"))
+
+    def fit(self, vectors: DataFrame, niter: int = 8) -> RefinedIVF:
+        self.base.fit(vectors, niter)
+        self.codec.fit(self._left(vectors))
+        return self
+
+    def add(self, vectors: DataFrame) -> RefinedIVF:
+        self.base.add(vectors)
+        new = self.codec.encode_table(self._left(vectors))
+        self.rest = new if self.rest is None else self.rest.unionByName(new)
+        return self
+
+    def reconstruct(self, ids: DataFrame) -> DataFrame:
+        ids = ids.select("vec_id").distinct()
+        one = self.base.reconstruct(ids)
+        two = self.codec.decode_table(self.rest.join(ids, "vec_id", "left_semi")).select("vec_id", F.col("embedding").alias("y"))
+        return one.join(two, "vec_id").select("vec_id", F.zip_with("embedding", "y", lambda a, b: (a + b).cast("float")).alias("embedding"))
+
+    def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
+        short = self.base.search(queries, k * self.k_factor, nprobe)
+        return rerank(short, queries, self.reconstruct(short), k, self.base.metric)
+
+
 def _codec_json(codec) -> dict | None:
     if codec is None:
         return None
@@ -223,4 +357,4 @@ def hash_search(queries: DataFrame, vectors: DataFrame, codec: SignHash, k: int)
     code = lambda x: codec.encode_table(x)
     v = code(vectors.select("vec_id", "embedding")).select("vec_id", pack_bits(F.col("code")).alias("w"))
     q = code(queries.select("query_id", F.col("q").alias("embedding"))).select("query_id", pack_bits(F.col("code")).alias("wq"))
-    return _best(v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", hamming(F.col("w"), F.col("wq")).cast("double").alias("distance")), k, False)
+    return _best(_each(q, v, hamming(F.col("w"), F.col("wq")).cast("double"), dimension(q, "wq")), k, False)

@@ -39,9 +39,9 @@ def _best(pairs: DataFrame, k: int, greater: bool) -> DataFrame:
     return pairs.where(~F.isnan("distance")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
-def _each(queries: DataFrame, vectors: DataFrame, distance: Column) -> DataFrame:
-    """The distances of all queries to all vectors, a broadcast for each block of queries."""
-    blocks = [vectors.crossJoin(F.broadcast(b)).select("query_id", "vec_id", distance.alias("distance")) for b in query_blocks(queries, dimension(vectors))]
+def _each(queries: DataFrame, vectors: DataFrame, distance: Column, d: int | None = None) -> DataFrame:
+    """The distances of all queries to all vectors, a broadcast for each block of queries of d numbers."""
+    blocks = [vectors.crossJoin(F.broadcast(b)).select("query_id", "vec_id", distance.alias("distance")) for b in query_blocks(queries, dimension(vectors) if d is None else d)]
     out = blocks[0]
     for b in blocks[1:]:
         out = out.unionByName(b)
@@ -185,27 +185,84 @@ def first_of_code(codes: DataFrame) -> DataFrame:
     return codes.groupBy("code").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
 
 
-def max_results(ranged: DataFrame, total: int) -> DataFrame:
-    """Range results with the radius lowered until at most `total` are left: rows before the radius at which the running
-    count of the distinct distances passes it."""
-    counts = ranged.groupBy("distance").agg(F.count("*").alias("n"))
-    bins = counts.groupBy(F.floor(F.col("distance") * 1000).alias("bin")).agg(F.sum("n").alias("n")).orderBy("bin").collect()
-    left, cut = total, None
-    for r in bins:
-        if r["n"] > left:
-            cut = r["bin"]
-            break
-        left -= r["n"]
-    if cut is None:
-        return ranged
-    inside = sorted((r[0], r[1]) for r in counts.where(F.floor(F.col("distance") * 1000) == cut).collect())
-    radius = cut / 1000.0
-    for d, n in inside:
-        radius = d
-        if n > left:
-            break
-        left -= n
-    return ranged.where(F.col("distance") < radius)
+def max_results(ranged: DataFrame, total: int, bins: int = 1024) -> DataFrame:
+    """Range results with the radius lowered until at most `total` are left: rows before the distance at which the running
+    count passes it. Each round cuts the interval where it does in `bins`, whose counts are all that the driver holds."""
+    rows, left = ranged, total
+    while True:
+        low, high, n = rows.agg(F.min("distance"), F.max("distance"), F.count("*")).first()
+        if n <= left:
+            return ranged if rows is ranged else ranged.where(F.col("distance") <= F.lit(high))
+        if low == high:
+            return ranged.where(F.col("distance") < F.lit(low))
+        at = F.least(F.floor((F.col("distance") - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1))
+        for r in rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect():
+            if r["n"] > left:
+                rows = rows.where(at == r["bin"])
+                break
+            left -= r["n"]
+
+
+def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The results of a that b has as well."""
+    return a.join(b.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_semi")
+
+
+def id_bitmap(bits: bytes) -> Column:
+    """Ids whose bit is set, the lowest bit of a byte first; ids beyond the bitmap are not selected."""
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits)), (F.floor(F.col("vec_id") / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    return (F.col("vec_id") >= 0) & (F.col("vec_id") < 8 * len(bits)) & (F.call_function("shiftright", byte, (F.col("vec_id") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
+def translated(vectors: DataFrame, ids: DataFrame, selector: Column) -> DataFrame:
+    """Vectors whose external id, by a table (vec_id, external_id), a selector on vec_id admits."""
+    admitted = ids.select(F.col("vec_id").alias("own_"), F.col("external_id").alias("vec_id")).where(selector).select(F.col("own_").alias("vec_id"))
+    return id_batch(vectors, admitted)
+
+
+def big_batch(queries: DataFrame, vectors: DataFrame, k: int, path: str, blocks: int = 8, name: str = "l2") -> DataFrame:
+    """knn() in blocks of queries that are written one after another; a run that was broken off goes on behind the blocks
+    that are whole. The blocks follow a hash of the query's id, so every run makes the same."""
+    spark = queries.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in range(blocks):
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/block={i}/_SUCCESS")):
+            knn(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), vectors, k, name).write.mode("overwrite").parquet(f"{path}/block={i}")
+    return spark.read.parquet(path).drop("block")
+
+
+def knn_line(queries: DataFrame, values: DataFrame, k: int) -> DataFrame:
+    """kNN of numbers: queries (query_id, x), values (vec_id, x). Each task sorts its values and takes k on both sides of
+    every query of a block, so a query costs a binary search and not a pass."""
+    parts = None
+    for block in query_blocks(queries, 1):
+        rows = block.collect()  # at most BLOCK_BYTES, see query_blocks
+        sent = queries.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["x"] for r in rows], np.float64)))
+
+        def run(batches: Iterator, sent=sent) -> Iterator:
+            import pyarrow as pa
+
+            ids, q = sent.value
+            for batch in batches:
+                names, x = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
+                order = np.lexsort((names, x))
+                names, x = names[order], x[order]
+                # equal values beyond k on a side are the ones of greater ids only if the run's begin is taken
+                left, right = np.searchsorted(x, q, "left"), np.searchsorted(x, q, "right")
+                out: tuple[list, ...] = ([], [], [])
+                for i, lo, hi, v in zip(ids.tolist(), left.tolist(), right.tolist(), q.tolist(), strict=True):
+                    edge = int(np.searchsorted(x, x[max(0, lo - k)], "left")) if lo else 0
+                    at = np.concatenate((np.arange(edge, lo), np.arange(lo, min(hi, lo + k)), np.arange(hi, min(len(x), hi + k))))
+                    d = np.abs(x[at] - v)
+                    best = np.lexsort((names[at], d))[:k]
+                    out[0].extend([i] * len(best))
+                    out[1].extend(names[at][best].tolist())
+                    out[2].extend(d[best].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "distance"])
+
+        part = values.select("vec_id", "x").mapInArrow(run, "query_id long, vec_id long, distance double")
+        parts = part if parts is None else parts.unionByName(part)
+    return _best(parts.withColumn("distance", F.round("distance", 6)), k, False)
 
 
 def approximate_top(queries: DataFrame, vectors: DataFrame, k: int, buckets: int = 8, per_bucket: int = 4) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import byte_batches, fold, stored, table, texts_of
+from nearfield.llm.common import byte_batches, fold, pieces, stored, table, texts_of
 
 # What a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
@@ -44,19 +44,27 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """The likeliest intended string behind a written span, under the channel and the character model."""
+    """The likeliest intended string behind a written span, under the channel and the character model.
 
-    KEEP, SWAP, DROP, REPEAT, GAP, END = (math.log(x) for x in (0.05, 0.8, 0.02, 0.3, 0.95, 0.9))
+    Viterbi over histories of three symbols, none of them cut: a position has as many as its last characters can stand
+    for, and 29**3 at most, so time is in proportion to the span's length. Spans met before are kept, up to a number of
+    characters.
+    """
+
+    KEEP, SWAP, DROP, REPEAT, TWICE, GAP, END = (math.log(x) for x in (0.05, 0.8, 0.02, 0.3, 0.01, 0.95, 0.9))
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
         self.known: dict[tuple[str, bool], str] = {}
+        self.held = 0
 
     def __call__(self, span: str, spaced: bool) -> str:
         out = self.known.get((span, spaced))
         if out is None:
-            if len(self.known) > 100_000:
+            self.held += 32 + len(span)
+            if self.held > 4 << 20:
                 self.known.clear()
+                self.held = 32 + len(span)
             out = self.known[span, spaced] = self.decode(span, spaced)
         return out
 
@@ -74,7 +82,7 @@ class Decoder:
         else:
             own = [(ch, 27 if ord(ch) >= 128 else 28, 0.0)]
         if ch == before:
-            own.append(("", -1, self.REPEAT))
+            own.append(("", -1, self.REPEAT if run > 2 else self.TWICE))
         return own
 
     def decode(self, span: str, spaced: bool) -> str:
@@ -94,8 +102,6 @@ class Decoder:
                         to, q, way = g % size, p + cost + model[g], (path, text)
                     if to not in after or after[to][0] < q:
                         after[to] = (q, way)
-            if len(after) > 64:
-                after = dict(sorted(after.items(), key=lambda x: -x[1][0])[:64])
             states, before = after, ch
         _, path = max(((p + model[h * N], path) for h, (p, path) in states.items()), key=lambda x: x[0])
         out = []
@@ -111,7 +117,7 @@ _MARKS = re.escape("".join(x for x in LEET if not x.isdigit()))
 #: Stand-ins that may also end a sentence, a cell or a term after a word.
 _ENDING = "!|+(<"
 #: Spans whose lattice has more than one path: three or more single characters with gaps (with a letter if just three); a
-#: whole word, marks included, of a letter and a stand-in, a homoglyph or a letter thrice. A letter twice is spelling.
+#: whole word, marks included, of a letter and a stand-in, a homoglyph or a letter twice in a row.
 _SPACED = re.compile(rf"(?<![^\W_])(?:(?:[a-z0-9{_MARKS}]([ .\-_*])(?:\1)?){{3,}}|(?=[^a-z]{{0,6}}[a-z])(?:[a-z0-9{_MARKS}]([ .\-_*])(?:\2)?){{2}})[a-z0-9{_MARKS}](?![^\W_])")
 _WORD = re.compile(rf"(?:[^\W_]|[{_MARKS}])+")
 
@@ -124,7 +130,7 @@ def word_end(span: str) -> int:
 
 
 _LATIN = re.compile(r"[a-z]")
-_NOISE = re.compile(rf"[0-9{_MARKS}{''.join(HOMOGLYPHS)}]|([a-z])\1\1")
+_NOISE = re.compile(rf"[0-9{_MARKS}{''.join(HOMOGLYPHS)}]|([a-z])\1")
 _ODD = re.compile(r"[​-‏⁠﻿­]")
 _WIDE = re.compile(r"[！-～\U0001d400-\U0001d7ff]")
 _WORDS = re.compile(r"[^\W_]+")
@@ -149,7 +155,7 @@ def choices(text: bytes) -> list[tuple[int, int]]:
         return []
     letter, stand = _LETTER[b], _STAND[b]
     hot = stand | _FOREIGN[b]
-    hot[2:] |= letter[2:] & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2])
+    hot[1:] |= letter[1:] & (b[1:] == b[:-1])
     edge = np.concatenate(([True], ~_ALNUM[b], [True]))
     alone = np.flatnonzero((letter | stand | _MARK[b]) & edge[:-2] & edge[2:])  # a single character; three near one another
     spaced = np.zeros(len(b), dtype=bool)
@@ -233,13 +239,13 @@ class Toxicity:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -3.0
 
-    def scorer(self):
+    def scorer(self, with_text: bool = False):
         decoder = Decoder(self.chars)
         kinds: dict[tuple[str, int], dict[str, float]] = {}
         for f, w in self.weights.items():
             kinds.setdefault((f[0], 0 if f[0] == "=" else len(f) - 1), {})[f[1:]] = w
 
-        def score(text: str) -> tuple[float, str, int]:
+        def score(text: str) -> tuple[float, str | None, int]:
             restored, n = restore(text, decoder)
             every = _WORDS.findall(restored)
             words, met = Counter(every), Counter()
@@ -251,7 +257,7 @@ class Toxicity:
                         if w[:k] in own:
                             met[f"^{w[:k]}"] += words[w]
             z = self.bias + math.fsum(sorted(self.weights[f] * value(c, len(every)) for f, c in met.items()))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), restored, n
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), restored if with_text else None, n
 
         return score
 
@@ -288,7 +294,7 @@ def fit_characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
 
         total = np.zeros(N**_ORDER, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = _fold_rows(batch, 1, folds, held, True)
             for a, b in byte_batches(texts, 2 << 20):  # counting takes several times a text's size
                 total += gram_counts(texts[a:b])
@@ -301,14 +307,17 @@ def fit_characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return log_model(counts)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held: int = 2, max_labelled: int = 12_000, max_features: int = 50_000, max_kept: int = 400, min_ratio: float = 3.0) -> Toxicity:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, held: int = 2, max_labelled: int = 12_000, max_features: int = 50_000, max_kept: int = 400, min_ratio: float = 3.0, most_of_one: int = 3) -> Toxicity:
     """Character model of all training documents; a classifier fitted on a bounded sample of labelled ones.
 
     max_labelled bounds the labelled sample (the ids of smallest hash, held-out fold left out; equal texts teach once);
     max_features bounds the candidates that the driver holds (the most frequent in toxic texts). A feature is a word, or
     a beginning of words, of the restored text that is at least min_ratio times as frequent in toxic texts; the
-    max_kept of greatest log likelihood ratio enter a logistic regression on their density. Without labels of both
-    classes no feature is taken, and every text gets the same score.
+    max_kept of greatest log likelihood ratio enter a logistic regression on their density. In these frequencies, by
+    which features are chosen, a text counts a feature most_of_one times at most, so that no single text makes one; fit
+    and scores know all occurrences. Without labels of both classes no feature is taken, and every text gets the same
+    score. Texts are restored whole, a few megabytes at a time; null and empty ones teach nothing but the bias; rows that
+    repeat an id share its label, equal texts of different labels teach once, as toxic; other columns aren't read.
     """
     spark = docs.sparkSession
     model = Toxicity(fit_characters(docs, id_col, text_col, folds, held))
@@ -328,12 +337,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
             decoder, seen = Decoder(sent.value), Counter()
             pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["f", "n"])
-            for batch in batches:
+            for batch in pieces(batches, 0):
                 for t in texts_of(batch.column(0)):
                     words = Counter(_WORDS.findall(restore(t.decode(), decoder)[0]))
                     seen["*"] += words.total()
-                    # an occurrence more than the third in a text says little about the word
-                    seen.update({f: min(n, 3) for f, n in features(words).items() if only is None or f in only})
+                    seen.update({f: min(n, most_of_one) for f, n in features(words).items() if only is None or f in only})
                 if len(seen) > 500_000:
                     yield pack()
                     seen.clear()
@@ -367,7 +375,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         import pyarrow as pa
 
         decoder = Decoder(sent.value)
-        for batch in batches:
+        for batch in pieces(batches, 0):
             rows = []
             for t in texts_of(batch.column(0)):
                 words = Counter(_WORDS.findall(restore(t.decode(), decoder)[0]))
@@ -394,8 +402,8 @@ def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", tex
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        score = sent.value.scorer()
-        for batch in batches:
+        score = sent.value.scorer(with_text)
+        for batch in pieces(batches, 1):
             rows = [score(t.decode()) for t in texts_of(batch.column(1))]
             s = [r[0] for r in rows]
             cols = [batch.column(0), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([r[2] for r in rows], pa.int32())]

@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names (set here only where it is unset)."""
+    """A fresh path in the shared folder that spark.checkpoint.dir names. Only on one machine, as in tests, a folder of
+    its own is set where it is unset; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "/tmp/nearfield-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -74,7 +74,7 @@ def size_of(text: Column) -> Column:
     return F.expr("0L") + F.length(F.regexp_replace(F.regexp_replace(text, rf"[^\x20\x09-\x0D]+", "x"), rf"{SPACE}+", ""))
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = CYCLE, share: Fraction = Fraction(3, 2), cap: int = 2, block_tokens: int = 64, max_shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = CYCLE, share: Fraction = Fraction(3, 2), cap: int = 2, block_tokens: int = 64, max_shards: int = 4096, seed: int = 17, place: Column | None = None) -> DataFrame:
     """How many tokens of every document a mix of sources takes.
 
     Sources, ordered by code point with null last, weigh as `weights` in turn and share `share` of all tokens; a target
@@ -88,12 +88,14 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     each shard: at most the number of sources plus max_shards. Block length shrinks where a source is so small that
     rounding would matter.
 
+    place, if given, is hashed in the place of the id: rows of one place and id are as good as one another.
+
     Returns id_col, size, source_size, target, taken, first (position in the document of a partly taken run), and full
     (times that the whole document is taken), a row for each row of docs. Documents of no tokens have taken 0; an
     empty table gives no rows; rows that repeat an id are documents each; a null id is hashed as a value of its own.
     """
     spark = docs.sparkSession
-    kept = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")), "sizes")
+    kept = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(id_col) if place is None else place).alias("h")), "sizes")
     sources = [(r["source"], int(r["n"] or 0)) for r in kept.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()]
     sizes = [n for _, n in sources]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
@@ -147,29 +149,30 @@ def cut_words(text: str, first: int, n: int) -> str:
 def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs as the mix has them: a row for each whole copy that it takes and for each part, with docs' columns.
 
-    Meets the plan of mix() with the texts by a row number, in one shuffle. Rows whose words aren't taken go; n_chars,
-    if there, is counted again. A document without words is in no mix.
+    Rows are numbered in two reads, so docs has to be a table; the numbers meet the plan of mix() in one shuffle, in which
+    no key is hot. Where a row stands in the mix follows from its id, text and source, so it is the same in any order of
+    rows. Rows whose words aren't taken go; n_chars, if there, is counted again. A document without words is in no mix;
+    equal rows are documents each; texts of any length are cut in one pass.
     """
-    numbered = docs.withColumn("row_", F.xxhash64(id_col, text_col, source_col))
-    taken = mix(numbered.select(F.struct(F.col(id_col), F.col("row_")).alias("key"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), size_of(F.col("text")), "key", "source", **how)
-    taken = taken.where("taken > 0").select(F.col("key.row_").alias("row_"), "size", "full", "first", "one", "two")
-    # equal rows share a number: each of them then stands for one of the plan's rows
-    w = Window.partitionBy("row_").orderBy("row_")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_"), own.alias("own_"))
+    content = docs.select(F.struct(F.col(id_col), F.monotonically_increasing_id().alias("row_")).alias("key"), F.xxhash64(id_col, text_col, source_col).alias("h"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("n"))
+    taken = mix(content, F.col("n"), "key", "source", place=F.col("h"), **how)
+    taken = taken.where("taken > 0").select(F.col("key.row_").alias("row_"), F.col("size").alias("size_"), "full", "first", "one", "two")
     # a part of all words is a whole copy
     parts = F.filter(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("two").alias("n")), F.struct(F.col("first").alias("at"), F.col("one").alias("n"))), lambda p: p["n"] > 0)
     pieces = F.concat(F.array_repeat(F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("n")), F.col("full")), parts)
-    left, right = numbered.withColumn("k_", F.row_number().over(w)), taken.withColumn("k_", F.row_number().over(w))
-    out = left.join(right.withColumnRenamed("size", "size_"), ["row_", "k_"]).withColumn("piece_", F.explode(pieces))
+    out = numbered.join(taken, "row_").withColumn("piece_", F.explode(pieces))
 
     @F.pandas_udf("string")
     def part(text: pd.Series, at: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else cut_words(t, int(a), int(k)) for t, a, k in zip(text, at, n, strict=True)], dtype=object)
 
     at = F.when(F.col("piece_.n") == F.col("size_"), -1).otherwise(F.col("piece_.at"))
-    out = out.withColumn(text_col, F.when(at < 0, F.col(text_col)).otherwise(part(F.when(at >= 0, F.col(text_col)), at, F.col("piece_.n"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
-    return out.select(*docs.columns)
+    whole = F.col("own_").getField(text_col)
+    out = out.select("own_", F.when(at < 0, whole).otherwise(part(F.when(at >= 0, whole), at, F.col("piece_.n"))).alias("text_"))
+    new = {text_col: F.col("text_")} | ({"n_chars": F.length("text_").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("own_").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

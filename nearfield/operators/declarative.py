@@ -13,36 +13,50 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.graph import Policy, State, load_shards, walk
+from nearfield.operators.search import _best, dimension, query_blocks
 
+# The features that the published methods name, by the names of their logs' columns.
 RECALL_FEATURES = ["step", "dists", "inserts", "first_nn_dist", "nn_dist", "furthest_dist", "avg_dist", "variance", "percentile_25", "percentile_50", "percentile_75"]
 STABLE_FEATURES = ["step", "dists", "inserts", "visited_points", "duration", "nn_dist", "furthest_dist", "avg_dist", "variance"]
 BUDGET_FEATURES = ["first_nn_dist", "nn_dist", "furthest_dist", "avg_dist", "nn_to_first"]
 WIDTH_FEATURES = ["step", "dists", "inserts", "first_nn_dist", "visited_points", "nn_dist", "avg_dist", "furthest_dist", "variance", "std", "range", "energy", "nn_to_first", "density"]
 
 
+def tick(s: State, d: float) -> None:
+    """Keeps `visited` (expanded nodes among the k nearest) and `duration` (steps that it has stood still), before a node at
+    distance d is expanded. Both are counted again only where the k nearest changed or one of them was expanded."""
+    m = s.memory
+    if m.get("inserts") != s.inserts or m.get("last", math.inf) <= m.get("kth", math.inf):
+        near = s.nearest()
+        visited = sum(i in s.expanded for i in near)
+        m["duration"] = m.get("duration", 0) + 1 if m.get("visited") == visited else 0
+        top = s.top()
+        m["visited"], m["inserts"], m["kth"] = visited, s.inserts, float(top[-1]) if len(top) else math.inf
+    else:
+        m["duration"] += 1
+    m["last"] = d
+
+
 def observe(s: State) -> dict[str, float]:
-    """The running features of a search; moments are over the k nearest so far."""
+    """The running features of a search; moments are over the k nearest so far. visited_points is counted here, duration is
+    tick()'s, or 0."""
     d = s.top()
     if not len(d):
         d = np.array([s.first])
     far = d[d != 0]
     n = len(d)
     visited = sum(i in s.expanded for i in s.nearest())
-    if s.memory.get("visited") == visited:
-        s.memory["duration"] = s.memory.get("duration", 0) + 1
-    else:
-        s.memory["visited"], s.memory["duration"] = visited, 0
     mean = float(far.mean()) if len(far) else 0.0
     var = float(max((d * d).mean() - d.mean() ** 2, 0.0))
     p = lambda x: float(d[int(x * (n - 1))])
     return {
-        "step": s.step, "dists": s.ndis, "inserts": s.inserts, "first_nn_dist": s.first, "visited_points": visited, "duration": s.memory["duration"], "nn_dist": float(d[0]), "avg_dist": mean, "furthest_dist": float(d[-1]),
+        "step": s.step, "dists": s.ndis, "inserts": s.inserts, "first_nn_dist": s.first, "visited_points": visited, "duration": s.memory.get("duration", 0), "nn_dist": float(d[0]), "avg_dist": mean, "furthest_dist": float(d[-1]),
         "percentile_25": p(0.25), "percentile_50": p(0.5), "percentile_75": p(0.75), "percentile_95": p(0.95), "variance": var, "std": math.sqrt(var), "range": float(d[-1] - d[0]),
-        "energy": float((d * d).sum()), "nn_to_first": float(d[0]) / s.first if s.first > 0 else -1.0, "density": 1.0 / mean if mean else 0.0,
+        "energy": float((d * d).sum()), "nn_to_first": float(d[0]) / s.first if s.first > 0 else -1.0, "nn10_to_first": float(d[9]) / s.first if s.first > 0 and n >= 10 else -1.0, "density": 1.0 / mean if mean else 0.0,
     }
 
 
@@ -53,6 +67,12 @@ class Trees:
     names: list[str]
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     weights: np.ndarray
+    #: Of each feature's share in the splits' gains.
+    importance: dict[str, float] | None = None
+
+    def probability(self, x: dict[str, float]) -> float:
+        """Of the second class, for trees that train_classifier() made."""
+        return 1.0 / (1.0 + math.exp(-2.0 * max(-300.0, min(300.0, self.predict(x)))))
 
     def predict(self, x: dict[str, float]) -> float:
         row = [x[n] for n in self.names]
@@ -84,7 +104,7 @@ def export(model, names: list[str]) -> Trees:
 
         grow(tree._call_java("rootNode"))
         out.append(tuple(np.array(c) for c in cols))
-    return Trees(names, out, np.array(model.treeWeights))
+    return Trees(names, out, np.array(model.treeWeights), dict(zip(names, model.featureImportances.toArray().tolist(), strict=True)))
 
 
 def train(rows: DataFrame, names: list[str], label: str = "r", trees: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42) -> Trees:
@@ -93,6 +113,14 @@ def train(rows: DataFrame, names: list[str], label: str = "r", trees: int = 20,
     return export(GBTRegressor(featuresCol="x_", labelCol="y_", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(table), names)
 
 
+def train_classifier(rows: DataFrame, names: list[str], label: str = "y", trees: int = 20, depth: int = 4, seed: int = 42) -> Trees:
+    """Boosted trees for a label of 0 and 1; probability() gives the second class's."""
+    from pyspark.ml.classification import GBTClassifier
+
+    table = VectorAssembler(inputCols=names, outputCol="x_").transform(rows.select(*[F.col(n).cast("double") for n in names], F.col(label).cast("double").alias("y_")))
+    return export(GBTClassifier(featuresCol="x_", labelCol="y_", maxIter=trees, maxDepth=depth, seed=seed).fit(table), names)
+
+
 def compare_models(rows: DataFrame, names: list[str], label: str = "r") -> dict[str, float]:
     """R2 of linear, forest and boosted regressors on a held-out fifth."""
     from pyspark.ml.evaluation import RegressionEvaluator
@@ -107,14 +135,26 @@ def compare_models(rows: DataFrame, names: list[str], label: str = "r") -> dict[
     return scores
 
 
-def trace(graph: DataFrame, queries: DataFrame, truth: DataFrame, k: int, ef: int = 128, every: int = 1) -> DataFrame:
+def trace(graph: DataFrame, queries: DataFrame, truth: DataFrame, k: int, ef: int = 128, every: int = 1, max_queries: int = 10_000) -> DataFrame:
     """The observation log: a row of features and true recall r for each `every` steps of every query's walk, per shard.
+    `beyond` says that the next node is farther than the k-th result.
 
-    truth has (query_id, vec_id) of the k nearest; r counts those that the shard holds.
+    truth has (query_id, vec_id) of the k nearest; r counts those that the shard holds. At most max_queries training
+    queries are walked, those of least hash; they go out in blocks of checked size.
     """
-    names = ["qid", "shard", *observe(State(1, 1, np.zeros(1))), "r"]
-    whole = {"step", "dists", "inserts", "visited_points", "duration", "qid", "shard"}
-    rows = queries.join(truth.groupBy("query_id").agg(F.collect_list("vec_id").alias("gt")), "query_id").orderBy("query_id").collect()
+    few = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(max_queries)
+    asked = few.join(truth.groupBy("query_id").agg(F.collect_list("vec_id").alias("gt")), "query_id")
+    out = None
+    for block in query_blocks(asked, dimension(asked, "q") + k):
+        part = _trace(graph, block, k, ef, every)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _trace(graph: DataFrame, queries: DataFrame, k: int, ef: int, every: int) -> DataFrame:
+    names = ["qid", "shard", *observe(State(1, 1, np.zeros(1))), "beyond", "r"]
+    whole = {"step", "dists", "inserts", "visited_points", "duration", "qid", "shard", "beyond"}
+    rows = queries.orderBy("query_id").collect()  # at most BLOCK_BYTES, see query_blocks
     sent = graph.sparkSession.sparkContext.broadcast([(r["query_id"], np.array(r["q"], dtype=np.float64), set(r["gt"])) for r in rows])
 
     def run(batches: Iterator) -> Iterator:
@@ -129,9 +169,11 @@ def trace(graph: DataFrame, queries: DataFrame, truth: DataFrame, k: int, ef: in
                     continue
 
                 def note(s: State, d: float, qid=qid, near=near, g=g, out=out) -> bool:
-                    x = observe(s)
+                    tick(s, d)
                     if s.step % every == 0:
-                        out.append({"qid": qid, "shard": shard} | x | {"r": len(near & {int(g.ids[i]) for i in s.nearest()}) / len(near)})
+                        x = observe(s)
+                        beyond = int(len(s.best) >= s.k and d > s.memory["kth"])
+                        out.append({"qid": qid, "shard": shard, "beyond": beyond} | x | {"r": len(near & {int(g.ids[i]) for i in s.nearest()}) / len(near)})
                     return False
 
                 s = walk(g, q, k, ef, note)
@@ -157,10 +199,9 @@ def recall_policy(model: Trees, target: float, first: int = 50, least: int = 10)
 
         def stop(s: State, d: float) -> bool:
             nonlocal due
-            x = observe(s)
             if s.ndis < due:
                 return False
-            s.predicted = min(1.0, max(0.0, model.predict(x)))
+            s.predicted = min(1.0, max(0.0, model.predict(observe(s))))
             due = s.ndis + max(1, round(least + (first - least) * max(0.0, target - s.predicted)))
             return s.predicted >= target
 
@@ -203,9 +244,9 @@ def stable_policy(model: Trees, target: float, times: int = 3, times_late: int =
             passed = passed or s.step > 1
             if passed:
                 stable = stable + 1 if (stable and not got) or got <= s.k * (1 - target) else 0
-            x = observe(s)
+            tick(s, d)
             if stable >= times and (predicted < 0 or predicted + since / s.k >= target or stable == times_late):
-                predicted, since = min(1.0, max(0.0, model.predict(x))), 0
+                predicted, since = min(1.0, max(0.0, model.predict(observe(s)))), 0
                 s.predicted = predicted
                 return round(predicted, 2) >= round(target, 2)
             return False
@@ -215,6 +256,16 @@ def stable_policy(model: Trees, target: float, times: int = 3, times_late: int =
     return make
 
 
+def beyond(s: State, d: float) -> bool:
+    """Whether the next node, at distance d, is farther than the k-th result."""
+    if len(s.best) < s.k:
+        return False
+    m = s.memory
+    if m.get("at") != s.inserts or "far" not in m:
+        m["at"], m["far"] = s.inserts, float(s.top()[-1])
+    return d > m["far"]
+
+
 def width_policy(model: Trees) -> Callable[[], Policy]:
     """When the next node is first farther than the k-th result, predict the queue width that the query needs, once."""
 
@@ -223,11 +274,9 @@ def width_policy(model: Trees) -> Callable[[], Policy]:
 
         def stop(s: State, d: float) -> bool:
             nonlocal done
-            x = observe(s)
-            top = s.top()
-            if not done and len(top) >= s.k and d > top[-1]:
+            if not done and beyond(s, d):
                 done = True
-                s.predicted = model.predict(x)
+                s.predicted = model.predict(observe(s))
                 s.ef = int(min(s.ef, max(s.k, round(s.predicted))))
             return False
 
@@ -237,25 +286,65 @@ def width_policy(model: Trees) -> Callable[[], Policy]:
 
 
 def width_rows(log: DataFrame) -> DataFrame:
-    """The log's row of each query where the k-th distance first stands still: where width_policy predicts."""
-    return log.where("step > 0 and duration >= 1").groupBy("qid", "shard").agg(F.min_by(F.struct(*[c for c in log.columns if c not in ("qid", "shard")]), "step").alias("x")).select("qid", "shard", "x.*")
+    """The log's row of each query where the next node is first farther than the k-th result: where width_policy
+    predicts."""
+    return log.where("beyond = 1").groupBy("qid", "shard").agg(F.min_by(F.struct(*[c for c in log.columns if c not in ("qid", "shard")]), "step").alias("x")).select("qid", "shard", "x.*")
 
 
-def least_width(graph: DataFrame, queries: DataFrame, truth: DataFrame, k: int, target: float, widest: int = 256) -> DataFrame:
-    """(query_id, ef): the narrowest queue that reaches the target recall, by bisection, or the widest."""
+def least_width(graph: DataFrame, queries: DataFrame, truth: DataFrame, k: int, target: float, widest: int = 256, tolerance: float = 0.1) -> DataFrame:
+    """(query_id, ef): the narrowest queue that reaches the target recall, to a share of `tolerance`, or the widest.
+
+    Widths double until the target is met; the interval between the last miss and the first hit is then halved, for all
+    queries in one search a round, each with a width of its own.
+    """
     from nearfield.operators.evaluate import recall
     from nearfield.operators.graph import merged, search
 
-    out, ef = None, k
-    while ef <= widest:
-        r = recall(merged(search(graph, queries, k, ef), k), truth, k).where(F.col("recall") >= target).select("query_id", F.lit(ef).alias("ef"))
-        out = r if out is None else out.unionByName(r)
-        ef *= 2
-    best = out.groupBy("query_id").agg(F.min("ef").alias("ef"))
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("ef", F.lit(widest)).alias("ef"))
+    spark = queries.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
+    low: dict = {}
+    high = {r[0]: widest for r in queries.select("query_id").collect()}
+    todo = {i: min(k, widest) for i in high}
+    met: set = set()
+    while todo:
+        asked = queries.join(F.broadcast(spark.createDataFrame(list(todo.items()), f"query_id {kind}, ef int")), "query_id")
+        got = {r["query_id"]: r["recall"] for r in recall(merged(search(graph, asked, k, k), k), truth.join(asked.select("query_id"), "query_id", "left_semi"), k).collect()}
+        new = {}
+        for i, ef in todo.items():
+            if got.get(i, 0.0) >= target:
+                high[i] = ef
+                met.add(i)
+            else:
+                low[i] = ef
+            if i not in met and ef < widest:
+                new[i] = min(2 * ef, widest)
+            elif i in met and i in low and high[i] - low[i] > max(1, tolerance * high[i]):
+                new[i] = (low[i] + high[i]) // 2
+        todo = new
+    return spark.createDataFrame(list(high.items()), f"query_id {kind}, ef int")
+
+
+def chosen_policy(width: Callable[[], Policy], rest: Callable[[], Policy], classifier: Trees | None = None) -> Callable[[], Policy]:
+    """Both run from the start; where the next node is first farther than the k-th result one of them is chosen: by the
+    classifier's probability of a half on what is observed there, or the width without a classifier."""
+
+    def make() -> Policy:
+        by_width, by_recall, choice = width(), rest(), None
+
+        def stop(s: State, d: float) -> bool:
+            nonlocal choice
+            if choice is None and beyond(s, d):
+                choice = by_width if classifier is None or classifier.probability(observe(s)) >= 0.5 else by_recall
+            if choice is by_width:
+                return by_width(s, d)
+            return by_recall(s, d)
+
+        return stop
 
+    return make
 
-def select_policy(queries: DataFrame, classifier: Callable[[np.ndarray], float], one: Callable[[], Policy], other: Callable[[], Policy]) -> Callable[[], Policy]:
+
+def select_policy(classifier: Callable[[np.ndarray], float], one: Callable[[], Policy], other: Callable[[], Policy]) -> Callable[[], Policy]:
     """A policy by the query itself: `one` where the classifier's probability is at least a half."""
 
     def make() -> Policy:
@@ -272,6 +361,46 @@ def select_policy(queries: DataFrame, classifier: Callable[[np.ndarray], float],
     return make
 
 
+def query_features(d: int) -> list[str]:
+    return [f"q{i}" for i in range(d)]
+
+
+def train_selector(queries: DataFrame, costs: DataFrame, d: int) -> Callable[[np.ndarray], float]:
+    """A classifier on the raw query for select_policy: costs has (query_id, one, other), the distances that either policy
+    took, null where it missed the target. The label is whether `one` is the cheaper that doesn't miss."""
+    better = F.col("one").isNotNull() & (F.col("other").isNull() | (F.col("one") <= F.col("other")))
+    rows = queries.join(costs, "query_id").select(*[F.col("q")[i].alias(n) for i, n in enumerate(query_features(d))], better.cast("int").alias("y"))
+    kinds = rows.agg(F.min("y"), F.max("y")).first()
+    if kinds[0] == kinds[1]:
+        share = float(kinds[0] or 0)
+        return lambda q: share
+    names = query_features(d)
+    trees = train_classifier(rows, names)
+    return lambda q: trees.probability(dict(zip(names, q.tolist(), strict=True)))
+
+
+def stability_times(log: DataFrame, target: float) -> DataFrame:
+    """(n, avg, min, max) over queries of the longest run of steps without a new result before the recall met the target:
+    what stable_policy has to wait out."""
+    w = Window.partitionBy("qid", "shard").orderBy("step")
+    moved = log.withColumn("last", F.max(F.when(F.col("inserts") > F.coalesce(F.lag("inserts").over(w), F.lit(-1)), F.col("step"))).over(w))
+    runs = moved.groupBy("qid", "shard").agg(F.max(F.when(F.col("r") < target, F.col("step") - F.col("last")).otherwise(0)).alias("stable"))
+    return runs.agg(F.count("*").alias("n"), F.round(F.avg("stable"), 6).alias("avg"), F.min("stable").alias("min"), F.max("stable").alias("max"))
+
+
+def optimal_stop(log: DataFrame, target: float) -> DataFrame:
+    """(qid, dists, all): distances to where the recall first meets the target, which no policy can better, and of the
+    whole walk; over all shards."""
+    own = log.groupBy("qid", "shard").agg(F.min(F.when(F.col("r") >= target, F.col("dists"))).alias("dists"), F.max("dists").alias("whole"))
+    return own.groupBy("qid").agg(F.sum(F.coalesce("dists", "whole")).alias("dists"), F.sum("whole").alias("all"))
+
+
+def step_deltas(log: DataFrame, columns: list[str]) -> DataFrame:
+    """The log with each column's change since the step before, 0 at the first."""
+    w = Window.partitionBy("qid", "shard").orderBy("step")
+    return log.select("*", *[(F.col(c) - F.coalesce(F.lag(c).over(w), F.col(c))).alias(f"{c}_delta") for c in columns])
+
+
 def tune_multiplier(run: Callable[[float], float], target: float, low: float = 0.1, high: float = 8.0, steps: int = 8) -> float:
     """The least multiplier whose recall reaches the target, by bisection of a callable that measures it."""
     for _ in range(steps):
@@ -283,35 +412,77 @@ def tune_multiplier(run: Callable[[float], float], target: float, low: float = 0
     return high
 
 
-def ivf_recall_search(lists: DataFrame, queries: DataFrame, centroids: np.ndarray, model: Trees, k: int, target: float, nprobe: int = 16, first: int = 200, least: int = 50) -> DataFrame:
-    """Probed lists are read in order in one task per query; recall is predicted between lists. lists: raw vectors."""
+def ivf_recall_search(index, queries: DataFrame, model: Trees, k: int, target: float, nprobe: int = 16, step: int = 2) -> DataFrame:
+    """(query_id, rank, vec_id, distance, probed): inverted lists are read `step` probes at a time; after each the recall
+    of every open query is predicted from its results, and queries at the target are done. A done query's further lists
+    are not read for it, and lists that no open query probes are not read at all.
+
+    The driver holds k results for each query of a block of checked size, and runs at most nprobe / step jobs a block.
+    """
+    from nearfield.operators.ivf import probes
+
+    out = None
+    for block in query_blocks(queries, dimension(queries, "q") + 3 * k + 2 * nprobe):
+        part = _ivf_block(index, probes(block, index.centroids, nprobe, index.ip), model, k, target, nprobe, step)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ivf_state(found: list[tuple[float, int]], k: int, first: float, probe: int, codes: int, before: State | None) -> State:
+    """What observe() needs of a search over lists: steps are probes, distances are codes read."""
+    s = State(k, k, np.zeros(1), step=probe, ndis=codes, first=first)
+    s.best = [(-d, i) for d, i in found[:k]]
+    s.inserts = len({i for _, i in s.best} - ({i for _, i in before.best} if before else set())) + (before.inserts if before else 0)
+    return s
+
+
+def _ivf_steps(index, probed: DataFrame, k: int, nprobe: int, step: int, done: Callable[[int, State], bool]):
+    """Yields after each block of probes: (probes so far, {query: State}, {query: [(distance, vec_id)]})."""
+    rows = probed.select("query_id", "list_no", "probe", "coarse").collect()
+    sizes = {r["list_no"]: r["count"] for r in index.lists.groupBy("list_no").count().collect()}  # at most nlist
+    first = {r["query_id"]: float(r["coarse"]) for r in rows if r["probe"] == 1}
+    by_query: dict = {}
+    for r in sorted(rows, key=lambda r: r["probe"]):
+        by_query.setdefault(r["query_id"], []).append(r["list_no"])
+    found: dict = {i: [] for i in by_query}
+    states: dict = {}
+    open_ = set(by_query)
+    for lo in range(0, nprobe, step):
+        if not open_:
+            return
+        some = probed.where((F.col("probe") > lo) & (F.col("probe") <= lo + step)).where(F.col("query_id").isin(sorted(open_)))
+        for r in _best(index.scan(some, k), k, index.ip).collect():
+            found[r["query_id"]].append((r["distance"], r["vec_id"]))
+        for i in sorted(open_):
+            best = found[i] = sorted(found[i])[:k]
+            own = by_query[i][: lo + step]
+            states[i] = ivf_state(best, k, first[i], len(own), sum(sizes.get(x, 0) for x in own), states.get(i))
+        yield lo + step, {i: states[i] for i in open_}, found
+        open_ = {i for i in open_ if not done(i, states[i])}
+
+
+def _ivf_block(index, probed: DataFrame, model: Trees, k: int, target: float, nprobe: int, step: int) -> DataFrame:
+    def done(i: int, s: State) -> bool:
+        s.predicted = min(1.0, max(0.0, model.predict(observe(s))))
+        return s.predicted >= target
+
+    probed_of: dict = {}
+    found: dict = {}
+    for _, states, found in _ivf_steps(index, probed, k, nprobe, step, done):
+        probed_of |= {i: s.step for i, s in states.items()}
+    rows = [(i, r + 1, v, d, probed_of[i]) for i, own in found.items() for r, (d, v) in enumerate(own)]
+    return probed.sparkSession.createDataFrame(rows, "query_id long, rank int, vec_id long, distance double, probed int")
+
+
+def ivf_trace(index, queries: DataFrame, truth: DataFrame, k: int, nprobe: int = 16, step: int = 2) -> DataFrame:
+    """The observation log of searches over lists, as trace() gives it of graphs: queries are a bounded training set."""
     from nearfield.operators.ivf import probes
 
-    rows = probes(queries, centroids, nprobe).join(lists.select("list_no", "vec_id", "embedding"), "list_no").select("query_id", "q", "probe", "coarse", "vec_id", "embedding")
-    sent = queries.sparkSession.sparkContext.broadcast(model)
-
-    def one(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["probe", "vec_id"], kind="stable")
-        q = np.array(pdf["q"].iloc[0], dtype=np.float64)
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        d, ids, probe = ((x - q) ** 2).sum(1), pdf["vec_id"].to_numpy(), pdf["probe"].to_numpy()
-        s = State(k, k, q, first=float(pdf["coarse"].iloc[0]))
-        due, cut = first, len(d)
-        for p in np.unique(probe):
-            end = int(np.searchsorted(probe, p, side="right"))
-            s.step, s.ndis = int(p), end
-            order = np.lexsort((ids[:end], d[:end]))[:k]
-            s.inserts += len(set(order.tolist()) - {i for _, i in s.best})
-            s.best = [(-d[i], int(i)) for i in order]
-            if end >= due:
-                s.predicted = min(1.0, max(0.0, sent.value.predict(observe(s))))
-                due = end + max(1, round(least + (first - least) * max(0.0, target - s.predicted)))
-                if s.predicted >= target:
-                    cut = end
-                    break
-        order = np.lexsort((ids[:cut], d[:cut]))[:k]
-        return pd.DataFrame({"query_id": key[0], "rank": np.arange(1, len(order) + 1), "vec_id": ids[order], "distance": d[order].round(6), "ndis": cut})
-
-    return rows.groupBy("query_id").applyInPandas(one, "query_id long, rank int, vec_id long, distance double, ndis long")
+    true = {r["query_id"]: set(r["gt"]) for r in truth.groupBy("query_id").agg(F.collect_list("vec_id").alias("gt")).collect()}
+    rows: list[tuple] = []
+    names = ["qid", "shard", *observe(State(1, 1, np.zeros(1))), "r"]
+    for _, states, found in _ivf_steps(index, probes(queries, index.centroids, nprobe, index.ip), k, nprobe, step, lambda i, s: False):
+        for i, s in states.items():
+            x = observe(s) | {"qid": i, "shard": 0, "r": len(true[i] & {v for _, v in found[i]}) / len(true[i])}
+            rows.append(tuple(float(x[n]) for n in names))
+    return queries.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.functions.vectors import inner_product, l2, mean_vector, norm_sqr
+
 
 def recall(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, recall): how much of the true k nearest was found."""
@@ -59,14 +61,39 @@ def quality(results: DataFrame, truth: DataFrame, k: int, all_ranks: int) -> Dat
     return recall(results, truth, k).join(rel, "query_id", "left").join(ranked, "query_id", "left").select("query_id", F.round("recall", 6).alias("recall"), F.round(F.coalesce("rde", F.lit(0.0)), 6).alias("rde"), F.round(F.coalesce("tdr", F.lit(1.0)), 6).alias("tdr"), F.round(1 - (F.col("s") - k) / F.lit(max(ideal - k, 1.0)), 6).alias("nrs"))
 
 
-def range_precision_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Overall precision and recall of range results."""
+def range_precision_recall(found: DataFrame, truth: DataFrame, mode: str = "overall") -> DataFrame:
+    """Precision and recall of range results: over all pairs, or ("average") the mean of the queries' own, where a query
+    without results has a precision, and one without true ones a recall, of 1."""
     pairs = lambda x: x.select("query_id", "vec_id").distinct()
     both = pairs(found).withColumn("f", F.lit(1)).join(pairs(truth).withColumn("t", F.lit(1)), ["query_id", "vec_id"], "full")
-    s = both.agg(F.count("f").alias("n_found"), F.count("t").alias("n_true"), F.count(F.when(F.col("f").isNotNull() & F.col("t").isNotNull(), 1)).alias("n_both"))
+    counts = F.count("f").alias("n_found"), F.count("t").alias("n_true"), F.count(F.when(F.col("f").isNotNull() & F.col("t").isNotNull(), 1)).alias("n_both")
+    if mode == "average":
+        share = lambda x: F.when(F.col(x) == 0, 1.0).otherwise(F.try_divide("n_both", x))
+        return both.groupBy("query_id").agg(*counts).agg(F.count("*").alias("n_queries"), F.round(F.avg(share("n_found")), 6).alias("precision"), F.round(F.avg(share("n_true")), 6).alias("recall"))
+    s = both.agg(*counts)
     return s.select("n_found", "n_true", "n_both", F.round(F.try_divide(F.col("n_both"), F.col("n_found")), 6).alias("precision"), F.round(F.try_divide(F.col("n_both"), F.col("n_true")), 6).alias("recall"))
 
 
+def geometry(results: DataFrame, queries: DataFrame, vectors: DataFrame, d: int, bins: int = 20) -> DataFrame:
+    """How the results lie about the query: mean, variance and entropy (20 bins of (s + 1) / 2) of their cosines with it,
+    and its squared distance to their mean."""
+    x, q = F.col("embedding"), F.col("q")
+    rows = results.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", "q"), "query_id")
+    rows = rows.withColumn("s", inner_product(x, q) / F.sqrt(norm_sqr(x) * norm_sqr(q)))
+    at = F.least(F.lit(bins - 1), F.floor((F.col("s") + 1) * 0.5 * bins).cast("int"))
+    each = rows.withColumn("bin", at).groupBy("query_id").agg(F.avg("s").alias("m"), F.var_pop("s").alias("v"), F.count("*").alias("n"), mean_vector(x, d).alias("c"), F.first("q").alias("q"), *[F.count_if(F.col("bin") == b).alias(f"b{b}") for b in range(bins)])
+    entropy = sum((F.when(F.col(f"b{b}") > 0, -F.col(f"b{b}") / F.col("n") * F.ln(F.col(f"b{b}") / F.col("n"))).otherwise(0.0) for b in range(bins)), F.lit(0.0))
+    return each.select("query_id", F.round("m", 6).alias("cosine_mean"), F.round("v", 6).alias("cosine_variance"), F.round(entropy, 6).alias("cosine_entropy"), F.round(l2(F.col("c"), q), 6).alias("medoid_dist"))
+
+
+def degrees(results: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+    """(query_id, avg_degree, degree_0) in a graph's lowest level: the whole part of the results' mean out-degree, and the
+    nearest one's."""
+    deg = graph.where("level = 0").select(F.col("node").alias("vec_id"), F.size("neighbors").alias("n"))
+    rows = results.where(F.col("rank") <= k).join(deg, "vec_id")
+    return rows.groupBy("query_id").agg(F.floor(F.sum("n") / k).cast("long").alias("avg_degree"), F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("degree_0"))
+
+
 def pareto(points: DataFrame) -> DataFrame:
     """Operating points (key, perf, t) that no faster or equal one matches in performance. The points are a sweep's."""
     w = Window.partitionBy(F.lit(0)).orderBy("t", F.desc("perf"), "key").rowsBetween(Window.unboundedPreceding, -1)

@@ -292,7 +292,7 @@ def load_shards(rows: Iterator, names: list[str]) -> Iterator[tuple[int, Shard]]
 
 def search(graph: DataFrame, queries: DataFrame, k: int, ef: int = 64, policy: Callable[[], Policy] | None = None, selector: Callable[[np.ndarray], np.ndarray] | None = None, radius: float | None = None) -> DataFrame:
     """(query_id, vec_id, distance, ndis, nstep, predicted) of every shard's walk, k a shard; merge with merged(). Queries
-    are broadcast in blocks of checked size, each a pass over the graph.
+    are broadcast in blocks of checked size, each a pass over the graph; a column `ef` of theirs is each query's own width.
 
     With a radius, all nodes met within it are results, however many: the walk ends when the nearest node that is not
     expanded yet is beyond the radius and beyond the ef nearest.
@@ -306,17 +306,18 @@ def search(graph: DataFrame, queries: DataFrame, k: int, ef: int = 64, policy: C
 
 def _search(graph: DataFrame, queries: DataFrame, k: int, ef: int, policy, selector, radius: float | None) -> DataFrame:
     rows = queries.orderBy("query_id").collect()  # at most BLOCK_BYTES, see query_blocks
-    sent = graph.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
+    wide = [r["ef"] if "ef" in queries.columns else ef for r in rows]
+    sent = graph.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64), wide))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids, q = sent.value
+        ids, q, wide = sent.value
         for _, g in load_shards(batches, []):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             admit = None if selector is None else selector(g.ids)
-            for qid, v in zip(ids, q, strict=True):
-                s = walk(g, v, k, ef, policy() if policy else None, admit, radius)
+            for qid, v, width in zip(ids, q, wide, strict=True):
+                s = walk(g, v, k, width, policy() if policy else None, admit, radius)
                 if radius is None:
                     found = sorted((-a, int(g.ids[i])) for a, i in s.best)[:k]
                 else:

@@ -65,6 +65,8 @@ def loss_text(formatted: Column, mask: Column) -> Column:
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
+    """Every conversation, and the planted one, as formatted and read back. Null texts are empty; rows of one turn number go by
+    role and text; an empty table leaves the planted one."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "\\### Assistant: </turn> ok"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))

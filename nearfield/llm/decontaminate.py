@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import pieces, table, texts_of
+from nearfield.llm.common import pieces, stored, table, texts_of
 
 #: Words are runs of 0-9, a-z and everything beyond ASCII; A-Z are lower-cased, the rest becomes space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -97,15 +97,19 @@ class Windows:
                 length, own = about[k]
                 spans.append((s, s + length))
                 items |= own
-        spans.sort()
-        merged: list[tuple[int, int]] = []
-        for s, e in spans:
-            if merged and s <= merged[-1][1]:
-                if e > merged[-1][1]:
-                    merged[-1] = (merged[-1][0], e)
-            else:
-                merged.append((s, e))
-        return merged, items
+        return merged(spans), items
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            if e > out[-1][1]:
+                out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+    return out
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -157,19 +161,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         return run
 
     schema = f"row long, id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    found = [source.mapInArrow(searcher(spark.sparkContext.broadcast((block, window))), schema) for block in blocks_of(benchmark, item_col, item_text_col, block_bytes)]
-    if not found:
-        found = [source.mapInArrow(searcher(spark.sparkContext.broadcast(([], window))), schema)]
-    out = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            out = out.unionByName(more.where("size(spans) > 0"))
-        out = out.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = out.withColumn("spans", F.expr("""
-            aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>),
-              (a, s) -> if(size(a) > 0 and s.start <= a[size(a) - 1].end,
-                concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, s.end)))),
-                concat(a, array(s))))"""))
+    search = lambda block: source.mapInArrow(searcher(spark.sparkContext.broadcast((block, window))), schema)
+    blocks = blocks_of(benchmark, item_col, item_text_col, block_bytes)
+    out, more = search(next(blocks, [])), next(blocks, None)
+    if more is not None:
+        # several blocks: each is searched, written and let go, so the driver holds one at a time
+        parts = [stored(out, "spans")]
+        while more is not None:
+            sent = spark.sparkContext.broadcast((more, window))
+            parts.append(stored(source.mapInArrow(searcher(sent), schema).where("size(spans) > 0"), "spans"))
+            sent.destroy()
+            more = next(blocks, None)
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        rows = rows.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+        def together(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+            for batch in batches:
+                spans = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in own])] for own in batch.column(3).to_pylist()]
+                items = [sorted(set(own)) for own in batch.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.list_(pair)), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
+
+        out = rows.mapInArrow(together, schema)
     return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
@@ -179,6 +196,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Hits of all benchmark windows in every document. Nulls, empties and repeats: as find_contamination says."""
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 

@@ -375,4 +375,5 @@ def score_texts(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: s
 
 
 def op2_lattice(spark, sf_dir: str) -> DataFrame:
+    """Base and lattice scores of every document. Nulls, empties, long texts: as score_texts says."""
     return score_texts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", class_col="lang")

@@ -71,6 +71,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Lines before and after, and the hash of what stays, of every document. Odd rows: as dedup_lines says."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

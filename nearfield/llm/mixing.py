@@ -176,5 +176,6 @@ def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """How much the mix takes of every document. Null texts have no words, a null source is the last; more in mix."""
     out = mix(table(spark, sf_dir, "documents"), size_of(F.col("text")))
     return out.select("doc_id", "size", "source_size", "target", "taken")

@@ -400,4 +400,5 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, trees:
 
 
 def op8_near_join(spark, sf_dir: str) -> DataFrame:
+    """Class and links of every document. Nulls, empties and repeats: as near_duplicates says."""
     return near_duplicates(table(spark, sf_dir, "documents"))

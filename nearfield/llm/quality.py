@@ -185,8 +185,9 @@ def learn_list(rows: list[tuple[dict[str, float], bool]], min_precision: float =
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 5000, **how) -> DecisionList:
     """The decision list of the statistics of a bounded sample of labelled documents.
 
-    max_labelled bounds the sample: the labelled ids with the smallest hashes. Labels that aren't 0 or 1, and rows that
-    repeat an id, are left out of it. Only the texts that pass the base rules teach, as the list judges only those.
+    max_labelled bounds the sample: the labelled ids with the smallest hashes. Labels that aren't 0 or 1 and null
+    ids are left out; an id that is labelled twice has its greatest label, and all rows of docs that repeat it teach. Texts
+    are measured whole, and only numbers come to the driver. Only the texts that pass the base rules teach, as the list judges only those.
     """
     some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y_"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
@@ -213,5 +214,6 @@ def judge_quality(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id",
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Null texts have no words and fail; more in judge_quality."""
     docs = table(spark, sf_dir, "documents")
     return judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))

@@ -124,4 +124,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document. Null texts are empty; more in count_tokens."""
     return count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")

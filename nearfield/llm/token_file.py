@@ -249,6 +249,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def op3_token_file(spark, sf_dir: str) -> DataFrame:
+    """Every document as its token file gives it back. Null texts are the end id alone; more in write_tokens."""
     path = scratch(spark, "token-file")
     write_tokens(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json")
     return read_tokens(spark, path)

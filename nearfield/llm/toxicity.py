@@ -416,6 +416,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", tex
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document; null and empty texts have the score of no features. More in fit_toxicity."""
     from nearfield.llm.common import fold_column
 
     docs = table(spark, sf_dir, "documents")

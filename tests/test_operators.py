@@ -173,7 +173,7 @@ def test_multihash_is_a_subset_with_high_recall(v):
 def test_registered_index_searches_reach_their_recall(spark, name, exact, sf):
     """Bits tie, so there the distance of the exact tenth counts as found; distances by codes say nothing."""
     best = queries.QUERIES[exact](spark, f"/root/testdata/{sf}").collect()
-    rows = queries.QUERIES[name](spark, f"/root/testdata/{sf}").collect()
+    rows = queries.SEARCHES[name](spark, f"/root/testdata/{sf}").collect()
     true, last = {(r["query_id"], r["vec_id"]) for r in best}, {r["query_id"]: r["distance"] for r in best if r["rank"] == 10}
     assert len({(r["query_id"], r["vec_id"]) for r in rows}) == len(rows)
     assert sum((r["query_id"], r["vec_id"]) in true or exact == "hamming_knn" and r["distance"] <= last[r["query_id"]] for r in rows) >= 0.9 * len(best)

@@ -89,7 +89,7 @@ class KMeans:
 
     k: int
     niter: int = 10
-    seed: int = 1234
+    seed: int = 1234  # fixed value, as is split()'s 1 / 1024
     spherical: bool = False
     int_centroids: bool = False
     frozen: np.ndarray | None = None

@@ -566,9 +566,9 @@ def ivf_declared(spark, sf):
     v = V(spark, sf)
     index = IVF(32).fit(v, 4).add(v)
     train = search.queries_of(v, "vec_id % 10 = 1").limit(TRAINING)
-    log = declarative.ivf_trace(index, train, search.knn(train, v, 10), 10, 32, 2)
+    log = declarative.ivf_trace(index, train, search.knn(train, v, 10), 10, 32, 4)
     model = declarative.train(log, declarative.RECALL_FEATURES)
-    found = declarative.ivf_recall_search(index, Q(v), model, 10, 0.97, 32, 2).persist()
+    found = declarative.ivf_recall_search(index, Q(v), model, 10, 0.97, 32, 4).persist()
     hits = evaluate.recall(found, search.knn(Q(v), v, 10), 10).agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("hit"))
     out = hits.crossJoin(found.agg((F.avg("probed") < 32).alias("fewer"))).select(F.lit("ivf_declared").alias("policy"), "n_queries", "hit", "fewer")
     rows = out.collect()

@@ -80,6 +80,23 @@ def pieces(batches: Iterator, text: int, limit: int = 2 << 20) -> Iterator:
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    trim()
+
+
+def trim() -> None:
+    """Gives what a worker has freed back to the system: workers live on from stage to stage, so one stage's caches would
+    stay beside the next one's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # not glibc
 
 
 def texts_of(column) -> list[bytes]:

@@ -10,13 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import discard, pieces, scratch, table, texts_of
+from nearfield.llm.common import discard, pieces, scratch, table, texts_of, trim
 from nearfield.llm.range_coder import BLOCK_IDS, Prior, decode_blocks, encode_blocks, split_blocks
 
 #: Entries that a worker keeps of the ids of words it has met.
 CACHE_ENTRIES = 250_000
-#: Ids that a worker codes at a time: some thousand blocks side by side.
-GROUP_IDS = 8 << 20
+#: Ids that a worker codes at a time: some five hundred blocks side by side.
+GROUP_IDS = 4 << 20
 #: A segment is closed at so many ids; it holds whole documents, however long.
 SEGMENT_IDS = 1 << 16
 
@@ -126,6 +126,8 @@ def id_segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
                     yield pack()
         if names:
             yield pack()
+        del encode, parts
+        trim()
 
     # null ids first, then ascending; rows of one id stand by the hashes of their texts, so they can fall into many tasks;
     # equal rows by a seeded number, so that they can as well
@@ -186,6 +188,8 @@ def code_segments(segments: DataFrame, prior: Prior) -> DataFrame:
             coded = iter(encode_blocks([b for own in blocks for b in own], sent.value))
             data = [b"".join(next(coded) for _ in own) for own in blocks]
             yield pa.RecordBatch.from_arrays([*[pa.array([r[j].as_py() for r in rows], rows[0][j].type) for j in range(6)], pa.array(data, pa.binary())], ["shard", "segment", "start", "n_ids", "ids", "lengths", "blocks"])
+            del rows, ids, blocks, coded, data
+        trim()
 
     return segments.select("shard", "segment", "start", "n_ids", "ids", "lengths", "raw").mapInArrow(run, f"shard int, segment long, start long, n_ids long, ids {kind}, lengths array<long>, blocks binary")
 
@@ -243,6 +247,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     at += n
             cols = [pa.array(out[0], id_type), *[pa.array(c, pa.int64()) for c in out[1:4]]]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.list_(pa.int32()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
+            del rows, blocks, ids, out, cols
+        trim()
 
     some = files.select("shard", "start", "ids", "lengths", "blocks", "n_ids")
     return some.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from nearfield.llm.chat import OP10_SQL, op10_chat
 from nearfield.llm.common import table
 from nearfield.llm.decontaminate import OP6_SQL, op6_decontamination
+from nearfield.llm.fill_middle import OP13_SQL, op13_fill_middle
 from nearfield.llm.lattice import op2_lattice
 from nearfield.llm.line_dedup import OP5_SQL, op5_line_dedup
 from nearfield.llm.mixing import op9_mixing
 from nearfield.llm.near_join import op8_near_join
+from nearfield.llm.point_in_time import OP11_SQL, op11_point_in_time
 from nearfield.llm.quality import DecisionList, judge_quality, op7_quality
 from nearfield.llm.token_counts import op4_token_counts
 from nearfield.llm.token_file import op3_token_file
 from nearfield.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lattice, op3_token_file, op4_token_counts, op5_line_dedup, op6_decontamination, op7_quality, op8_near_join, op9_mixing, op10_chat)}
-SQL = {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lattice, op3_token_file, op4_token_counts, op5_line_dedup, op6_decontamination, op7_quality, op8_near_join, op9_mixing, op10_chat, op11_point_in_time, op13_fill_middle)}
+SQL = {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat": OP10_SQL, "op11_point_in_time": OP11_SQL, "op13_fill_middle": OP13_SQL}
 
 
 def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.best_fit import op12_best_fit
 from nearfield.llm.chat import OP10_SQL, op10_chat
 from nearfield.llm.common import table
 from nearfield.llm.decontaminate import OP6_SQL, op6_decontamination
@@ -19,7 +20,7 @@ from nearfield.llm.token_counts import op4_token_counts
 from nearfield.llm.token_file import op3_token_file
 from nearfield.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lattice, op3_token_file, op4_token_counts, op5_line_dedup, op6_decontamination, op7_quality, op8_near_join, op9_mixing, op10_chat, op11_point_in_time, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lattice, op3_token_file, op4_token_counts, op5_line_dedup, op6_decontamination, op7_quality, op8_near_join, op9_mixing, op10_chat, op11_point_in_time, op12_best_fit, op13_fill_middle)}
 SQL = {"op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_chat": OP10_SQL, "op11_point_in_time": OP11_SQL, "op13_fill_middle": OP13_SQL}
 
 

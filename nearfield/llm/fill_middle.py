@@ -55,25 +55,27 @@ def fill_in_middle(docs: DataFrame, choices: Column, text_col: str = "text", sha
     that is empty or holds a mark is plain whatever the choice, so restore() is exact. Texts are shuffled once, by a
     number for each row; blocks, windows, joins and the substrings all stay in these parts.
 
-    A row for each row of docs; repeated rows are rows each; a docs column named like a new one is replaced. docs has to
-    be a table or a stable plan, as its rows are numbered.
+    A row for each row of docs; repeated rows are rows each; a docs column named like a new one is replaced, one named
+    choice_ may not be there. docs has to be a table or a stable plan, as its rows are numbered.
     """
-    n = int(shards or docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    rows = docs.select(F.monotonically_increasing_id().alias("row_"), own.alias("own_"), F.coalesce(text_col, F.lit("")).alias("text_"))
-    # one exchange serves all sides of the joins below, as each reads all of its columns
-    rows = rows.repartition(n, "row_")
-    marked = F.col("text_").contains(PREFIX) | F.col("text_").contains(SUFFIX) | F.col("text_").contains(MIDDLE)
-    asked = rows.select("row_", "own_", "text_", "own_.*", n_units(F.col("text_")).alias("n"))
-    asked = asked.select("row_", "own_", "text_", F.col("n").alias("n_"), choices.alias("choice_"))
-    plain = (F.col("text_") == "") | marked | F.col("choice_.plain")
-    asked = asked.select("row_", "own_", "text_", "n_", plain.alias("plain_"), F.col("choice_.spm").alias("spm_"), F.least("choice_.first", "choice_.second").alias("low_"), F.greatest("choice_.first", "choice_.second").alias("high_"))
-    # no filter on what is plain: it would be pushed below the exchange and make another one of it
-    both = F.when(~F.col("plain_"), F.array_distinct(F.array("low_", "high_")))
-    cuts = asked.select("row_", F.explode_outer(both).alias("ordinal"))
-    found = cut_offsets(asked.select("row_", F.when(~F.col("plain_"), F.col("text_")).alias("text")), cuts, "row_")
-    offsets = found.groupBy("row_").agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "offset"))).alias("offsets"))
-    out = asked.join(offsets, "row_", "left")
+    new = ("n", "form", "prefix_chars", "middle_chars", "output")
+    if text_col in new:
+        raise ValueError(f"{text_col} is the name of a new column")
+    text = F.coalesce(text_col, F.lit(""))
+    marked = text.contains(PREFIX) | text.contains(SUFFIX) | text.contains(MIDDLE)
+    own = F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c not in new and c != text_col])
+    counted = docs.withColumn("n", n_units(text)).select("*", choices.alias("choice_"))
+    pick = lambda c: F.col(f"choice_.{c}")
+    all_ = F.struct(own.alias("own"), text.alias("text"), F.col("n").alias("n"), ((text == "") | marked | pick("plain")).alias("plain"), pick("spm").alias("spm"), F.least(pick("first"), pick("second")).alias("low"), F.greatest(pick("first"), pick("second")).alias("high"))
+    # one array of one struct, which no branch below reads a part of, so that one exchange serves them all
+    rows = counted.select(F.monotonically_increasing_id().alias("row"), F.array(all_).alias("x"))
+    rows = rows.repartition(int(shards or docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+    x = lambda c: F.element_at("x", 1).getField(c)
+    # nor a filter on what is plain: it would be pushed below the exchange and make another one of it
+    both = F.when(~x("plain"), F.array_distinct(F.array(x("low"), x("high"))))
+    found = cut_offsets(rows.select("row", F.when(~x("plain"), x("text")).alias("text")), rows.select("row", F.explode_outer(both).alias("ordinal")), "row")
+    offsets = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "offset"))).alias("offsets"))
+    out = rows.join(offsets, "row", "left").select(x("own").alias("own_"), x("text").alias("text_"), x("n").alias("n_"), x("plain").alias("plain_"), x("spm").alias("spm_"), x("low").alias("low_"), x("high").alias("high_"), "offsets")
     chars = F.length("text_").cast("long")
     a = F.when(F.col("low_") == F.col("n_"), chars).otherwise(F.element_at("offsets", F.col("low_")))
     b = F.when(F.col("high_") == F.col("n_"), chars).otherwise(F.element_at("offsets", F.col("high_")))
@@ -82,9 +84,9 @@ def fill_in_middle(docs: DataFrame, choices: Column, text_col: str = "text", sha
     prefix, middle, suffix = part(F.lit(0), F.col("a_")), part(F.col("a_"), F.col("b_")), part(F.col("b_"), chars)
     form = F.when(F.col("plain_"), "plain").when(F.col("spm_"), "spm").otherwise("psm")
     output = F.when(F.col("plain_"), F.col("text_")).when(F.col("spm_"), F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)).otherwise(F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle))
-    new = {"n": F.col("n_"), "form": form, "prefix_chars": F.col("a_"), "middle_chars": F.col("b_") - F.col("a_"), "output": output}
+    made = (F.col("n_"), form, F.col("a_"), F.col("b_") - F.col("a_"), output)
     kept = [F.col("text_").alias(c) if c == text_col else F.col(f"own_.`{c}`") for c in docs.columns if c not in new]
-    return out.select(*kept, *[e.alias(c) for c, e in new.items()])
+    return out.select(*kept, *[e.alias(c) for c, e in zip(new, made, strict=True)])
 
 
 def restore(output: Column, form: Column) -> Column:

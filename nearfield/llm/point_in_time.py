@@ -16,36 +16,29 @@ STALE_AGE = 120
 
 
 def _sweep(batches: Iterator) -> Iterator:
-    """Rows (source, level, node, lo, hi, w), in order of these but for hi, with lo = -1 for labels' questions at hi.
+    """Rows (source, chunk, kind, at, hi, w, t), sorted by source, chunk, kind and w: versions active from at up to hi, of
+    kind 0, and questions at at, of kind 1.
 
-    A node's versions come in winning order, the least first, so that a version's rank is how many came before it; each
-    toggles its rank's bit where it starts and where it expires. At the node's first question the toggles are summed
-    (exclusive or) from second to second, and the highest bit set at a second is that second's winner. A node has at
-    most as many versions as intervals (lo, hi), so what is kept is bounded by the chunk's length alone; questions pass.
+    A chunk's versions come in winning order, the least first, so that a version's rank is how many came before it; each
+    toggles its rank's bit where it starts and where it expires. At the chunk's first question the toggles are summed
+    (exclusive or) from second to second, and the highest bit set at a second is that second's winner. A chunk has at
+    most as many versions as intervals, so what is kept is bounded by the chunk's length alone; questions pass.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    key = None
+    key = winner = None
     toggles: dict[int, int] = {}
-    ranked: list = []
-    winner: list[int] | None = None
+    ranked: list = []  # the current chunk's versions, least first
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        source, level, node = (batch.column(i).to_pylist() for i in range(3))
-        kind, at, won = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
-        hi = batch.column(6).to_pylist()
-        pool, asked, picked = list(ranked), [], []
-        # versions carried over from earlier batches stand first in the pool, then those of this batch
-        base, n_old = len(pool), len(pool)
+        source, chunk, kind, at, hi = (batch.column(i).to_pylist() for i in range(5))
+        # versions that the last batch ended with stand before those of this one
         fresh: list[int] = []
-        first = 0  # where the current node's versions start in the pool
-        count = n_old
+        first, count = 0, len(ranked)
+        asked, picked = [], []
         for i in range(batch.num_rows):
-            here = (source[i], level[i], node[i])
-            if here != key:
-                key, toggles, winner, first, count = here, {}, None, base + len(fresh), 0
+            if (source[i], chunk[i]) != key:
+                key, toggles, winner = (source[i], chunk[i]), {}, None
+                first, count = len(ranked) + len(fresh), 0
             if kind[i] == 0:
                 bit = 1 << count
                 toggles[at[i]] = toggles.get(at[i], 0) ^ bit
@@ -61,11 +54,12 @@ def _sweep(batches: Iterator) -> Iterator:
             rank = winner[at[i]] if at[i] < len(winner) else -1
             asked.append(i)
             picked.append(first + rank if rank >= 0 else None)
-        values = pa.concat_arrays([*([pa.array(pool, won.type)] if pool else []), won.take(pa.array(fresh, pa.int64()))])
+        w = batch.column(5)
+        values = pa.concat_arrays([pa.array(ranked, w.type), w.take(pa.array(fresh, pa.int64()))])
         ranked = values.slice(first, count).to_pylist()
         if asked:
             rows = batch.take(pa.array(asked, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pc.cast(rows.column(7), pa.int64()), values.take(pa.array(picked, pa.int64()))], ["source", "t", "w"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(6), values.take(pa.array(picked, pa.int64()))], ["source", "t", "w"])
 
 
 def point_in_time(versions: DataFrame, asks: DataFrame, start: Column, end: Column, order: Column, keep: Column, source_col: str = "source", ask_source: str = "source", ask_time: str = "t", chunk: int = CHUNK) -> DataFrame:
@@ -77,14 +71,15 @@ def point_in_time(versions: DataFrame, asks: DataFrame, start: Column, end: Colu
     winner; among equal orders the greatest keep wins, so repeated rows change nothing. chunk: a power of two.
 
     Time is cut into chunks. Where a version is active in a part of a chunk it stands in the chunk with its seconds; the
-    whole chunks between are covered by aligned nodes of 2, 4, 8... chunks, so that a version of any length has at most
-    two parts and twice as many nodes as a binary logarithm. Versions of one interval within one node are aggregated to
-    their winner before the shuffle already, so a node has at most chunk * (chunk + 1) / 2 rows whatever a source's share
-    of all rows and however many versions a second has: no group grows with the input. Questions of one source and
-    second are asked once. A question is looked up in its chunk and in the nodes around it.
+    whole chunks between are covered by aligned nodes of 1, 2, 4, 8... chunks, so that a version of any length has at
+    most two parts and twice as many nodes as a binary logarithm. Versions of one interval within a chunk or node are
+    aggregated to their winner, before the shuffle already, so a chunk has at most chunk * (chunk + 1) / 2 of them and a
+    larger node one, whatever a source's share of all rows and however many versions a second has: no group grows with
+    the input. Chunks that are asked about inherit the winner of the nodes around them, as one more version of the whole
+    chunk; then each chunk is swept. Questions of one source and second are asked once.
 
-    Two numbers go to the driver (the first and last second asked); nothing is broadcast. Three narrow shuffles: the
-    nodes, the answers by question, and the questions' rows to their answers.
+    Two numbers go to the driver (the first and last second asked); nothing has to be broadcast. What is shuffled are
+    nodes, chunks asked about, questions, and the rows of asks to their answers, never other columns of versions.
 
     A row for each row of asks, with all its columns and w: a null time or source has no version; an empty table of
     versions gives nulls, an empty table of asks no rows. Columns of versions other than those named are not read.
@@ -113,18 +108,20 @@ def point_in_time(versions: DataFrame, asks: DataFrame, start: Column, end: Colu
         covers += [F.when((x < y) & (x % 2 == 1), whole(x)), F.when((x < y) & (y % 2 == 1), whole(y - 1))]
         x, y = F.shiftright(x + 1, 1), F.shiftright(y, 1)
     spans = F.when(first == last, one).otherwise(F.concat(ends, F.array_compact(F.array(*covers))))
-    nodes = v.select("source", "w", F.inline(spans)).groupBy("source", "level", "node", "lo", "hi").agg(F.max("w").alias("w"))
-    q = asks.select(F.col(ask_source).alias("source"), F.col(ask_time).cast("long").alias("t")).where("source is not null and t is not null").distinct()
+    nodes = stored(v.select("source", "w", F.inline(spans)).groupBy("source", "level", "node", "lo", "hi").agg(F.max("w").alias("w")), "nodes")
     at = F.col("t") - low
-    places = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, shift + k).alias("node"), (mod(at) if k == 0 else F.lit(0)).cast("int").alias("lo")) for k in range(top + 1)])
-    q = q.select("source", "t", F.inline(places))
-    void = F.lit(None)
-    rows = nodes.select("source", "level", "node", F.lit(0).alias("kind"), "lo", "w", "hi", void.cast("long").alias("t"))
-    rows = rows.unionByName(q.select("source", "level", "node", F.lit(1).alias("kind"), "lo", void.cast(nodes.schema["w"].dataType).alias("w"), F.lit(0).alias("hi"), "t"))
-    rows = rows.repartition("source", "level", "node").sortWithinPartitions("source", "level", "node", "kind", "w")
+    q = asks.select(F.col(ask_source).alias("source"), F.col(ask_time).cast("long").alias("t")).where("source is not null and t is not null").distinct()
+    q = q.select("source", F.shiftright(at, shift).alias("chunk"), mod(at).cast("int").alias("at"), "t")
+    around = F.explode(F.sequence(F.lit(1), F.lit(top))) if top else F.lit(0)
+    up = q.select("source", "chunk").distinct().select("source", "chunk", around.alias("level")).withColumn("node", F.expr("shiftright(chunk, level)"))
+    # a source's largest nodes have many chunks below them; adaptive execution splits such a join
+    above = nodes.where("level > 0").select("source", "level", "node", "w").join(up, ["source", "level", "node"]).groupBy("source", "chunk").agg(F.max("w").alias("w"))
+    whole = above.select("source", "chunk", F.lit(0).alias("kind"), F.lit(0).alias("at"), F.lit(chunk).alias("hi"), "w", F.lit(None).cast("long").alias("t"))
+    within = nodes.where("level = 0").select("source", F.col("node").alias("chunk"), F.lit(0).alias("kind"), F.col("lo").alias("at"), "hi", "w", F.lit(None).cast("long").alias("t"))
+    questions = q.select("source", "chunk", F.lit(1).alias("kind"), "at", F.lit(0).alias("hi"), F.lit(None).cast(nodes.schema["w"].dataType).alias("w"), "t")
+    rows = within.unionByName(whole).unionByName(questions).repartition("source", "chunk").sortWithinPartitions("source", "chunk", "kind", "w")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    answers = rows.mapInArrow(_sweep, f"source {kinds['source']}, t long, w {kinds['w']}").where("w is not null")
-    answers = answers.groupBy("source", "t").agg(F.max("w").alias("w")).select(F.col("source").alias("s_"), F.col("t").alias("t_"), "w")
+    answers = rows.mapInArrow(_sweep, f"source {kinds['source']}, t long, w {kinds['w']}").where("w is not null").select(F.col("source").alias("s_"), F.col("t").alias("t_"), "w")
     own = asks.select(F.struct(*[F.col(f"`{c}`") for c in asks.columns]).alias("own_"), F.col(ask_source).alias("ask_s_"), F.col(ask_time).cast("long").alias("ask_t_"))
     out = own.join(answers, (F.col("ask_s_") == F.col("s_")) & (F.col("ask_t_") == F.col("t_")), "left")
     return out.select("own_.*", "w")

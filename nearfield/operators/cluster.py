@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import doubles
+from nearfield.operators.sums import add_up, least_by_hash
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray, ip: bool = False, col: str = "embedding") -> DataFrame:
@@ -41,19 +42,17 @@ def centroid_sums(assigned: DataFrame, d: int, weight: Column | None = None, col
     return assigned.groupBy("list_no").agg(F.sum(w).alias("w"), F.count("*").alias("n"), *[F.sum(x[i] * w).alias(f"x{i}") for i in range(d)])
 
 
-#: Numbers that a task may send to the driver in a round of Lloyd's algorithm; beyond, lists are summed by a shuffle.
+#: Numbers that a task may hold in a round of Lloyd's algorithm; beyond, lists are summed by a shuffle of vectors.
 SUMS = 1 << 20
 
 
 def lloyd_sums(vectors: DataFrame, books: list[np.ndarray], ip: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each book of centroids over its slice of the dimensions: weights, counts and sums of the vectors nearest to
-    each centroid. vectors has embedding and, if weighted, w. One map, whose tasks send sums only."""
+    each centroid. vectors has embedding and, if weighted, w. One job, whose tasks send sums only."""
     sent = vectors.sparkSession.sparkContext.broadcast(books)
     weighted = "w" in vectors.columns
 
-    def run(batches):
-        import pyarrow as pa
-
+    def totals(batches):
         books = sent.value
         total = [np.zeros((len(c), c.shape[1] + 2)) for c in books]
         for batch in batches:
@@ -71,9 +70,10 @@ def lloyd_sums(vectors: DataFrame, books: list[np.ndarray], ip: bool = False) ->
                 t[:, 1] += np.bincount(at, minlength=len(c))
                 for j in range(c.shape[1]):
                     t[:, 2 + j] += np.bincount(at, weights=w * y[:, j], minlength=len(c))
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([t.ravel() for t in total]).tolist()], pa.list_(pa.float64()))], ["s"])
+        return np.concatenate([t.ravel() for t in total])
 
-    flat = sum(np.array(r[0]) for r in vectors.select("embedding", *["w"] * weighted).mapInArrow(run, "s array<double>").toLocalIterator())
+    flat = add_up(vectors.select("embedding", *["w"] * weighted), totals)
+    flat = np.zeros(sum(c.size + 2 * len(c) for c in books)) if flat is None else flat
     out, at = [], 0
     for c in books:
         t = flat[at : at + c.size + 2 * len(c)].reshape(len(c), -1)
@@ -105,7 +105,7 @@ class KMeans:
         x = (x.select(F.col(col).alias("embedding")) if weight is None else x.select(F.col(col).alias("embedding"), weight.alias("w"))).persist()
         col = "embedding"
         if init is None:
-            init = np.array([r[0] for r in x.select(col, F.xxhash64(F.lit(self.seed), col).alias("h")).dropDuplicates(["h"]).orderBy("h").limit(self.k).select(col).collect()], dtype=np.float64)
+            init = least_by_hash(x, self.k, self.seed)
         c = np.array(init, dtype=np.float64)
         frozen = 0
         if self.frozen is not None:
@@ -117,7 +117,7 @@ class KMeans:
                 ((w, n, sums),) = lloyd_sums(x, [c], self.spherical)
             else:
                 w, n, sums = np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)
-                for r in centroid_sums(assign(x, c, self.spherical), c.shape[1], None if weight is None else F.col("w")).toLocalIterator():
+                for r in centroid_sums(assign(x, c, self.spherical), c.shape[1], None if weight is None else F.col("w")).collect():  # k rows
                     w[r["list_no"]], n[r["list_no"]], sums[r["list_no"]] = r["w"], r["n"], r[3:]
             own = (w > 0) & (np.arange(len(c)) >= frozen)
             new[own] = sums[own] / w[own, None]

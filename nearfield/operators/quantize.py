@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import doubles
 from nearfield.operators.cluster import KMeans, lloyd_sums
+from nearfield.operators.sums import add_up, least_by_hash
 
 
 class Codec:
@@ -129,7 +130,7 @@ class ProductQuantizer(Codec):
         """k-means of all slices at once, a map a round, from the vectors of least hash."""
         x = vectors.select("embedding").persist()
         k = 1 << self.nbits
-        start = np.array([r[0] for r in x.select("embedding", F.xxhash64("embedding").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(k).select("embedding").collect()], dtype=np.float64)
+        start = least_by_hash(x, k)
         books = np.split(start, self.m, axis=1)
         helper = KMeans(k)
         for _ in range(niter):
@@ -237,21 +238,18 @@ class LocalSearchQuantizer(Codec):
         for _ in range(niter):
             codec = LocalSearchQuantizer(self.m, self.nbits, self.rounds, self.seed, list(self.books))
 
-            def run(batches, codec=codec):
-                import pyarrow as pa
-
-                g = h = None
+            def totals(batches, codec=codec):
+                t = None
                 for batch in batches:
                     if batch.num_rows:
                         x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
                         b = np.zeros((len(x), first[-1]))
                         b[np.arange(len(x))[:, None], codec.encode(x) + first[:-1]] = 1
-                        g, h = b.T @ b + (0 if g is None else g), b.T @ x + (0 if h is None else h)
-                if g is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([g.ravel().tolist()]), pa.array([h.ravel().tolist()])], ["g", "h"])
+                        t = np.concatenate(((b.T @ b).ravel(), (b.T @ x).ravel())) + (0 if t is None else t)
+                return t
 
-            rows = vectors.select("embedding").mapInArrow(run, "g array<double>, h array<double>").collect()
-            g, h = sum(np.array(r[0]) for r in rows).reshape(first[-1], -1), sum(np.array(r[1]) for r in rows).reshape(first[-1], -1)
+            g, h = np.split(add_up(vectors.select("embedding"), totals), [first[-1] ** 2])
+            g, h = g.reshape(first[-1], -1), h.reshape(first[-1], -1)
             c = np.linalg.solve(g + 1e-3 * np.eye(len(g)), h)
             self.books = [c[a:b] for a, b in zip(first, first[1:], strict=False)]
         return self

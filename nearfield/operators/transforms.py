@@ -8,26 +8,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.operators.sums import add_up
+
 
 def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, sums and the d x d matrix of products of all vectors: each task sends one row, not its vectors."""
 
-    def run(batches):
-        import pyarrow as pa
-
-        n, s, p = 0, None, None
+    def totals(batches):
+        t = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
-            n, s, p = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if p is None else p)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()]), pa.array([p.ravel().tolist()])], ["n", "s", "p"])
+            t = np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel())) + (0 if t is None else t)
+        return t
 
-    n, s, p = 0, 0.0, 0.0
-    for r in vectors.select("embedding").mapInArrow(run, "n long, s array<double>, p array<double>").toLocalIterator():
-        n, s, p = n + r[0], s + np.array(r[1]), p + np.array(r[2])
-    return n, s, p.reshape(len(s), -1)
+    t = add_up(vectors.select("embedding"), totals)
+    if t is None:
+        raise ValueError("no vectors to fit on")
+    d = int((len(t) - 1) ** 0.5)  # 1 + d + d * d numbers
+    return int(t[0]), t[1 : d + 1], t[d + 1 :].reshape(d, d)
 
 
 def map_vectors(vectors: DataFrame, f) -> DataFrame:
@@ -115,18 +115,15 @@ def itq(vectors: DataFrame, bits: int, niter: int = 10, seed: int = 1234) -> Lin
 def _products(x: DataFrame, f) -> np.ndarray:
     """The sum of x^T f(x) over all rows."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def totals(batches):
         p = None
         for batch in batches:
             if batch.num_rows:
                 m = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
-                p = m.T @ f(m) + (0 if p is None else p)
-        if p is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([p.ravel().tolist()])], ["p"])
+                p = (m.T @ f(m)).ravel() + (0 if p is None else p)
+        return p
 
-    p = sum(np.array(r[0]) for r in x.select("embedding").mapInArrow(run, "p array<double>").toLocalIterator())
+    p = add_up(x.select("embedding"), totals)
     d = int(len(p) ** 0.5)
     return p.reshape(d, d)
 

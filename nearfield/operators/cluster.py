@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import doubles
+from nearfield.operators.manifest import digest, read_manifest, table_version, write_manifest
 from nearfield.operators.sums import add_up, least_by_hash
 
 
@@ -96,7 +97,9 @@ class KMeans:
     max_points_per_centroid: int | None = None
     stats: list[dict] = field(default_factory=list)
 
-    def fit(self, vectors: DataFrame, weight: Column | None = None, init: np.ndarray | None = None, col: str = "embedding") -> np.ndarray:
+    def fit(self, vectors: DataFrame, weight: Column | None = None, init: np.ndarray | None = None, col: str = "embedding", checkpoint: str | None = None) -> np.ndarray:
+        """checkpoint: a path where the centroids are written after each round. A fit of the same settings, start and rows
+        that was broken off goes on from there, to the same centroids; one of others starts anew."""
         x = vectors
         if self.max_points_per_centroid:
             n = x.count()
@@ -107,18 +110,26 @@ class KMeans:
         if init is None:
             init = least_by_hash(x, self.k, self.seed)
         c = np.array(init, dtype=np.float64)
-        frozen = 0
+        frozen, self.stats = 0, []
         if self.frozen is not None:
             frozen = len(self.frozen)
             c = np.concatenate([self.frozen, c])[: self.k]
-        for _ in range(self.niter):
+        first = 0
+        if checkpoint:
+            version = digest(self.k, self.seed, self.spherical, self.int_centroids, frozen, c.tolist(), table_version(x))
+            about = read_manifest(x.sparkSession, checkpoint) or {}
+            if about.get("version") == version and about["round"] <= self.niter:
+                first, c, self.stats = about["round"], np.array(about["centroids"]), about["stats"]
+        for r in range(first, self.niter):
+            if self.stats and self.stats[-1]["moved"] == 0.0:
+                break
             new = c.copy()
             if c.size <= SUMS:
                 ((w, n, sums),) = lloyd_sums(x, [c], self.spherical)
             else:
                 w, n, sums = np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)
-                for r in centroid_sums(assign(x, c, self.spherical), c.shape[1], None if weight is None else F.col("w")).collect():  # k rows
-                    w[r["list_no"]], n[r["list_no"]], sums[r["list_no"]] = r["w"], r["n"], r[3:]
+                for row in centroid_sums(assign(x, c, self.spherical), c.shape[1], None if weight is None else F.col("w")).collect():  # k rows
+                    w[row["list_no"]], n[row["list_no"]], sums[row["list_no"]] = row["w"], row["n"], row[3:]
             own = (w > 0) & (np.arange(len(c)) >= frozen)
             new[own] = sums[own] / w[own, None]
             splits = self.split(new, n, frozen)
@@ -128,8 +139,8 @@ class KMeans:
                 new = np.rint(new)
             self.stats.append({"imbalance": float(len(n) * (n * n).sum() / max(n.sum(), 1) ** 2), "nsplit": splits, "moved": float(np.abs(new - c).max())})
             c = new
-            if self.stats[-1]["moved"] == 0.0:
-                break
+            if checkpoint:
+                write_manifest(x.sparkSession, checkpoint, {"version": version, "round": r + 1, "centroids": c.tolist(), "stats": self.stats})
         x.unpersist()
         return c
 
@@ -161,18 +172,6 @@ def progressive_kmeans(vectors: DataFrame, k: int, steps: int = 3, niter: int =
     return c
 
 
-def two_level(vectors: DataFrame, k1: int, k2: int, niter: int = 8) -> np.ndarray:
-    """k1 coarse lists, then k2 within each, on all vectors at once: the second level's assignment is by both."""
-    coarse = KMeans(k1, niter).fit(vectors)
-    fine = []
-    inside = assign(vectors, coarse).persist()
-    for i in range(k1):
-        part = inside.where(F.col("list_no") == i).select("embedding")
-        fine.append(KMeans(k2, niter).fit(part))
-    inside.unpersist()
-    return np.concatenate([f for f in fine if len(f)])
-
-
 def kmeans_1d(values: np.ndarray, k: int) -> np.ndarray:
     """Exact one-dimensional k-means of values on the driver (a column's quantiles, say): dynamic programming over sorted
     values, each layer filled by divide and conquer, as the best split moves right with the end."""

@@ -247,6 +247,8 @@ def scores(q: np.ndarray, x: np.ndarray, codec: Codec | None, centroid: np.ndarr
     """(queries, rows) scores of one list's rows: vectors, or codes of a codec, of residuals if a centroid is given."""
     if isinstance(codec, ProductQuantizer) and not ip:
         return codec.adc(q if centroid is None else q - centroid, x)
+    if hasattr(codec, "distances"):
+        return codec.distances(q, x)
     if codec is not None:
         x = codec.decode(x).astype(np.float32).astype(np.float64)
         if centroid is not None:

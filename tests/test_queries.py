@@ -7,7 +7,9 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-from nearfield.plans.queries import QUERIES, SQL  # noqa: E402
+from nearfield.plans import mechanisms, queries  # noqa: E402
+
+QUERIES, SQL = queries.QUERIES | mechanisms.QUERIES, queries.SQL | mechanisms.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

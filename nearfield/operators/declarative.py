@@ -26,6 +26,11 @@ BUDGET_FEATURES = ["first_nn_dist", "nn_dist", "furthest_dist", "avg_dist", "nn_
 WIDTH_FEATURES = ["step", "dists", "inserts", "first_nn_dist", "visited_points", "nn_dist", "avg_dist", "furthest_dist", "variance", "std", "range", "energy", "nn_to_first", "density"]
 
 
+#: What calibrated predictions look at besides: how long results have stood still, how many of them were expanded, and how
+#: far the next node is against the k-th result.
+GAP_FEATURES = [*RECALL_FEATURES, "visited_points", "duration", "gap"]
+
+
 def tick(s: State, d: float) -> None:
     """Keeps `visited` (expanded nodes among the k nearest) and `duration` (steps that it has stood still), before a node at
     distance d is expanded. Both are counted again only where the k nearest changed or one of them was expanded."""
@@ -42,8 +47,8 @@ def tick(s: State, d: float) -> None:
 
 
 def observe(s: State) -> dict[str, float]:
-    """The running features of a search; moments are over the k nearest so far. visited_points is counted here, duration is
-    tick()'s, or 0."""
+    """The running features of a search; moments are over the k nearest so far. visited_points is counted here, duration and
+    the distance behind gap are tick()'s, or 0."""
     d = s.top()
     if not len(d):
         d = np.array([s.first])
@@ -53,10 +58,12 @@ def observe(s: State) -> dict[str, float]:
     mean = float(far.mean()) if len(far) else 0.0
     var = float(max((d * d).mean() - d.mean() ** 2, 0.0))
     p = lambda x: float(d[int(x * (n - 1))])
+    ahead = s.memory.get("last", 0.0)
     return {
         "step": s.step, "dists": s.ndis, "inserts": s.inserts, "first_nn_dist": s.first, "visited_points": visited, "duration": s.memory.get("duration", 0), "nn_dist": float(d[0]), "avg_dist": mean, "furthest_dist": float(d[-1]),
         "percentile_25": p(0.25), "percentile_50": p(0.5), "percentile_75": p(0.75), "percentile_95": p(0.95), "variance": var, "std": math.sqrt(var), "range": float(d[-1] - d[0]),
         "energy": float((d * d).sum()), "nn_to_first": float(d[0]) / s.first if s.first > 0 else -1.0, "nn10_to_first": float(d[9]) / s.first if s.first > 0 and n >= 10 else -1.0, "density": 1.0 / mean if mean else 0.0,
+        "gap": ahead / float(d[-1]) if d[-1] > 0 else 1.0,
     }
 
 
@@ -74,6 +81,17 @@ class Trees:
         """Of the second class, for trees that train_classifier() made."""
         return 1.0 / (1.0 + math.exp(-2.0 * max(-300.0, min(300.0, self.predict(x)))))
 
+    def predict_all(self, x: np.ndarray) -> np.ndarray:
+        """Of rows with the columns that names says."""
+        total = np.zeros(len(x))
+        for (feature, cut, left, right, value), w in zip(self.trees, self.weights, strict=True):
+            at = np.zeros(len(x), np.int64)
+            while (inner := np.flatnonzero(feature[at] >= 0)).size:
+                a = at[inner]
+                at[inner] = np.where(x[inner, feature[a]] <= cut[a], left[a], right[a])
+            total += w * value[at]
+        return total
+
     def predict(self, x: dict[str, float]) -> float:
         row = [x[n] for n in self.names]
         total = 0.0
@@ -137,7 +155,7 @@ def compare_models(rows: DataFrame, names: list[str], label: str = "r") -> dict[
 
 def trace(graph: DataFrame, queries: DataFrame, truth: DataFrame, k: int, ef: int = 128, every: int = 1, max_queries: int = 10_000) -> DataFrame:
     """The observation log: a row of features and true recall r for each `every` steps of every query's walk, per shard.
-    `beyond` says that the next node is farther than the k-th result.
+    `beyond` says that the next node is farther than the k-th result; `width` is the narrowest queue whose walk comes as far.
 
     truth has (query_id, vec_id) of the k nearest; r counts those that the shard holds. At most max_queries training
     queries are walked, those of least hash; they go out in blocks of checked size.
@@ -152,8 +170,8 @@ def trace(graph: DataFrame, queries: DataFrame, truth: DataFrame, k: int, ef: in
 
 
 def _trace(graph: DataFrame, queries: DataFrame, k: int, ef: int, every: int) -> DataFrame:
-    names = ["qid", "shard", *observe(State(1, 1, np.zeros(1))), "beyond", "r"]
-    whole = {"step", "dists", "inserts", "visited_points", "duration", "qid", "shard", "beyond"}
+    names = ["qid", "shard", *observe(State(1, 1, np.zeros(1))), "beyond", "width", "r"]
+    whole = {"step", "dists", "inserts", "visited_points", "duration", "qid", "shard", "beyond", "width"}
     rows = queries.orderBy("query_id").collect()  # at most BLOCK_BYTES, see query_blocks
     sent = graph.sparkSession.sparkContext.broadcast([(r["query_id"], np.array(r["q"], dtype=np.float64), set(r["gt"])) for r in rows])
 
@@ -170,10 +188,13 @@ def _trace(graph: DataFrame, queries: DataFrame, k: int, ef: int, every: int) ->
 
                 def note(s: State, d: float, qid=qid, near=near, g=g, out=out) -> bool:
                     tick(s, d)
+                    width = s.memory.get("width", s.k)
+                    # a queue of w ends the walk before a node that w nodes are nearer than
+                    s.memory["width"] = max(width, 1 + sum(-b < d for b, _ in s.best))
                     if s.step % every == 0:
                         x = observe(s)
                         beyond = int(len(s.best) >= s.k and d > s.memory["kth"])
-                        out.append({"qid": qid, "shard": shard, "beyond": beyond} | x | {"r": len(near & {int(g.ids[i]) for i in s.nearest()}) / len(near)})
+                        out.append({"qid": qid, "shard": shard, "beyond": beyond, "width": width} | x | {"r": len(near & {int(g.ids[i]) for i in s.nearest()}) / len(near)})
                     return False
 
                 s = walk(g, q, k, ef, note)
@@ -185,25 +206,83 @@ def _trace(graph: DataFrame, queries: DataFrame, k: int, ef: int, every: int) ->
     return dealt.mapInArrow(run, ", ".join(f"{n} {'long' if n in whole else 'double'}" for n in names))
 
 
+def balanced(log: DataFrame, full: int = 20, bucket: int = 10, buckets: int = 10, seed: int = 42) -> DataFrame:
+    """Of each query's rows (and shard's) at most `full` at a recall of 1, and `bucket` in each of the buckets of recall below.
+
+    A row is dealt to one of a bucket's places by a hash of its step, and of a place the row of least hash stays: one
+    aggregate whose partial results have the same bound, and no window over the log.
+    """
+    at = F.when(F.col("r") >= 1, F.lit(buckets)).otherwise(F.least(F.floor(F.col("r") * buckets), F.lit(buckets - 1)))
+    h = F.xxhash64(F.lit(seed), "qid", "shard", "step")
+    place = F.pmod(h, F.when(F.col("r") >= 1, F.lit(full)).otherwise(F.lit(bucket)))
+    own = [F.col(f"`{c}`") for c in log.columns]
+    one = F.min_by(F.struct(*own), F.struct(F.xxhash64(F.lit(seed + 1), "step"), "step")).alias("x")
+    return log.groupBy("qid", "shard", at.alias("bucket_"), place.alias("place_")).agg(one).select("x.*")
+
+
+def predicted(log: DataFrame, model: Trees) -> DataFrame:
+    """The log with the model's prediction, `p`."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.array([b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.float64) for n in model.names]).T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.predict_all(x.reshape(b.num_rows, -1)))], [*b.schema.names, "p"])
+
+    from pyspark.sql import types as T
+
+    return log.mapInArrow(run, T.StructType([*log.schema.fields, T.StructField("p", T.DoubleType())]))
+
+
+def threshold(log: DataFrame, model: Trees, target: float, confidence: float = 0.95) -> float:
+    """What a prediction has to be above for a stop that keeps the promise: of queries that are drawn as the log's are, a
+    share of `confidence` is at the target when the model first predicts more.
+
+    For each query of a log that the model was not fitted on, the highest prediction made while its recall was below the
+    target; of these the quantile of rank ceil((n + 1) * confidence). Infinite, so that nothing is stopped, where the log
+    has too few queries for that rank.
+    """
+    low = predicted(log, model).groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("r") < target, F.col("p"))), F.lit(-math.inf)).alias("s"))
+    n = low.count()
+    rank = math.ceil((n + 1) * confidence)
+    if rank > n:
+        return math.inf
+    return float(low.orderBy(F.desc("s")).limit(n - rank + 1).collect()[-1]["s"])
+
+
+def widths(log: DataFrame, target: float, widest: int) -> DataFrame:
+    """(qid, ef): the narrowest queue with which a walk comes to the target recall, or the widest, read off one trace of the
+    widest: a narrower walk is the same up to where it ends."""
+    own = log.groupBy("qid", "shard").agg(F.min(F.when(F.col("r") >= target, F.col("width"))).alias("w"))
+    return own.groupBy("qid").agg(F.least(F.max(F.coalesce("w", F.lit(widest))), F.lit(widest)).cast("int").alias("ef"))
+
+
 def fixed(budget: int) -> Callable[[], Policy]:
     """Stop at a number of distances."""
     return lambda: lambda s, d: s.ndis >= budget
 
 
-def recall_policy(model: Trees, target: float, first: int = 50, least: int = 10) -> Callable[[], Policy]:
+def recall_policy(model: Trees, target: float, first: int = 50, least: int = 10, above: float | None = None, every: int = 1) -> Callable[[], Policy]:
     """Predict recall each time an interval of distances has passed, and stop at the target; the interval shrinks from
-    `first` to `least` as the prediction nears the target."""
+    `first` to `least` as the prediction nears the target. above: stop where the prediction is above what threshold()
+    found for the target instead; every: predict at such steps alone as the log that it was found on has."""
+
+    ticks = not {"duration", "gap"}.isdisjoint(model.names)
 
     def make() -> Policy:
         due = first
 
         def stop(s: State, d: float) -> bool:
             nonlocal due
-            if s.ndis < due:
+            if ticks:
+                tick(s, d)
+            if s.ndis < due or s.step % every:
                 return False
-            s.predicted = min(1.0, max(0.0, model.predict(observe(s))))
+            p = model.predict(observe(s))
+            s.predicted = min(1.0, max(0.0, p))
             due = s.ndis + max(1, round(least + (first - least) * max(0.0, target - s.predicted)))
-            return s.predicted >= target
+            return s.predicted >= target if above is None else p > above
 
         return stop
 

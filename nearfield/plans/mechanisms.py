@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators import binary, cluster, descent, search
+from nearfield.operators import binary, cluster, declarative, descent, evaluate, graph, search
 from nearfield.operators.ivf import IVF
 from nearfield.operators.list_major import list_major_search
 from nearfield.operators.two_level import TwoLevel
-from nearfield.plans.queries import _B, _D, _KM, Q, V, _ivf_sql, first_centroids
+from nearfield.plans.queries import _B, _D, _KM, EVERY, TRAINING, Q, V, _calibrated, _ivf_sql, _traced, first_centroids
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,29 @@ _ALL = _B.replace("WHERE vec_id % 100 = 0", "")
 def hamming_match_counts(spark, sf: str) -> DataFrame:
     """For every row, the others within 7 of 64 bits, by equal slices of 8 bits."""
     return binary.match_counts(binary.to_binary(V(spark, sf)), 7, 64)
+
+
+@query("SELECT t AS target, (SELECT least(2000, count(*)) FROM embeddings WHERE vec_id % 5 = 2) AS n_queries, TRUE AS kept, TRUE AS saved FROM (SELECT unnest([0.9, 0.95]) AS t)")
+def declared_promise(spark, sf: str) -> DataFrame:
+    """For recalls of 0.90 and 0.95, of queries that neither model nor threshold have seen: whether nine in ten are at
+    what was declared, and whether that takes at most half the distances of the search without a stop."""
+    return spark.createDataFrame([(t, n, hit >= 0.9, whole >= 2 * own) for t, n, hit, own, whole in promises(spark, sf)], "target double, n_queries long, kept boolean, saved boolean")
+
+
+def promises(spark, sf: str, targets: tuple[float, ...] = (0.9, 0.95)) -> list[tuple[float, int, float, float, float]]:
+    """(target, queries, share at the target, distances with and without a stop) of held-out queries."""
+    v, g, _, truth, log = _traced(spark, sf)
+    log = log.persist()
+    model, above = _calibrated(v, g, log, targets)
+    held = search.queries_of(v, "vec_id % 5 = 2").limit(TRAINING).persist()
+    exact = search.knn(held, v, 10).persist()
+    cost = lambda x: x.groupBy("query_id", "vec_id").agg(F.max("ndis").alias("n")).groupBy("query_id").agg(F.max("n").alias("n")).agg(F.avg("n")).first()[0]
+    whole, out = cost(graph.search(g, held, 10, 100)), []
+    for t, a in zip(targets, above, strict=True):
+        found = graph.search(g, held, 10, 100, declarative.recall_policy(model, t, above=a, every=EVERY)).persist()
+        n, hit = evaluate.recall(graph.merged(found, 10), exact, 10).agg(F.count("*"), F.avg((F.col("recall") >= t).cast("double"))).first()
+        out.append((t, n, hit, cost(found), whole))
+        found.unpersist()
+    for x in (g, log, truth, held, exact):
+        x.unpersist()
+    return out

@@ -474,29 +474,46 @@ def sliding_window(spark, sf):
     return slide(e, 3).select("event_id")
 
 
+#: A bound on training queries; a fifth of all vectors where there are fewer.
+TRAINING = 2000
+#: Steps between two rows of a log, and between two predictions.
+EVERY = 2
+
+
 def _traced(spark, sf):
     v = V(spark, sf)
     g = graph.build(v, 12).persist()
     train = search.queries_of(v, "vec_id % 5 = 1").limit(TRAINING)
-    truth = search.knn(train, v, 10)
-    return v, g, train, truth, declarative.trace(g, train, truth, 10, 100)
-
-
-#: A bound on training queries; a fifth of all vectors where there are fewer.
-TRAINING = 2000
+    truth = search.knn(train, v, 10).persist()
+    return v, g, train, truth, declarative.trace(g, train, truth, 10, 100, EVERY)
 
 
 @query("SELECT least(2000, count(*)) AS n_queries, TRUE AS bounded, TRUE AS ends_high, TRUE AS grows FROM embeddings WHERE vec_id % 5 = 1")
 def recall_trace(spark, sf):
     """Of the log: recall within 0 to 1, at the end 0.9 or more on average, distances that grow with steps."""
-    log = _traced(spark, sf)[-1]
+    _, g, _, truth, log = _traced(spark, sf)
     own = log.groupBy("qid", "shard").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max_by("r", "step").alias("end"), (F.max_by("dists", "step") == F.max("dists")).alias("grows"))
-    return own.agg(F.countDistinct("qid").alias("n_queries"), ((F.min("lo") >= 0) & (F.max("hi") <= 1)).alias("bounded"), (F.avg("end") >= 0.9).alias("ends_high"), F.min("grows").alias("grows"))
+    out = own.agg(F.countDistinct("qid").alias("n_queries"), ((F.min("lo") >= 0) & (F.max("hi") <= 1)).alias("bounded"), (F.avg("end") >= 0.9).alias("ends_high"), F.min("grows").alias("grows"))
+    rows = out.collect()
+    for x in (g, truth):
+        x.unpersist()
+    return spark.createDataFrame(rows, out.schema)
+
+
+def _calibrated(v, g, log, targets: tuple[float, ...]) -> tuple[declarative.Trees, list[float]]:
+    """A model of the training queries' log, and for each target the prediction that keeps it, by a third split."""
+    model = declarative.train(declarative.balanced(log), declarative.GAP_FEATURES)
+    held = search.queries_of(v, "vec_id % 5 > 2").limit(TRAINING)
+    own = declarative.trace(g, held, search.knn(held, v, 10), 10, 100, EVERY).persist()
+    out = [declarative.threshold(own, model, t) for t in targets]
+    own.unpersist()
+    return model, out
 
 
 def _policy(kind: str, v, g, train, truth, log):
     if kind == "recall":
-        return declarative.recall_policy(declarative.train(log, declarative.RECALL_FEATURES), 0.95)
+        model, (above,) = _calibrated(v, g, log, (0.95,))
+        return declarative.recall_policy(model, 0.95, above=above, every=EVERY)
     if kind == "budget":
         goal = evaluate.budget_targets(log)
         rows = log.where("dists >= 40").groupBy("qid").agg(F.min_by(F.struct(*declarative.BUDGET_FEATURES), "step").alias("x")).select("qid", "x.*").join(goal, "qid")
@@ -504,8 +521,7 @@ def _policy(kind: str, v, g, train, truth, log):
     if kind == "stable":
         return declarative.stable_policy(declarative.train(log, declarative.STABLE_FEATURES), 0.95)
     if kind == "width":
-        ef = declarative.least_width(g, train, truth, 10, 0.95, 100)
-        return declarative.width_policy(declarative.train(declarative.width_rows(log).join(ef.select(F.col("query_id").alias("qid"), "ef"), "qid"), declarative.WIDTH_FEATURES, "ef"))
+        return declarative.width_policy(declarative.train(declarative.width_rows(log).join(declarative.widths(log, 0.95, 100), "qid"), declarative.WIDTH_FEATURES, "ef"))
     return declarative.chosen_policy(*(lambda p=p: p() for p in (_policy("width", v, g, train, truth, log), _policy("recall", v, g, train, truth, log))))
 
 
@@ -523,7 +539,7 @@ def _declared(kind: str, saved: float):
         hits = evaluate.recall(graph.merged(found, 10), search.knn(Q(v), v, 10), 10)
         n, hit = hits.agg(F.count("*"), F.avg((F.col("recall") >= 0.9).cast("double"))).first()
         got = cost(found)
-        for x in (g, log, found):
+        for x in (g, log, found, truth):
             x.unpersist()
         return spark.createDataFrame([(kind, n, hit >= 0.9, whole >= saved * got)], "policy string, n_queries long, hit boolean, saved boolean")
 

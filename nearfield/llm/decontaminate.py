@@ -136,7 +136,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     Returns id_col, n_words, spans (array of [start, end) word positions, merged), items (sorted as strings), a row for
     each row of docs. Null and empty texts, and an empty benchmark, give no spans; items without words have no window;
     repeated rows give repeated rows; null item ids are left out of `items` but their words count as hit; other columns
-    of docs are not read.
+    of docs are not read. With more than one block rows are numbered once a block, so docs has to be a table or a stable
+    plan then.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()

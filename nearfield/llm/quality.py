@@ -198,7 +198,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     taught = text_stats(docs.select(id_col, text_col).join(F.broadcast(few), id_col), text_col).where(~base_failed())
     names = list(RATIOS)
     rows = taught.select(id_col, "y_", *[F.expr(RATIOS[n]).cast("double").alias(n) for n in names]).collect()
-    rows.sort(key=lambda r: r[0])
+    # rows that repeat an id are in an order of their own too, so the list is the same in every run
+    rows.sort(key=lambda r: (r[0], r["y_"], [(r[n] is not None, r[n] or 0.0) for n in names]))
     return learn_list([({n: r[n] for n in names}, r["y_"] == 1) for r in rows], **how)
 
 

@@ -109,7 +109,7 @@ class Decoder:
             path, text = path
             out.append(text)
         out = "".join(reversed(out))
-        # with the marks at the end read as marks, a word that has no choice itself stays as written
+        # with the marks at the end read as marks, a word that has no choice itself (a letter twice is one) stays as written
         return span if end < len(span) and out.endswith(span[end:]) and not _NOISE.search(span[:end]) else out
 
 

@@ -73,8 +73,10 @@ def test_stand_ins_in_a_row_and_at_the_end_are_decoded():
     d = toxicity.Decoder(toxicity.log_model(toxicity.gram_counts([text])))
     for written, meant in (("id107", "idiot"), ("sh17", "shit"), ("shi+", "shit"), ("a55", "ass"), ("a$$", "ass"), ("a55hole", "asshole"), ("l053r", "loser"), ("f00l!", "fool!"), ("іԁiot", "idiot"), ("аѕshole", "asshole"), ("d o g", "dog"), ("a\nd.o.g\n", "a\ndog\n"), ("(f o o l)", "(fool)")):
         assert toxicity.restore(written, d)[0].lstrip("(") == meant.lstrip("("), written
-    for plain in ("the fool says, an idiot!", "1.2.3 and 107", "a dog!!", "a fool$$$", "annd!!"):
+    for plain in ("the fool says, an idiot!", "1.2.3 and 107", "a dog!!", "a fool$$$"):
         assert toxicity.restore(plain, d) == (plain, 0)
+    # a letter twice is a choice: spelling stays, what the language has with one letter only doesn't
+    assert toxicity.restore("annd!!", d)[0] == "and!!" and toxicity.restore("a fool and an ass!!", d)[0] == "a fool and an ass!!"
 
 
 def test_planted_insults_are_learned(spark):
@@ -156,11 +158,18 @@ def test_token_counts_are_the_librarys(docs):
     assert token_counts.piece_counter(public_tokenizers.path("piece_bpe_32k.model"))([x.encode() for x in odd]) == [len(m.encode(x)) for x in odd]
 
 
+def test_quality_of_repeated_ids_is_the_same_in_any_order(spark, docs):
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.reverse("text"), F.lit(" # # 1 2 3"))))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    lists = [quality.fit_quality(d, marks) for d in (twice, twice.repartition(7).orderBy(F.desc("text")), twice.orderBy("text"))]
+    assert lists[0] == lists[1] == lists[2]
+
+
 def test_lines_that_many_documents_share_stay_once(docs):
     r = line_dedup.dedup_lines(docs).collect()
     shared = [x for x in r if "many documents share" in x["text"]]
-    # and the line of documents 3, 4 and 4, which stays in both rows of the largest id
-    assert [x["doc_id"] for x in shared] == [59] and sum(x["n_dropped"] for x in r) == 50 and len(r) == docs.count()
+    # rows of one id count once, so the line of documents 3, 4 and 4 is in two documents only and stays
+    assert [x["doc_id"] for x in shared] == [59] and sum(x["n_dropped"] for x in r) == 49 and len(r) == docs.count()
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators import binary, cluster, declarative, descent, evaluate, graph, search
-from nearfield.operators.ivf import IVF
+from nearfield.operators.coarse import AdditiveIVF, MultiIndex
+from nearfield.operators.ivf import IVF, probes
 from nearfield.operators.list_major import list_major_search
+from nearfield.operators.tuning import ParameterSpace
 from nearfield.operators.two_level import TwoLevel
-from nearfield.plans.queries import _B, _D, _KM, EVERY, TRAINING, Q, V, _calibrated, _ivf_sql, _traced, first_centroids
+from nearfield.plans.queries import _B, _D, _KM, _V, EVERY, TRAINING, Q, V, _calibrated, _ivf_sql, _traced, first_centroids
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +110,101 @@ def promises(spark, sf: str, targets: tuple[float, ...] = (0.9, 0.95)) -> list[t
     for x in (g, log, truth, held, exact):
         x.unpersist()
     return out
+
+
+def _halves(v: DataFrame) -> np.ndarray:
+    """Books that SQL can state: the halves of the first eight vectors."""
+    first = first_centroids(v, 8)
+    return np.stack([first[:, :32], first[:, 32:]])
+
+
+def _two_books(v: DataFrame) -> list[np.ndarray]:
+    """Books that SQL can state: the first eight vectors, and half of the eight after them."""
+    first = first_centroids(v, 16)
+    return [first[:8], first[8:] / 2]
+
+
+_SUMS = (
+    f"{_V}, f AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, v FROM v QUALIFY c < 16)"
+    + ", s AS (SELECT CAST(a.c * 8 + b.c - 8 AS INTEGER) AS list_no, list_transform(range(1, 65), lambda i: a.v[i] + b.v[i] / 2) AS v FROM f a, f b WHERE a.c < 8 AND b.c >= 8)"
+    + f", pr AS (SELECT query_id, list_no, row_number() OVER (PARTITION BY query_id ORDER BY round({_D['l2']}, 9), list_no) AS probe FROM q, s)"
+)
+
+
+@query(f"WITH {_SUMS} SELECT query_id, list_no, CAST(probe AS INTEGER) AS probe FROM pr WHERE probe <= 12")
+def additive_probes(spark, sf: str) -> DataFrame:
+    """The twelve nearest of 64 sums, by a beam over two books."""
+    v = V(spark, sf)
+    return AdditiveIVF(64, books=_two_books(v), beam=8).probes(Q(v), 12).select("query_id", "list_no", "probe")
+
+
+_SWAP = _D["l2"].replace("q[i]", "s.v[i]").replace(" v[i]", " v.v[i]").replace("len(q)", "len(s.v)")
+
+
+@query(
+    f"WITH {_SUMS}, a AS (SELECT vec_id, arg_min(list_no, (round({_SWAP}, 9), list_no)) AS list_no FROM v, s GROUP BY vec_id)"
+    f", r AS (SELECT query_id, vec_id, round({_D['l2']}, 6) AS distance FROM pr JOIN a USING (list_no) JOIN v USING (vec_id) JOIN q USING (query_id) WHERE probe <= 12)"
+    ", z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM z WHERE rank <= 10"
+)
+def additive_lists(spark, sf: str) -> DataFrame:
+    """The ten nearest in twelve of 64 lists that are named by two codes."""
+    v = V(spark, sf)
+    return AdditiveIVF(64, books=_two_books(v), beam=8).add(v).search(Q(v), 10, 12)
+
+
+_CELLS = (
+    f"{_V}, f AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, v FROM v QUALIFY c < 8)"
+    + ", h AS (SELECT unnest([0, 1]) AS j)"
+    + ", e AS (SELECT x.vec_id, j, arg_min(c, (round(list_sum(list_transform(range(32 * j + 1, 32 * j + 33), lambda i: (x.v[i] - f.v[i]) * (x.v[i] - f.v[i]))), 9), c)) AS c FROM v x, f, h GROUP BY x.vec_id, j)"
+    + ", l AS (SELECT a.vec_id, a.c * 8 + b.c AS cell FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.j = 0 AND b.j = 1)"
+    + ", d AS (SELECT query_id, c, j, list_sum(list_transform(range(32 * j + 1, 32 * j + 33), lambda i: (q[i] - v[i]) * (q[i] - v[i]))) AS d FROM q, f, h)"
+    + ", p AS (SELECT a.query_id, a.c * 8 + b.c AS cell, a.d + b.d AS d FROM d a JOIN d b ON a.query_id = b.query_id AND a.j = 0 AND b.j = 1)"
+    + ", n AS (SELECT cell, count(*) AS n FROM l GROUP BY cell)"
+    + ", w AS (SELECT query_id, cell, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY round(d, 9), cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p JOIN n USING (cell))"
+)
+
+
+@query(
+    f"WITH {_CELLS}, r AS (SELECT w.query_id, v.vec_id, round({_D['l2']}, 6) AS distance FROM w JOIN l USING (cell) JOIN v USING (vec_id) JOIN q ON q.query_id = w.query_id WHERE before < 100)"
+    ", z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM z WHERE rank <= 10"
+)
+def multi_index_lists(spark, sf: str) -> DataFrame:
+    """The ten nearest among the rows of 64 cells, walked until a hundred rows are met."""
+    v = V(spark, sf)
+    return MultiIndex(_halves(v)).add(v).search(Q(v), 10, 100)
+
+
+_TUNED = (
+    f"WITH {_KM}, pr AS (SELECT query_id, list_no, row_number() OVER (PARTITION BY query_id ORDER BY round(list_sum(list_transform(range(1, len(w) + 1), lambda i: (w[i] - c[i]) * (w[i] - c[i]))), 9), list_no) AS probe FROM (SELECT query_id, q AS w FROM q) s, (SELECT list_no, q AS c FROM c) t)"
+    + ", x AS (SELECT list_no, vec_id, row_number() OVER (PARTITION BY list_no ORDER BY vec_id) AS pos, count(*) OVER (PARTITION BY list_no) AS n FROM a)"
+    + ", b AS (SELECT query_id, list_no, probe, n, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pr JOIN (SELECT DISTINCT list_no, n FROM x) USING (list_no))"
+    + ", g AS (SELECT * FROM (SELECT unnest([1, 4, 16]) AS nprobe), (SELECT unnest([50, 150, 450]) AS budget))"
+    + f", e AS (SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({_D['l2']}, 6), vec_id) AS r FROM q, v) WHERE r <= 10)"
+    + ", h AS (SELECT nprobe, budget, count(*) AS hits FROM g, e JOIN x USING (vec_id) JOIN b USING (query_id, list_no) WHERE probe <= nprobe AND pos <= budget - before GROUP BY nprobe, budget)"
+    + ", k AS (SELECT nprobe, budget, sum(greatest(0, least(n, budget - before))) AS cost FROM g, b WHERE probe <= nprobe GROUP BY nprobe, budget)"
+    + ", p AS (SELECT DISTINCT CAST(coalesce(hits, 0) AS BIGINT) AS hits, CAST(cost AS BIGINT) AS codes FROM k LEFT JOIN h USING (nprobe, budget))"
+)
+
+
+@query(f"{_TUNED} SELECT hits, codes, TRUE AS fewer FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.hits >= p.hits AND o.codes <= p.codes AND (o.hits > p.hits OR o.codes < p.codes))")
+def tuned_parameters(spark, sf: str) -> DataFrame:
+    """The Pareto points of probes by budgets of codes: true neighbours found and codes read by all queries; and that not
+    all combinations were measured."""
+    v = V(spark, sf)
+    index = IVF(16)
+    index.centroids = first_centroids(v, 16)
+    index.add(v)
+    index.lists = descent.written(index.lists, "lists")
+    q, exact = Q(v), descent.written(search.knn(Q(v), v, 10).select("query_id", "vec_id"), "exact")
+    sizes, order = index.lists.groupBy("list_no").agg(F.count("*").alias("n")), probes(q, index.centroids, 16)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("probe").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    read = descent.written(order.join(sizes, "list_no").select("query_id", "probe", "n", before.alias("before")), "sizes")
+
+    def measure(x: dict) -> tuple[float, float]:
+        hits = index.search(q, 10, x["nprobe"], x["max_codes"]).join(exact, ["query_id", "vec_id"], "left_semi").count()
+        left = F.greatest(F.lit(0), F.least("n", x["max_codes"] - F.col("before")))
+        return hits, read.where(F.col("probe") <= x["nprobe"]).agg(F.sum(left)).first()[0]
+
+    space = ParameterSpace({"nprobe": [1, 4, 16], "max_codes": [50, 150, 450]})
+    points = space.explore(measure)
+    return spark.createDataFrame([(int(p.perf), int(p.cost), space.skipped > 0) for p in points], "hits long, codes long, fewer boolean")

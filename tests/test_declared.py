@@ -69,6 +69,14 @@ def test_least_widths_are_narrow(world):
         assert ef[i] == 5 or at(ef[i] - 1) < 0.95
 
 
+def test_widths_of_one_trace_are_those_of_searches(world):
+    v, g, train, truth, _ = world
+    wide = declarative.trace(g, train, truth, 5, 64)
+    read = {r["qid"]: r["ef"] for r in declarative.widths(wide, 0.95, 64).collect()}
+    found = {r["query_id"]: r["ef"] for r in declarative.least_width(g, train, truth, 5, 0.95, 64, tolerance=0.0).collect()}
+    assert read == found
+
+
 def test_a_classifier_chooses(spark, world):
     v, g, train, truth, log = world
     trees = declarative.train_classifier(log.withColumn("y", (F.col("dists") > 100).cast("int")), ["dists", "inserts"])

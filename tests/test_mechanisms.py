@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import binary, cluster, descent, list_major, manifest, quantize, sums, transforms, two_level
+from nearfield.operators import binary, cluster, coarse, declarative, descent, list_major, manifest, quantize, search, sums, transforms, tuning, two_level
 from nearfield.operators.ivf import IVF
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -267,3 +267,111 @@ def test_bits_stay_words_in_lists(spark, x):
     assert key(index.search(q, 5, 4)) == key(binary.knn(q, b, 5))
     near = lambda df: sorted((r["query_id"], r["vec_id"], r["distance"]) for r in df.collect())
     assert near(index.range_search(q, 4, 4)) == near(binary.range_join(q, b, 4))
+
+
+# additive lists and cells
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_nearest_sums_are_an_enumeration(m):
+    rng = np.random.default_rng(m)
+    books = [rng.standard_normal((5, 6)) / (j + 1) for j in range(m)]
+    books[-1][1] = books[-1][0]  # ties go to the lower number
+    x = rng.standard_normal((40, 6))
+    grid = np.array(np.meshgrid(*[np.arange(5)] * m, indexing="ij")).reshape(m, -1).T
+    sums = sum(b[grid[:, j]] for j, b in enumerate(books))
+    assert np.array_equal(coarse.code_number(grid, books), np.arange(5**m))
+    d = ((x[:, None] - sums[None]) ** 2).sum(2)
+    want = np.lexsort((np.broadcast_to(np.arange(len(sums)), d.shape), np.round(d, 9)), axis=1)[:, :4]
+    no, dist = coarse.nearest_sums(x, books, 4, 5 ** max(m - 1, 0))
+    assert np.array_equal(no, want) and np.allclose(dist, np.take_along_axis(d, no, 1))
+    narrow, _ = coarse.nearest_sums(x, books, 4, 2)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(narrow.tolist(), want.tolist(), strict=True)]) > 2
+
+
+@pytest.mark.parametrize("kind", ["residual", "local"])
+def test_additive_lists_hold_all_rows_and_come_back(spark, x, tmp_path, kind):
+    v, q = table(spark, x), queries(spark, x[:20])
+    index = coarse.AdditiveIVF(0).fit(v, 2, 3, 3, kind).add(v)
+    assert index.nlist == 64 and index.lists.count() == 400
+    whole = as_rows(index.search(q, 5, 64))
+    assert whole == as_rows(search.knn(q, v, 5))
+    near = lambda df: sorted((r["query_id"], r["vec_id"]) for r in df.collect())
+    assert near(index.range_search(q, 20.0, 64)) == near(search.range_join(q, v, 20.0))
+    index.save(f"file://{tmp_path}/{kind}")
+    again = coarse.AdditiveIVF.load(spark, f"file://{tmp_path}/{kind}")
+    assert as_rows(again.search(q, 5, 6)) == as_rows(index.search(q, 5, 6))
+    hits = len({r[:1] + r[2:3] for r in as_rows(index.search(q, 5, 16))} & {r[:1] + r[2:3] for r in whole})
+    assert hits >= 60
+
+
+def test_cells_are_walked_to_the_budget(spark, x):
+    v, q = table(spark, x), queries(spark, x[:15])
+    index = coarse.MultiIndex.fit(v, 2, 3, 3).add(v)
+    cell = dict(index.lists.select("vec_id", "cell").collect())
+    b = index.books
+    part = lambda y, j: ((b[j] - y[8 * j : 8 * j + 8]) ** 2).sum(1)
+    for i in range(400):
+        assert cell[i] == part(x[i], 0).argmin() * 8 + part(x[i], 1).argmin()
+    sizes = np.bincount(list(cell.values()), minlength=64)
+    for budget, first in ((50, 2), (1000, 4)):
+        walked = {}
+        for r in index.walk(q, budget, first).collect():
+            walked.setdefault(r["query_id"], set()).add(r["cell"])
+        for i in range(15):
+            d = (part(x[i], 0)[:, None] + part(x[i], 1)[None]).ravel()
+            want, held = set(), 0
+            for c in np.lexsort((np.arange(64), np.round(d, 9))).tolist():
+                if held < budget and sizes[c]:
+                    want.add(c)
+                    held += sizes[c]
+            assert walked[i] == want
+    assert as_rows(index.search(q, 5, 1000)) == as_rows(search.knn(q, v, 5))
+
+
+# tuning
+
+
+def test_exploring_finds_what_the_sweep_finds_in_fewer_searches():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        # steps up along both axes; perf saturates
+        perf = np.minimum(np.cumsum(np.cumsum(rng.random((5, 6)) ** 4, 0), 1), 1.5).round(2)
+        cost = np.cumsum(np.cumsum(rng.random((5, 6)), 0), 1)
+        measure = lambda v: (float(perf[v["a"], v["b"]]), float(cost[v["a"], v["b"]]))  # noqa: B023, E731
+        ranges = {"a": list(range(5)), "b": list(range(6))}
+        space = tuning.ParameterSpace(ranges)
+        got = space.explore(measure, seed)
+        every = [tuning.Point((a, b), {}, *measure({"a": a, "b": b})) for a in range(5) for b in range(6)]
+        assert [(p.perf, p.cost) for p in got] == [(p.perf, p.cost) for p in tuning.pareto_points(every)]
+        assert len(space.measured) + space.skipped == 30 and space.skipped > 0
+    one = tuning.ParameterSpace({"a": [7]})
+    assert [p.values for p in one.explore(lambda v: (1.0, 2.0))] == [{"a": 7}]
+
+
+# declared recall
+
+
+def test_balanced_rows_are_bounded_and_thresholds_keep_the_promise(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for qid in range(200):
+        need = int(rng.integers(20, 120))
+        for step in range(150):
+            r = min(1.0, round(step / need, 1))
+            rows.append((qid, 0, step, r, float(min(1, step / need) + rng.normal() * 0.02), int(10 + step)))
+    log = spark.createDataFrame(rows, "qid long, shard int, step long, r double, f double, width long").persist()
+    own = declarative.balanced(log)
+    per = own.groupBy("qid", F.when(F.col("r") >= 1, 10).otherwise(F.floor(F.col("r") * 10)).alias("b")).count().collect()
+    assert max(r["count"] for r in per if r["b"] == 10) <= 20 and max(r["count"] for r in per if r["b"] < 10) <= 10
+    assert {r["qid"] for r in per} == set(range(200)) and own.columns == log.columns
+    assert sorted(own.collect()) == sorted(declarative.balanced(log.repartition(5)).collect())
+    model = declarative.train(own.where("qid < 80"), ["f"])
+    x = np.array([[0.1], [0.9], [1.2]])
+    assert np.allclose(model.predict_all(x), [model.predict({"f": v[0]}) for v in x])
+    above = declarative.threshold(log.where("qid between 80 and 139"), model, 0.9)
+    end = declarative.predicted(log.where("qid >= 140"), model).groupBy("qid").agg(F.min(F.when(F.col("p") > above, F.struct("step", "r"))).alias("s")).collect()
+    assert np.mean([r["s"] is None or r["s"]["r"] >= 0.9 for r in end]) >= 0.85
+    assert np.mean([r["s"] is not None for r in end]) > 0.5
+    assert declarative.threshold(log.where("qid < 5"), model, 0.9) == float("inf")
+    log.unpersist()

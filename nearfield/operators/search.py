@@ -15,6 +15,8 @@ from nearfield.functions.vectors import metric
 
 #: Bytes of queries that one pass over the vectors may broadcast; more queries go in several passes.
 BLOCK_BYTES = 64 << 20
+#: Bytes of a bitmap of ids that a plan may hold.
+BITMAP_BYTES = 1 << 20
 
 
 def queries_of(vectors: DataFrame, where: str = "vec_id % 100 = 0") -> DataFrame:
@@ -209,7 +211,10 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def id_bitmap(bits: bytes) -> Column:
-    """Ids whose bit is set, the lowest bit of a byte first; ids beyond the bitmap are not selected."""
+    """Ids whose bit is set, the lowest bit of a byte first; ids beyond the bitmap are not selected. The bitmap is a literal
+    of the plan, so over BITMAP_BYTES it is an error: id_batch() takes a table of ids of any size."""
+    if len(bits) > BITMAP_BYTES:
+        raise ValueError(f"a bitmap of {len(bits)} bytes is too large for a plan; select by a table of ids")
     byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits)), (F.floor(F.col("vec_id") / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
     return (F.col("vec_id") >= 0) & (F.col("vec_id") < 8 * len(bits)) & (F.call_function("shiftright", byte, (F.col("vec_id") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
@@ -222,13 +227,19 @@ def translated(vectors: DataFrame, ids: DataFrame, selector: Column) -> DataFram
 
 def big_batch(queries: DataFrame, vectors: DataFrame, k: int, path: str, blocks: int = 8, name: str = "l2") -> DataFrame:
     """knn() in blocks of queries that are written one after another; a run that was broken off goes on behind the blocks
-    that are whole. The blocks follow a hash of the query's id, so every run makes the same."""
+    that are whole. The blocks follow a hash of the query's id, so every run makes the same. Each has a manifest of the
+    tables' rows and the settings: a block of other ones is made again."""
+    from nearfield.operators.manifest import digest, read_manifest, remove, table_version, write_manifest
+
     spark = queries.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for i in range(blocks):
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/block={i}/_SUCCESS")):
-            knn(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), vectors, k, name).write.mode("overwrite").parquet(f"{path}/block={i}")
-    return spark.read.parquet(path).drop("block")
+    version = digest(table_version(queries.select("query_id", "q")), table_version(vectors.select("vec_id", "embedding")), k, blocks, name)
+    paths = [f"{path}/block={i}" for i in range(blocks)]
+    for i, at in enumerate(paths):
+        if (read_manifest(spark, at) or {}).get("version") != version:
+            remove(spark, at)
+            knn(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), vectors, k, name).write.parquet(f"{at}/rows")
+            write_manifest(spark, at, {"version": version})
+    return spark.read.parquet(*[f"{at}/rows" for at in paths])
 
 
 def knn_line(queries: DataFrame, values: DataFrame, k: int) -> DataFrame:

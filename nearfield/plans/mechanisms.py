@@ -14,6 +14,7 @@ from nearfield.operators.ivf import IVF, probes
 from nearfield.operators.list_major import list_major_search
 from nearfield.operators.tuning import ParameterSpace
 from nearfield.operators.two_level import TwoLevel
+from nearfield.plans.offline import offline_index
 from nearfield.plans.queries import _B, _D, _KM, _V, EVERY, TRAINING, Q, V, _calibrated, _ivf_sql, _traced, first_centroids
 
 QUERIES: dict[str, Callable] = {}
@@ -208,3 +209,21 @@ def tuned_parameters(spark, sf: str) -> DataFrame:
     space = ParameterSpace({"nprobe": [1, 4, 16], "max_codes": [50, 150, 450]})
     points = space.explore(measure)
     return spark.createDataFrame([(int(p.perf), int(p.cost), space.skipped > 0) for p in points], "hits long, codes long, fewer boolean")
+
+
+_DISTINCT = "SELECT count(*) FROM (SELECT DISTINCT embedding FROM embeddings)"
+
+
+@query(
+    f"SELECT * FROM (SELECT unnest(['missing', 'unknown', 'twice', 'in a wrong list', 'found but not there', 'made again']) AS check, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'rows in lists', ({_DISTINCT})"
+    f" UNION ALL SELECT 'copies', (SELECT count(*) FROM embeddings) UNION ALL SELECT 'results', (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) * least(10, ({_DISTINCT})))"
+)
+def offline_pipeline(spark, sf: str) -> DataFrame:
+    """An index made offline over all rows, its checks, and that a second run makes nothing again."""
+    v, path = V(spark, sf).select("vec_id", "embedding"), descent.shared_path(spark, "offline")
+    log: list[tuple[str, str]] = []
+    offline_index(spark, path, v, Q(v))
+    t = offline_index(spark, path, v, Q(v), log=log)
+    count = lambda name, df, n=F.count("*"): df.agg(n.cast("long").alias("n")).select(F.lit(name).alias("check"), "n")
+    again = spark.createDataFrame([("made again", sum(how == "made" for _, how in log))], "check string, n long")
+    return t["consistency"].unionByName(again).unionByName(count("rows in lists", t["merged"])).unionByName(count("copies", t["distinct"], F.sum("copies"))).unionByName(count("results", t["found"]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as fv
-from nearfield.operators import binary, cluster, declarative, evaluate, graph, quantize, search, transforms
+from nearfield.operators import binary, cluster, declarative, descent, evaluate, graph, quantize, search, transforms
 from nearfield.operators.ivf import IVF, DedupIVF, RefinedIVF, multi_index, probes
 from nearfield.plans.factory import Index
 
@@ -98,11 +98,13 @@ def range_ip(spark, sf):
     return search.range_join(Q(v), v, 0.4, "ip")
 
 
-@query(_knn_sql("l2", 5, where="vec_id >= 100 AND vec_id < 400 AND NOT (vec_id % 3 = 0 AND vec_id % 2 = 1)"))
+@query(_knn_sql("l2", 5, where="vec_id >= (SELECT max(vec_id) FROM embeddings) // 4 AND NOT (vec_id % 3 = 0 AND vec_id % 2 = 1)"))
 def knn_selector(spark, sf):
+    """A range that follows the table's ids, less every sixth."""
     v = V(spark, sf)
     odd = (F.col("vec_id") % 3 == 0) & (F.col("vec_id") % 2 == 1)
-    return search.knn(Q(v), v, 5, selector=search.id_range(100, 400) & ~odd)
+    last = v.agg(F.max("vec_id")).first()[0] or 0
+    return search.knn(Q(v), v, 5, selector=search.id_range(last // 4, last + 1) & ~odd)
 
 
 @query(_knn_sql("l2", 5))
@@ -385,9 +387,8 @@ def _factory(text: str, bound: float = 0.9, share: int = 0, **how):
 
     def run(spark, sf):
         v = V(spark, sf)
-        if share:
-            how["k_factor"] = max(how.get("k_factor", 4), -(-v.count() // (10 * share)))
-        return at_least(Index(text).fit(v).add(v).search(Q(v), 10, **how), search.knn(Q(v), v, 10), 10, bound, text)
+        more = {"k_factor": max(how.get("k_factor", 4), -(-v.count() // (10 * share)))} if share else {}
+        return at_least(Index(text).fit(v).add(v).search(Q(v), 10, **how | more), search.knn(Q(v), v, 10), 10, bound, text)
 
     run.__name__ = "factory_" + text.lower().replace(",", "_").replace("(", "").replace(")", "")
     QUERIES[run.__name__] = run
@@ -581,6 +582,8 @@ def ivf_declared(spark, sf):
     """Lists read until the predicted recall is at its target: the mean recall is 0.9 or more, by fewer probes than all."""
     v = V(spark, sf)
     index = IVF(32).fit(v, 4).add(v)
+    # each block of probes reads its lists; without a table of them all rows would be assigned again
+    index.lists = descent.written(index.lists, "lists")
     train = search.queries_of(v, "vec_id % 10 = 1").limit(TRAINING)
     log = declarative.ivf_trace(index, train, search.knn(train, v, 10), 10, 32, 4)
     model = declarative.train(log, declarative.RECALL_FEATURES)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import binary, cluster, coarse, declarative, descent, list_major, manifest, quantize, search, sums, transforms, tuning, two_level
 from nearfield.operators.ivf import IVF
+from nearfield.plans import offline
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -375,3 +376,21 @@ def test_balanced_rows_are_bounded_and_thresholds_keep_the_promise(spark):
     assert np.mean([r["s"] is not None for r in end]) > 0.5
     assert declarative.threshold(log.where("qid < 5"), model, 0.9) == float("inf")
     log.unpersist()
+
+
+def test_an_offline_index_goes_on_and_follows_its_rows(spark, x, tmp_path):
+    path, log = f"file://{tmp_path}/offline", []
+    v, q = table(spark, np.concatenate([x[:200], x[:20]])), queries(spark, x[:10])
+    t = offline.offline_index(spark, path, v, q, 4, 2, 5, 4, 3, log)
+    assert {h for _, h in log} == {"made"} and t["merged"].count() == 200 and t["consistency"].agg(F.max("n")).first()[0] == 0
+    assert as_rows(t["found"]) == as_rows(t["exact"]) and t["recall"].agg(F.min("recall")).first()[0] == 1
+    manifest.remove(spark, f"{path}/shard_1")
+    log.clear()
+    offline.offline_index(spark, path, v, q, 4, 2, 5, 4, 3, log)
+    assert [n for n, h in log if h == "made"] == ["shard_1"]
+    log.clear()
+    offline.offline_index(spark, path, v, q, 4, 2, 5, 2, 3, log)
+    assert [n for n, h in log if h == "made"] == ["found", "recall", "consistency"]
+    log.clear()
+    offline.offline_index(spark, path, v.where("vec_id <> 7"), q, 4, 2, 5, 2, 3, log)
+    assert {h for _, h in log} == {"made"}

@@ -140,6 +140,8 @@ def test_selectors(spark, v):
     for i in (0, 7, 8, 100, 239):
         bits[i // 8] |= 1 << i % 8
     assert [r[0] for r in rows(v.where(search.id_bitmap(bytes(bits))), "vec_id")] == [0, 7, 8, 100, 239]
+    with pytest.raises(ValueError, match="bitmap"):
+        search.id_bitmap(bytes(search.BITMAP_BYTES + 1))
     ids = spark.createDataFrame([(i, 1000 + i) for i in range(400)], "vec_id long, external_id long")
     assert [r[0] for r in rows(search.translated(v, ids, search.id_range(1003, 1006)), "vec_id")] == [3, 4, 5]
 
@@ -159,6 +161,10 @@ def test_big_batches_go_on(spark, v, q, tmp_path):
     got = rows(search.big_batch(q, v, 4, path, 3), "query_id", "rank", "vec_id")
     assert got == rows(search.knn(q, v, 4), "query_id", "rank", "vec_id")
     before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
-    (next(tmp_path.glob("batch/block=1/_SUCCESS"))).unlink()
+    (next(tmp_path.glob("batch/block=1/_manifest.json"))).unlink()
     assert rows(search.big_batch(q, v, 4, path, 3), "query_id", "rank", "vec_id") == got
     assert all(p.exists() for p in before if "block=1" not in str(p))
+    # blocks of another k, or of other rows, are stale
+    assert rows(search.big_batch(q, v, 2, path, 3), "query_id", "rank", "vec_id") == rows(search.knn(q, v, 2), "query_id", "rank", "vec_id")
+    fewer = v.where("vec_id > 20")
+    assert rows(search.big_batch(q, fewer, 2, path, 3), "query_id", "rank", "vec_id") == rows(search.knn(q, fewer, 2), "query_id", "rank", "vec_id")

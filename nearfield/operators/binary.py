@@ -86,7 +86,7 @@ class BitWords(Codec):
         b = np.unpackbits(np.ascontiguousarray(c.astype("<u4")).view(np.uint8), axis=1, bitorder="little")[:, : self.bits]
         return 2.0 * b - 1
 
-    def distances(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def distances(self, q: np.ndarray, codes: np.ndarray, no: int = 0) -> np.ndarray:
         """(queries, codes) squared L2 distances of vectors of -1 and 1: four times the bits that differ."""
         own = self.encode(q)
         return 4.0 * sum(np.bitwise_count(own[:, None, j] ^ codes[None, :, j]) for j in range(own.shape[1])).astype(np.float64)

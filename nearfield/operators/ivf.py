@@ -171,7 +171,7 @@ class IVF:
                         if not len(own):
                             continue
                         at = np.flatnonzero(nos == no)
-                        d = scores(q[own], x[at], codec, None if centroids is None else centroids[no], ip)
+                        d = scores(q[own], x[at], codec, None if centroids is None else centroids[no], ip, no)
                         for j, i in enumerate(own.tolist()):
                             dj = np.round(d[j], 6)
                             use = np.arange(len(dj)) if k is not None else np.flatnonzero(dj > radius if ip else dj < radius)
@@ -243,12 +243,13 @@ class IVF:
         return cls(about["nlist"], about["metric"], _codec_from(about["codec"]), about["by_residual"], np.array(about["centroids"]), spark.read.parquet(f"{path}/lists"))
 
 
-def scores(q: np.ndarray, x: np.ndarray, codec: Codec | None, centroid: np.ndarray | None, ip: bool) -> np.ndarray:
-    """(queries, rows) scores of one list's rows: vectors, or codes of a codec, of residuals if a centroid is given."""
+def scores(q: np.ndarray, x: np.ndarray, codec: Codec | None, centroid: np.ndarray | None, ip: bool, no: int = 0) -> np.ndarray:
+    """(queries, rows) scores of the rows of list `no`: vectors, or codes of a codec, of residuals if a centroid is given.
+    A codec with distances of its own scores by those."""
     if isinstance(codec, ProductQuantizer) and not ip:
         return codec.adc(q if centroid is None else q - centroid, x)
     if hasattr(codec, "distances"):
-        return codec.distances(q, x)
+        return codec.distances(q, x, no)
     if codec is not None:
         x = codec.decode(x).astype(np.float32).astype(np.float64)
         if centroid is not None:

@@ -33,7 +33,7 @@ def _score_groups(index: IVF, k: int):
         out: list[tuple] = []
         step = max(1, (8 << 20) // max(1, len(names)))  # a slice of the score matrix has some 64 MB
         for a in range(0, len(ids), step):
-            d = np.round(scores(q[a : a + step], x, codec, None if centroids is None else centroids[int(key[0].as_py())], ip), 6)
+            d = np.round(scores(q[a : a + step], x, codec, None if centroids is None else centroids[key[0].as_py()], ip, key[0].as_py()), 6)
             for i, row in enumerate(d):
                 use = np.lexsort((names, -row if ip else row))[:k]
                 out.append((np.full(len(use), ids[a + i]), names[use], row[use]))

@@ -12,6 +12,8 @@ from nearfield.operators import binary, cluster, declarative, descent, evaluate,
 from nearfield.operators.coarse import AdditiveIVF, MultiIndex
 from nearfield.operators.ivf import IVF, probes
 from nearfield.operators.list_major import list_major_search
+from nearfield.operators.spectral import SpectralIVF
+from nearfield.operators.transforms import Linear
 from nearfield.operators.tuning import ParameterSpace
 from nearfield.operators.two_level import TwoLevel
 from nearfield.plans.offline import offline_index
@@ -227,3 +229,21 @@ def offline_pipeline(spark, sf: str) -> DataFrame:
     count = lambda name, df, n=F.count("*"): df.agg(n.cast("long").alias("n")).select(F.lit(name).alias("check"), "n")
     again = spark.createDataFrame([("made again", sum(how == "made" for _, how in log))], "check string, n long")
     return t["consistency"].unionByName(again).unionByName(count("rows in lists", t["merged"])).unionByName(count("copies", t["distinct"], F.sum("copies"))).unionByName(count("results", t["found"]))
+
+
+_BITS = (
+    f"WITH {_KM}, pr AS (SELECT query_id, list_no, row_number() OVER (PARTITION BY query_id ORDER BY round(list_sum(list_transform(range(1, len(w) + 1), lambda i: (w[i] - c[i]) * (w[i] - c[i]))), 9), list_no) AS probe FROM (SELECT query_id, q AS w FROM q) s, (SELECT list_no, q AS c FROM c) t)"
+    + ", b AS (SELECT vec_id, list_no, list_transform(range(1, 33), lambda i: CAST(floor((v.v[i] - (c.q[i] - 0.125)) * 4.0) AS BIGINT) & 1) AS b FROM a JOIN v USING (vec_id) JOIN c USING (list_no))"
+    + ", w AS (SELECT query_id, list_no, list_transform(range(1, 33), lambda i: CAST(floor((q.q[i] - (c.q[i] - 0.125)) * 4.0) AS BIGINT) & 1) AS b FROM pr JOIN q USING (query_id) JOIN c USING (list_no) WHERE probe <= 4)"
+)
+
+
+@query(
+    f"{_BITS}, r AS (SELECT query_id, vec_id, CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN w.b[i] <> b.b[i] THEN 1 ELSE 0 END)) AS DOUBLE) AS distance FROM w JOIN b USING (list_no))"
+    ", z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM z WHERE rank <= 10"
+)
+def spectral_lists(spark, sf: str) -> DataFrame:
+    """The ten of least Hamming distance in four lists: bits of the first 32 components around each list's centroid."""
+    v = V(spark, sf)
+    index = SpectralIVF(16, 32, 0.5).fit(v, centroids=first_centroids(v, 16), projection=Linear(np.eye(32, 64)))
+    return index.add(v).search(Q(v), 10, 4)

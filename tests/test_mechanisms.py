@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import binary, cluster, coarse, declarative, descent, list_major, manifest, quantize, search, sums, transforms, tuning, two_level
+from nearfield.operators import binary, cluster, coarse, declarative, descent, list_major, manifest, quantize, search, spectral, sums, transforms, tuning, two_level
 from nearfield.operators.ivf import IVF
 from nearfield.plans import offline
 
@@ -394,3 +394,38 @@ def test_an_offline_index_goes_on_and_follows_its_rows(spark, x, tmp_path):
     log.clear()
     offline.offline_index(spark, path, v.where("vec_id <> 7"), q, 4, 2, 5, 2, 3, log)
     assert {h for _, h in log} == {"made"}
+
+
+# spectral hash
+
+
+@pytest.mark.parametrize("threshold", ["global", "centroid", "half", "median"])
+def test_spectral_codes_are_brute_force(spark, x, threshold):
+    v, q = table(spark, x), queries(spark, x[:8])
+    fit = spectral.SpectralIVF(4, 12, 9.0, threshold).fit(v, 3)
+    fit.add(v)
+    c, codec = fit.index.centroids, fit.index.codec
+    no = ((x[:, None].astype(np.float64) - c[None]) ** 2).sum(2).argmin(1)
+    y = x.astype(np.float64) @ codec.projection.a.T + codec.projection.b
+    if threshold == "median":
+        for i in range(4):
+            assert np.allclose(codec.thresholds[i], np.sort(y[no == i], 0)[(int((no == i).sum()) - 1) // 2], atol=0.2)
+    else:
+        want = {"global": 0 * c[:, :12], "centroid": c @ codec.projection.a.T + codec.projection.b, "half": c @ codec.projection.a.T + codec.projection.b - 2.25}[threshold]
+        assert np.allclose(codec.thresholds, want)
+    bits = lambda y, i: np.floor((y - codec.thresholds[i]) * 2 / 9.0).astype(int) % 2
+    own = np.array([bits(y[j], no[j]) for j in range(400)])
+    got = fit.search(q, 400, 4).collect()
+    assert len(got) == 8 * 400
+    for r in got[::37]:
+        assert r["distance"] == (bits(y[r["query_id"]], no[r["vec_id"]]) != own[r["vec_id"]]).sum()
+
+
+def test_spectral_shortlists_carry_the_recall(spark, x):
+    v, q = table(spark, x), queries(spark, x[:30] + 0.05)
+    # a period of some four deviations of a projection; a shortlist of 9 % of the rows
+    fit = spectral.SpectralIVF(4, 64, 4.4).fit(v, 3, projection=transforms.random_rotation(16, 64)).add(v)
+    found, exact = as_rows(fit.refine(q, v, 3, 36, 4)), as_rows(search.knn(q, v, 3))
+    assert len({(r[0], r[2]) for r in found} & {(r[0], r[2]) for r in exact}) >= 0.9 * len(exact)
+    with pytest.raises(ValueError, match="odd"):
+        spectral.SpectralIVF(4, 4, 1.0, "odd").fit(v, 1)

@@ -84,7 +84,7 @@ class Index:
     """fit, add and search of a factory string's plan over DataFrames."""
 
     def __init__(self, text: str, metric: str = "l2") -> None:
-        self.spec, self.metric = parse(text), metric
+        self.text, self.spec, self.metric = text, parse(text), metric
         self.chain = transforms.Chain()
         self.inner: IVF | DataFrame | None = None
         self.raw: DataFrame | None = None

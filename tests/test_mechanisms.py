@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import binary, cluster, coarse, declarative, descent, list_major, manifest, quantize, search, spectral, sums, transforms, tuning, two_level
-from nearfield.operators.ivf import IVF
-from nearfield.plans import offline
+from nearfield.operators import binary, cluster, coarse, declarative, descent, graph, list_major, manifest, quantize, search, spectral, sums, transforms, tuning, two_level
+from nearfield.operators.ivf import IVF, RefinedIVF
+from nearfield.plans import offline, store
+from nearfield.plans.factory import Index
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -429,3 +430,45 @@ def test_spectral_shortlists_carry_the_recall(spark, x):
     assert len({(r[0], r[2]) for r in found} & {(r[0], r[2]) for r in exact}) >= 0.9 * len(exact)
     with pytest.raises(ValueError, match="odd"):
         spectral.SpectralIVF(4, 4, 1.0, "odd").fit(v, 1)
+
+
+# saving and loading
+
+
+KINDS = ["IVF4,Flat", "PCA8,IVF4,SQ8", "L2norm,OPQ4,PQ4x4,RFlat", "IVF4,RQ2x3", "LSQ2x3", "LSH16rt,RFlat", "ITQ8,LSH8,RFlat", "HNSW8", "RR8,NSG8"]
+
+
+@pytest.mark.parametrize("text", KINDS)
+def test_factory_indexes_come_back(spark, x, tmp_path, text):
+    v, q = table(spark, x[:150]), queries(spark, x[:8])
+    index = Index(text).fit(v).add(v)
+    store.save(spark, index, f"file://{tmp_path}/index")
+    again = store.load(spark, f"file://{tmp_path}/index")
+    assert as_rows(again.search(q, 4, nprobe=2)) == as_rows(index.search(q, 4, nprobe=2))
+
+
+def test_other_indexes_come_back(spark, x, tmp_path):
+    v, q = table(spark, x[:150]), queries(spark, x[:8])
+    b = binary.to_binary(v)
+    words = b.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("words").alias("qw"))
+    refined = RefinedIVF(IVF(4, codec=quantize.ProductQuantizer(4, 3), by_residual=True), quantize.ProductQuantizer(8, 3)).fit(v, 2).add(v)
+    every = {
+        "additive": (coarse.AdditiveIVF(0).fit(v, 2, 2, 2).add(v), lambda i: i.search(q, 4, 4)),
+        "refined": (refined, lambda i: i.search(q, 4, 2)),
+        "binary": (binary.BinaryIVF(3, 16).fit(b, 2).add(b), lambda i: i.search(words, 4, 2)),
+        "spectral": (spectral.SpectralIVF(3, 8, 9.0, "median").fit(v, 2).add(v), lambda i: i.search(q, 4, 2)),
+        "cells": (coarse.MultiIndex.fit(v, 2, 2, 2).add(v), lambda i: i.search(q, 4, 30)),
+        "graph": (graph.build(v, 8), lambda i: graph.merged(graph.search(i, q, 4, 20), 4)),
+        "levels": (two_level.TwoLevel(3, 2, 2).fit(v), lambda i: i.assign(v).select(F.col("vec_id").alias("query_id"), F.col("coarse_no").alias("rank"), F.col("list_no").alias("vec_id"), F.col("list_dist").alias("distance"))),
+    }
+    for name, (index, use) in every.items():
+        store.save(spark, index, f"file://{tmp_path}/{name}")
+        again = store.load(spark, f"file://{tmp_path}/{name}")
+        assert as_rows(use(again)) == as_rows(use(index)), name
+    lists = store.load(spark, f"file://{tmp_path}/additive").lists
+    assert "PartitionFilters: [isnotnull(list_no" in lists.where("list_no = 3")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="elsewhere"):
+        store.save(spark, store.load(spark, f"file://{tmp_path}/cells"), f"file://{tmp_path}/cells")
+    manifest.remove(spark, f"file://{tmp_path}/cells/{manifest.NAME}")
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, f"file://{tmp_path}/cells")

@@ -12,6 +12,7 @@ from nearfield.operators import binary, cluster, declarative, descent, evaluate,
 from nearfield.operators.coarse import AdditiveIVF, MultiIndex
 from nearfield.operators.ivf import IVF, probes
 from nearfield.operators.list_major import list_major_search
+from nearfield.operators.sparse import sparse_assign, to_sparse
 from nearfield.operators.spectral import SpectralIVF
 from nearfield.operators.transforms import Linear
 from nearfield.operators.tuning import ParameterSpace
@@ -247,3 +248,17 @@ def spectral_lists(spark, sf: str) -> DataFrame:
     v = V(spark, sf)
     index = SpectralIVF(16, 32, 0.5).fit(v, centroids=first_centroids(v, 16), projection=Linear(np.eye(32, 64)))
     return index.add(v).search(Q(v), 10, 4)
+
+
+_SPARSE = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(CAST(x AS DOUBLE)) > 0.1 THEN CAST(x AS DOUBLE) ELSE 0 END) AS v FROM embeddings)"
+
+
+@query(f"WITH {_SPARSE}, c AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS list_no, v AS q FROM v QUALIFY list_no < 16) SELECT vec_id, CAST(len(list_filter(any_value(v), lambda x: x <> 0)) AS INTEGER) AS n, arg_min(list_no, (round({_D['l2']}, 9), list_no)) AS list_no FROM v, c GROUP BY vec_id")
+def sparse_lists(spark, sf: str) -> DataFrame:
+    """Components over 0.1 as sparse rows, and the nearest of the first sixteen for each."""
+    rows = to_sparse(V(spark, sf), 0.1)
+    first = rows.orderBy("vec_id").limit(16).collect()
+    c = np.zeros((len(first), 64))
+    for i, r in enumerate(first):
+        c[i, r["dims"]] = r["vals"]
+    return sparse_assign(rows, c).select("vec_id", F.size("dims").alias("n"), "list_no")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import binary, cluster, coarse, declarative, descent, graph, list_major, manifest, quantize, search, spectral, sums, transforms, tuning, two_level
+from nearfield.operators import binary, cluster, coarse, declarative, descent, graph, list_major, manifest, quantize, search, sparse, spectral, sums, transforms, tuning, two_level
 from nearfield.operators.ivf import IVF, RefinedIVF
 from nearfield.plans import offline, store
 from nearfield.plans.factory import Index
@@ -472,3 +472,30 @@ def test_other_indexes_come_back(spark, x, tmp_path):
     manifest.remove(spark, f"file://{tmp_path}/cells/{manifest.NAME}")
     with pytest.raises(FileNotFoundError):
         store.load(spark, f"file://{tmp_path}/cells")
+
+
+# sparse rows
+
+
+def test_sparse_kmeans_is_the_dense_one(spark, x, monkeypatch):
+    monkeypatch.setattr(sparse, "PRODUCTS", 2000)
+    y = np.where(np.abs(x) > 2, x, 0).astype(np.float32)
+    y[7] = 0
+    v = table(spark, y).repartition(3)
+    rows = sparse.to_sparse(v)
+    start = y[[0, 50, 90, 200, 300]].astype(np.float64)
+    dense, own = cluster.KMeans(5, 6).fit(v, init=start), sparse.sparse_kmeans(rows, 5, 16, 6, init=start)
+    assert np.allclose(dense, own, atol=1e-9)
+    a = {r["vec_id"]: (r["list_no"], r["list_dist"]) for r in cluster.assign(v, dense).collect()}
+    b = {r["vec_id"]: (r["list_no"], r["list_dist"]) for r in sparse.sparse_assign(rows, dense).collect()}
+    assert a.keys() == b.keys() and all(a[i][0] == b[i][0] and abs(a[i][1] - b[i][1]) < 1e-9 for i in a)
+
+
+def test_sparse_starts_and_empty_tables(spark, x):
+    rows = sparse.to_sparse(table(spark, np.concatenate([np.repeat(x[:1], 50, 0), x[:3]])), 1.0)
+    c = sparse.sparse_kmeans(rows, 6, 16, 0)
+    assert len(c) == 3 and len(np.unique(c, axis=0)) == 3
+    assert sparse.sparse_kmeans(rows.limit(0), 3, 16).shape == (0, 16)
+    odd = spark.createDataFrame([(1, [], []), (2, None, None), (3, [2], [1.0])], "vec_id long, dims array<int>, vals array<double>")
+    got = {r["vec_id"]: r["list_dist"] for r in sparse.sparse_assign(odd, np.eye(4)[:2]).collect()}
+    assert got == {1: 1.0, 3: 2.0}

@@ -12,6 +12,8 @@ from nearfield.operators import binary, cluster, declarative, descent, evaluate,
 from nearfield.operators.coarse import AdditiveIVF, MultiIndex
 from nearfield.operators.ivf import IVF, probes
 from nearfield.operators.list_major import list_major_search
+from nearfield.operators.polysemous import Polysemous, histogram
+from nearfield.operators.quantize import ProductQuantizer
 from nearfield.operators.sparse import sparse_assign, to_sparse
 from nearfield.operators.spectral import SpectralIVF
 from nearfield.operators.transforms import Linear
@@ -262,3 +264,25 @@ def sparse_lists(spark, sf: str) -> DataFrame:
     for i, r in enumerate(first):
         c[i, r["dims"]] = r["vals"]
     return sparse_assign(rows, c).select("vec_id", F.size("dims").alias("n"), "list_no")
+
+
+_POLY = (
+    f"{_V}, f AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, v FROM v QUALIFY c < 16), h AS (SELECT unnest(range(0, 8)) AS j)"
+    + ", g AS (SELECT x.vec_id, j, c, list_sum(list_transform(range(8 * j + 1, 8 * j + 9), lambda i: (x.v[i] - f.v[i]) * (x.v[i] - f.v[i]))) AS d FROM v x, f, h)"
+    + ", e AS (SELECT vec_id, j, arg_min(c, (round(d, 9), c)) AS c FROM g GROUP BY vec_id, j)"
+    + ", p AS (SELECT a.vec_id AS query_id, b.vec_id, sum(bit_count(xor(CAST(a.c AS BIGINT), CAST(b.c AS BIGINT)))) AS bits, sum(t.d) AS d FROM e a JOIN e b USING (j) JOIN g t ON t.vec_id = a.vec_id AND t.j = a.j AND t.c = b.c WHERE a.vec_id % 100 = 0 GROUP BY a.vec_id, b.vec_id)"
+)
+
+
+@query(
+    f"WITH {_POLY}, r AS (SELECT query_id, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id) AS rank FROM p WHERE bits <= 10)"
+    " SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance, (SELECT count(*) FROM p WHERE bits > 10) AS skipped FROM r WHERE rank <= 10"
+)
+def polysemous_codes(spark, sf: str) -> DataFrame:
+    """The ten nearest by codes of 32 bits among those that differ in at most ten of them, and how many were skipped."""
+    v = V(spark, sf).select("vec_id", "embedding")
+    first = first_centroids(v, 16)
+    codec = Polysemous(ProductQuantizer(8, 4, np.stack([first[:, 8 * j : 8 * j + 8] for j in range(8)])), 10)
+    index = IVF(1, codec=codec, centroids=np.zeros((1, 64))).add(v)
+    skipped = histogram(codec, Q(v), v).agg(F.coalesce(F.sum(F.when(F.col("bits") > 10, F.col("n"))), F.lit(0)).alias("skipped"))
+    return index.search(Q(v), 10, 1).crossJoin(skipped)  # one row

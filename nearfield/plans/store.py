@@ -7,7 +7,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.operators import binary, coarse, ivf, quantize, spectral, transforms, two_level
+from nearfield.operators import binary, coarse, ivf, polysemous, quantize, spectral, transforms, two_level
 from nearfield.operators.manifest import read_manifest, remove, write_manifest
 from nearfield.plans import factory
 
@@ -25,6 +25,7 @@ FIELDS: dict[type, tuple[str, ...]] = {
     transforms.Chain: ("steps",),
     factory.Index: ("text", "metric", "chain", "inner", "raw", "hash"),
     binary.BitWords: ("bits",),
+    polysemous.Polysemous: ("pq", "most"),
     spectral.SpectralBits: ("projection", "period", "thresholds"),
     **{c: tuple(c.__dataclass_fields__) for c in (quantize.ScalarQuantizer, quantize.ProductQuantizer, quantize.ResidualQuantizer, quantize.LocalSearchQuantizer, quantize.ProductAdditive, quantize.SignHash)},
 }

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import binary, cluster, coarse, declarative, descent, graph, list_major, manifest, quantize, search, sparse, spectral, sums, transforms, tuning, two_level
+from nearfield.operators import binary, cluster, coarse, declarative, descent, graph, list_major, manifest, polysemous, quantize, search, sparse, spectral, sums, transforms, tuning, two_level
 from nearfield.operators.ivf import IVF, RefinedIVF
 from nearfield.plans import offline, store
 from nearfield.plans.factory import Index
@@ -499,3 +499,28 @@ def test_sparse_starts_and_empty_tables(spark, x):
     odd = spark.createDataFrame([(1, [], []), (2, None, None), (3, [2], [1.0])], "vec_id long, dims array<int>, vals array<double>")
     got = {r["vec_id"]: r["list_dist"] for r in sparse.sparse_assign(odd, np.eye(4)[:2]).collect()}
     assert got == {1: 1.0, 3: 2.0}
+
+
+# polysemous codes
+
+
+def test_codes_far_in_bits_are_skipped_at_a_known_recall(spark, x):
+    v, q = table(spark, x), queries(spark, x[:40])
+    codec = polysemous.Polysemous(quantize.ProductQuantizer(4, 4)).fit(v, 4)
+    exact = search.knn(q, v, 5)
+    codec.most = polysemous.threshold(codec, q, v, exact, 0.95)
+    assert 0 < codec.most < 16
+    codes = codec.encode(x.astype(np.float64))
+    bits = np.array([[sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(m, n, strict=True)) for n in codes] for m in codes[:40]])
+    assert np.array_equal(codec.differing(x[:40].astype(np.float64), codes), bits)
+    true = [bits[r["query_id"], r["vec_id"]] for r in exact.collect()]
+    assert np.mean([b <= codec.most for b in true]) >= 0.95 > np.mean([b <= codec.most - 1 for b in true])
+    assert {r["bits"]: r["n"] for r in polysemous.histogram(codec, q, v).collect()} == {int(b): int(n) for b, n in zip(*np.unique(bits, return_counts=True), strict=True)}
+    assert (bits > codec.most).mean() > 0.3
+    index = IVF(1, codec=codec, centroids=np.zeros((1, 16))).add(v)
+    whole = codec.pq.adc(x[:40].astype(np.float64), codes).round(6)
+    whole[bits > codec.most] = np.inf
+    for i, rank, j, d in as_rows(index.search(q, 5, 1)):
+        order = np.lexsort((np.arange(400), whole[i]))
+        assert j == order[rank - 1] and abs(d - whole[i, j]) < 1e-3
+    assert polysemous.threshold(codec, q, v, exact.limit(0)) == 16

@@ -329,11 +329,17 @@ class DedupIVF:
 
     base: IVF
 
-    def lists(self) -> DataFrame:
-        return self.base.lists.groupBy("list_no", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    def lists(self, k: int, list_nos: list[int]) -> DataFrame:
+        """Of the given lists the distinct vectors with their k least ids, which are all that a result of k can hold; a task
+        sends k ids of a vector, however many copies it has."""
+        w = Window.partitionBy("list_no", "embedding").orderBy("vec_id")
+        few = self.base.read(list_nos).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+        return few.groupBy("list_no", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
-        rows = probes(queries, self.base.centroids, nprobe).select("query_id", "q", "list_no").join(self.lists(), "list_no")
+        probed = probes(queries, self.base.centroids, nprobe).select("query_id", "q", "list_no")
+        nos = [r[0] for r in probed.select("list_no").distinct().collect()]  # at most nlist
+        rows = probed.join(self.lists(k, nos), "list_no")
         best = rows.select("query_id", F.element_at("ids", 1).alias("vec_id"), "ids", F.round(metric("l2")[0](F.col("q"), F.col("embedding")), 6).alias("distance"))
         w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         best = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.operators import binary, cluster, coarse, declarative, descent, graph, list_major, manifest, polysemous, quantize, search, sparse, spectral, sums, transforms, tuning, two_level
-from nearfield.operators.ivf import IVF, RefinedIVF
+from nearfield.operators.ivf import IVF, DedupIVF, RefinedIVF
 from nearfield.plans import offline, store
 from nearfield.plans.factory import Index
 
@@ -524,3 +524,11 @@ def test_codes_far_in_bits_are_skipped_at_a_known_recall(spark, x):
         order = np.lexsort((np.arange(400), whole[i]))
         assert j == order[rank - 1] and abs(d - whole[i, j]) < 1e-3
     assert polysemous.threshold(codec, q, v, exact.limit(0)) == 16
+
+
+def test_copies_in_lists_are_k_ids_at_most(spark, x):
+    y = np.concatenate([x[:60], np.repeat(x[:1], 90, 0)])
+    v, q = table(spark, y), queries(spark, x[:6])
+    base = IVF(3).fit(v, 2).add(v)
+    assert as_rows(DedupIVF(base).search(q, 7, 2)) == as_rows(base.search(q, 7, 2))
+    assert DedupIVF(base).lists(7, [0, 1, 2]).agg(F.max(F.size("ids"))).first()[0] == 7

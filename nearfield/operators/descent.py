@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,10 +15,14 @@ BLOCK, DIRECTIONS = 64, 3
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, which all executors have to share."""
+    """A fresh path in the folder that spark.checkpoint.dir names, which all executors have to share. Only on one machine,
+    as in tests, a folder of its own is set where it is unset; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/nearfield-shared"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -21,6 +21,7 @@ from nearfield.operators.tuning import ParameterSpace
 from nearfield.operators.two_level import TwoLevel
 from nearfield.plans.offline import offline_index
 from nearfield.plans.queries import _B, _D, _KM, _V, EVERY, TRAINING, Q, V, _calibrated, _ivf_sql, _traced, first_centroids
+from nearfield.sources import vecs
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -286,3 +287,25 @@ def polysemous_codes(spark, sf: str) -> DataFrame:
     index = IVF(1, codec=codec, centroids=np.zeros((1, 64))).add(v)
     skipped = histogram(codec, Q(v), v).agg(F.coalesce(F.sum(F.when(F.col("bits") > 10, F.col("n"))), F.lit(0)).alias("skipped"))
     return index.search(Q(v), 10, 1).crossJoin(skipped)  # one row
+
+
+_FILES = (
+    "WITH x AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS place, embedding AS e, list_transform(embedding, lambda x: CAST(least(greatest(floor((CAST(x AS DOUBLE) + 1) * 128), 0), 255) AS BIGINT)) AS b FROM embeddings WHERE embedding IS NOT NULL)"
+    ", k AS (SELECT unnest(['bvecs', 'fbin', 'fvecs', 'ivecs']) AS kind)"
+)
+
+
+@query(f"{_FILES} SELECT kind, place, CAST(len(e) AS INTEGER) AS d, CASE WHEN kind IN ('fvecs', 'fbin') THEN round(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE))), 5) ELSE CAST(list_sum(b) AS DOUBLE) END AS total FROM x, k")
+def vector_files(spark, sf: str) -> DataFrame:
+    """All vectors as files of the four kinds (as bytes and whole numbers, components by 128 from -1 up), read back; a
+    vector's place is its rank by id."""
+    v = V(spark, sf).where("embedding is not null").select("vec_id", "embedding")
+    whole = v.withColumn("embedding", F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 128), F.lit(0)), F.lit(255)).cast("int")))
+    out = None
+    for kind in sorted(vecs.KINDS):
+        path = descent.shared_path(spark, kind)
+        vecs.write_vecs(v if kind in ("fvecs", "fbin") else whole, path, kind)
+        total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+        part = vecs.read_vecs(spark, path, kind=kind).select(F.lit(kind).alias("kind"), F.col("vec_id").alias("place"), F.size("embedding").alias("d"), F.round(total, 5).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import binary, cluster, declarative, descent, evaluate, graph, search
 from nearfield.operators.coarse import AdditiveIVF, MultiIndex
-from nearfield.operators.ivf import IVF, probes
+from nearfield.operators.ivf import IVF, RefinedIVF, hash_search, probes
 from nearfield.operators.list_major import list_major_search
 from nearfield.operators.polysemous import Polysemous, histogram
-from nearfield.operators.quantize import ProductQuantizer
+from nearfield.operators.quantize import ProductQuantizer, SignHash
 from nearfield.operators.sparse import sparse_assign, to_sparse
 from nearfield.operators.spectral import SpectralIVF
 from nearfield.operators.transforms import Linear
@@ -309,3 +309,63 @@ def vector_files(spark, sf: str) -> DataFrame:
         part = vecs.read_vecs(spark, path, kind=kind).select(F.lit(kind).alias("kind"), F.col("vec_id").alias("place"), F.size("embedding").alias("d"), F.round(total, 5).alias("total"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _part(a: str, b: str) -> str:
+    """Squared distance of the eight components of part j."""
+    return f"list_sum(list_transform(range(8 * j + 1, 8 * j + 9), lambda i: ({a} - {b}) * ({a} - {b})))"
+
+
+#: Books of eight parts that SQL can state: the first sixteen vectors' slices, halved for what the lists leave over.
+_ADC = (
+    f"WITH {_KM}, pr AS (SELECT query_id, list_no, row_number() OVER (PARTITION BY query_id ORDER BY round(list_sum(list_transform(range(1, len(w) + 1), lambda i: (w[i] - c[i]) * (w[i] - c[i]))), 9), list_no) AS probe FROM (SELECT query_id, q AS w FROM q) s, (SELECT list_no, q AS c FROM c) t)"
+    + ", f AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, v FROM v QUALIFY c < 16), h AS (SELECT unnest(range(0, 8)) AS j)"
+    + ", r AS (SELECT vec_id, list_no, list_transform(range(1, 65), lambda i: CAST(CAST(v.v[i] - c.q[i] AS FLOAT) AS DOUBLE)) AS r FROM a JOIN v USING (vec_id) JOIN c USING (list_no))"
+    + f", e AS (SELECT vec_id, j, arg_min(c, (round({_part('r.r[i]', 'f.v[i] / 2')}, 9), c)) AS c FROM r, f, h GROUP BY vec_id, j)"
+    + f", t AS (SELECT query_id, list_no, j, f.c, {_part('q.q[i] - c.q[i]', 'f.v[i] / 2')} AS d FROM pr JOIN q USING (query_id) JOIN c USING (list_no), f, h WHERE probe <= 4)"
+    + ", p AS (SELECT query_id, vec_id, round(sum(d), 6) AS distance FROM t JOIN a USING (list_no) JOIN e USING (vec_id, j, c) GROUP BY query_id, vec_id)"
+    + ", z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)"
+)
+
+
+def _stated_pq(v: DataFrame) -> IVF:
+    first = first_centroids(v, 16)
+    return IVF(16, codec=_slices(first / 2), by_residual=True, centroids=first)
+
+
+def _slices(x: np.ndarray) -> ProductQuantizer:
+    return ProductQuantizer(8, 4, np.stack([x[:, 8 * j : 8 * j + 8] for j in range(8)]))
+
+
+@query(f"{_ADC} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 5) AS distance FROM z WHERE rank <= 10")
+def residual_codes(spark, sf: str) -> DataFrame:
+    """The ten nearest in four of sixteen lists by product codes of what the centroids leave over, from stated books."""
+    v = V(spark, sf).select("vec_id", "embedding")
+    return _stated_pq(v).add(v).search(Q(v), 10, 4).withColumn("distance", F.round("distance", 5))
+
+
+@query(
+    f"{_ADC}, y AS (SELECT e.vec_id, e.j, list_transform(range(8 * e.j + 1, 8 * e.j + 9), lambda i: CAST(CAST(f.v[i] / 2 AS FLOAT) + c.q[i] AS FLOAT)) AS y FROM e JOIN f ON f.c = e.c JOIN a ON a.vec_id = e.vec_id JOIN c ON c.list_no = a.list_no)"
+    + ", l AS (SELECT vec_id, j, y, list_transform(range(1, 9), lambda i: CAST(CAST(v.v[8 * j + i] - y[i] AS FLOAT) AS DOUBLE)) AS l FROM y JOIN v USING (vec_id))"
+    + ", g AS (SELECT vec_id, j, any_value(y) AS y, arg_min(c, (round(list_sum(list_transform(range(1, 9), lambda i: (l.l[i] - f.v[8 * j + i] / 4) * (l.l[i] - f.v[8 * j + i] / 4))), 9), c)) AS c FROM l, f GROUP BY vec_id, j)"
+    + ", w AS (SELECT z.query_id, z.vec_id, round(sum(list_sum(list_transform(range(1, 9), lambda i: (q.q[8 * g.j + i] - CAST(g.y[i] + CAST(f.v[8 * g.j + i] / 4 AS FLOAT) AS FLOAT)) ** 2))), 6) AS distance FROM z JOIN g USING (vec_id) JOIN f ON f.c = g.c JOIN q ON q.query_id = z.query_id WHERE rank <= 40 GROUP BY z.query_id, z.vec_id)"
+    + ", x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM w) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 5) AS distance FROM x WHERE rank <= 10"
+)
+def refined_codes(spark, sf: str) -> DataFrame:
+    """residual_codes' forty nearest, ranked again by a second code of what the first leaves over, without raw vectors."""
+    v = V(spark, sf).select("vec_id", "embedding")
+    index = RefinedIVF(_stated_pq(v), _slices(first_centroids(v, 16) / 4), k_factor=4).add(v)
+    return index.search(Q(v), 10, 4).withColumn("distance", F.round("distance", 5))
+
+
+_SIGNS = f"{_V}, b AS (SELECT vec_id, list_transform(range(1, 49), lambda i: v[i] >= 0.02) AS b FROM v)"
+
+
+@query(
+    f"WITH {_SIGNS}, p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(len(list_filter(range(1, 49), lambda i: a.b[i] <> b.b[i])) AS DOUBLE) AS distance FROM b a, b WHERE a.vec_id % 100 = 0)"
+    ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM r WHERE rank <= 10"
+)
+def sign_codes(spark, sf: str) -> DataFrame:
+    """The ten of least Hamming distance by 48 signs: the first components against a threshold."""
+    v = V(spark, sf)
+    return hash_search(Q(v), v, SignHash(48, np.eye(48, 64), 0.02), 10)

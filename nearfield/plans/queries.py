@@ -322,11 +322,16 @@ def ivf_all_probes(spark, sf):
     return index.search(q, 10, 16)
 
 
+def shortlist(v: DataFrame, k: int = 10) -> int:
+    """A fiftieth of all rows, or four times the k results where those are more."""
+    return max(4 * k, v.count() // 50)
+
+
 @digested("knn_l2")
 def ivf_pq(spark, sf):
-    """A code of 32 bits ranks too coarsely for a shortlist of fixed length: a third of all rows are refined."""
+    """Codes of 32 bytes carry the recall: a fiftieth of all rows are refined, 40 at least."""
     v = V(spark, sf)
-    found = IVF(16, codec=quantize.ProductQuantizer(8, 4), by_residual=True).fit(v, 4).add(v).search(Q(v), max(100, -(-v.count() // 3)), 14)
+    found = IVF(16, codec=quantize.ProductQuantizer(32, 8), by_residual=True).fit(v, 4).add(v).search(Q(v), shortlist(v), 14)
     return search.rerank(found, Q(v), v, 10)
 
 
@@ -341,8 +346,8 @@ def ivf_sq8(spark, sf):
 def ivf_pqr(spark, sf):
     """Two codes, of vectors and of what the first leaves over; raw vectors only give the results' distances."""
     v = V(spark, sf)
-    base = IVF(16, codec=quantize.ProductQuantizer(16, 6), by_residual=True)
-    found = RefinedIVF(base, quantize.ProductQuantizer(64, 6), k_factor=40).fit(v, 4).add(v).search(Q(v), 10, 16)
+    base = IVF(16, codec=quantize.ProductQuantizer(32, 6), by_residual=True)
+    found = RefinedIVF(base, quantize.ProductQuantizer(32, 8), k_factor=-(-shortlist(v) // 10)).fit(v, 4).add(v).search(Q(v), 10, 16)
     return search.rerank(found, Q(v), v, 10)
 
 
@@ -398,6 +403,8 @@ def _factory(text: str, bound: float = 0.9, share: int = 0, **how):
 _factory("PCA32,IVF8,Flat,RFlat", nprobe=8, k_factor=20, share=10)
 for _t in ("PQ8x4,RFlat", "IVF8,RQ4x4,RFlat", "LSQ4x4,RFlat", "LSH64rt,RFlat", "OPQ8,PQ8x4,RFlat", "ITQ32,LSH32,RFlat"):
     _factory(_t, share=2 if "4x4" in _t or "ITQ" in _t else 3, nprobe=8)
+for _t in ("PQ32x8,RFlat", "IVF8,SQ6,RFlat"):
+    _factory(_t, share=50, nprobe=8)
 for _t in ("HNSW16", "NSG24"):
     _factory(_t)
 

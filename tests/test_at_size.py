@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import declarative, graph, search
+from nearfield.operators import declarative, descent, graph, search
 from nearfield.plans import queries
 
 
@@ -36,3 +36,22 @@ def test_tasks_that_share_a_shard_find_the_same(spark, table):
     for f in (lambda s: graph.search(g, q, 5, 20, slices=s), lambda s: graph.search(g, q, 5, radius=1.0, slices=s), lambda s: declarative.trace(g, q, truth, 5, 20, slices=s)):
         assert sorted(f(3).collect()) == sorted(f(1).collect())
     g.unpersist()
+
+
+def test_queues_follow_shards():
+    assert graph.width(64, 500) == graph.width(64, 2000) == 64
+    assert graph.width(64, 8000) == 128 and graph.width(64, 20_000) == graph.width(64, 600_000) == 203
+
+
+def test_wider_lists_find_more_of_the_nearest(spark):
+    x = np.random.default_rng(2).normal(size=(1500, 24))  # hard: no clusters
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").cache()
+    d = ((x[:150, None] - x[None]) ** 2).sum(2)
+    near = [set(r) for r in np.argsort(d, axis=1)[:, 1:9].tolist()]
+
+    def found(wide):
+        rows = descent.neighbour_descent(v, 8, rounds=5, wide=wide).where("vec_id < 150").collect()
+        assert max(r["rank"] for r in rows) == 8 and len(rows) == 1200
+        return np.mean([r["neighbor"] in near[r["vec_id"]] for r in rows])
+
+    assert found(16) > found(None) + 0.03

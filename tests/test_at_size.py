@@ -55,3 +55,60 @@ def test_wider_lists_find_more_of_the_nearest(spark):
         return np.mean([r["neighbor"] in near[r["vec_id"]] for r in rows])
 
     assert found(16) > found(None) + 0.03
+
+
+def test_fits_have_no_more_parts_than_rows_need(spark, monkeypatch):
+    seen = []
+
+    class Fit:
+        def __init__(self, **how):
+            pass
+
+        def fit(self, table):
+            seen.append((table.rdd.getNumPartitions(), table.count()))
+
+    monkeypatch.setattr(declarative, "GBTRegressor", Fit)
+    monkeypatch.setattr(declarative, "export", lambda model, names: None)
+    # as a shuffle leaves it: many parts, few rows
+    log = spark.range(0, 900, 1, 60).select(F.col("id").alias("a"), (F.col("id") % 3).alias("r"))
+    declarative.train(log, ["a"])
+    monkeypatch.setattr(declarative, "FIT_ROWS", 300)
+    declarative.train(log, ["a"])
+    assert seen == [(1, 900), (3, 900)]
+
+
+def test_a_threshold_takes_one_pass_over_the_log(spark, monkeypatch):
+    rows = [(q, 0.5 if s < 3 else 1.0, 0.01 * q + 0.001 * s) for q in range(40) for s in range(5)]
+    log = spark.createDataFrame(rows, "qid long, r double, p double")
+    passes = spark.sparkContext.accumulator(0)
+
+    def predicted(log, model):
+        def run(batches):
+            passes.add(1)
+            yield from batches
+
+        return log.coalesce(1).mapInArrow(run, log.schema)
+
+    monkeypatch.setattr(declarative, "predicted", predicted)
+    # rank ceil(41 * 0.95) = 39 of 40: query 38's last prediction below the target
+    assert declarative.threshold(log, None, 0.9) == pytest.approx(0.382)
+    assert passes.value == 1
+    assert declarative.threshold(log.where("qid < 5"), None, 0.9) == np.inf
+
+
+def test_pruned_links_are_those_of_the_plain_rule():
+    x = np.random.default_rng(4).normal(size=(200, 6))
+    x[50:60] = x[0]  # copies
+
+    def plain(at, candidates, degree):
+        kept = []
+        d = ((x[candidates] - x[at]) ** 2).sum(1)
+        for i in np.argsort(d, kind="stable"):
+            c = candidates[i]
+            if c != at and c not in kept and all(((x[j] - x[c]) ** 2).sum() >= d[i] for j in kept):
+                kept.append(c)
+        return kept[:degree]
+
+    near = graph.exact_neighbors(x, 40)
+    for at in [0, 7, 55, 120]:
+        assert graph.prune(x, at, list(near[at]), 8) == plain(at, list(near[at]), 8)

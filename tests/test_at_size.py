@@ -112,3 +112,23 @@ def test_pruned_links_are_those_of_the_plain_rule():
     near = graph.exact_neighbors(x, 40)
     for at in [0, 7, 55, 120]:
         assert graph.prune(x, at, list(near[at]), 8) == plain(at, list(near[at]), 8)
+
+
+def test_each_slice_of_a_graph_has_a_task_of_its_own(spark):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(rng.normal(size=(90, 6)))], "vec_id long, embedding array<float>")
+    g = graph.build(v, 6, shard_points=45).persist()
+    got = graph.dealt(g, 8).select(F.spark_partition_id().alias("task"), "shard", "slice").distinct().collect()
+    assert len(got) == 16 and len({r["task"] for r in got}) == 16
+    assert graph.dealt(g, 8).rdd.getNumPartitions() == 16
+    g.unpersist()
+
+
+def test_points_pruned_side_by_side_keep_what_each_keeps_alone():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 5)), np.repeat(rng.normal(size=(5, 5)), 4, axis=0)])
+    lists = [rng.choice(len(x), rng.integers(0, 40), replace=i % 3 == 0).tolist() for i in range(len(x))]
+    for i, own in enumerate(lists):
+        if i % 4 == 0:
+            own.append(i)
+    assert graph.prune_all(x, list(range(len(x))), lists, 6, block=7) == [graph.prune(x, i, own, 6) for i, own in enumerate(lists)]

@@ -132,3 +132,15 @@ def test_points_pruned_side_by_side_keep_what_each_keeps_alone():
         if i % 4 == 0:
             own.append(i)
     assert graph.prune_all(x, list(range(len(x))), lists, 6, block=7) == [graph.prune(x, i, own, 6) for i, own in enumerate(lists)]
+
+
+def test_parts_of_a_fit_are_whole_rounds_of_the_cores(spark, monkeypatch):
+    class Seen:
+        def fit(self, table):
+            self.parts = table.rdd.getNumPartitions()
+
+    cores, seen = spark.sparkContext.defaultParallelism, Seen()
+    monkeypatch.setattr(declarative, "FIT_ROWS", 10)
+    rows = spark.range(10 * (2 * cores - 1)).selectExpr("double(id) AS a", "double(id) AS r").repartition(4 * cores)
+    declarative._fit(seen, rows, ["a"], "r")
+    assert seen.parts == cores

@@ -21,6 +21,12 @@ GROUP_IDS = 4 << 20
 SEGMENT_IDS = 1 << 16
 
 
+def _ends_plainly(word: bytes) -> bool:
+    """Whether the last character is an ASCII letter or digit, or a Latin letter of two bytes."""
+    last = word[-2:].decode(errors="ignore")[-1:]
+    return word[-1:].isalnum() or ("\xc0" <= last < "\u0250" and last.isalpha())
+
+
 class WordIds:
     """Ids of a .json tokenizer whose pre-tokenizer parts words at white space, as little-endian u16 bytes.
 
@@ -41,34 +47,57 @@ class WordIds:
         self.folds = self._same("Aa Zz The", "aa zz the")
         if not self._same("ab  cd\n\tab,\r cd\x0b\x0cab ", "ab cd ab, cd ab") or self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} doesn't part words at white space and drop it, or has over 65,536 ids")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        # marks that are a word of their own behind a letter or digit, however many; apostrophes begin words, "<|" special strings
+        self.marks = b".,#$%&*" if self._same("ab,$$ 12.#%&* c*", "ab ,$$ 12 .#%&* c *") else b""
         self.known: dict[bytes, bytes] = {}
 
     def _same(self, a: str, b: str) -> bool:
         return self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(b, add_special_tokens=False).ids
 
     def learn(self, runs: list[bytes]) -> None:
-        known, whole, tails = self.known, [], []
+        known, words, rest, whole, tails = self.known, [], [], [], []
         for r in runs:
-            # "word," is "word" and ","; the rest after it has to end in a letter or digit, or marks would join
-            if len(r) > 1 and r[-1] in b".," and r[-2:-1].isalnum():
-                tails.append(r)
-                if r[:-1] not in known:
-                    whole.append(r[:-1])
+            core = r.rstrip(self.marks)
+            # "word,$" is "word" and ",$"; the rest before it has to end in a letter or digit, or marks would join
+            if len(core) < len(r) and b"<|" not in r and _ends_plainly(core):
+                tails.append((r, core, r[len(core) :]))
             else:
                 whole.append(r)
-        whole = list(dict.fromkeys([*whole, *(b".,"[i : i + 1] for i in range(2) if b".,"[i : i + 1] not in known)]))
-        for r, e in zip(whole, self.tokenizer.encode_batch_fast([r.decode() for r in whole], add_special_tokens=False), strict=True):
-            known[r] = np.array(e.ids, dtype="<u2").tobytes()
-        for r in tails:
-            known[r] = known[r[:-1]] + known[r[-1:]]
+        for r in {x for _, *both in tails for x in both if x not in known}.union(whole):
+            (words if r.isalpha() or not r.isascii() and r.decode().isalpha() else rest).append(r)
+        for lo in range(0, len(words), 1000):
+            self._letters(words[lo : lo + 1000])
+        self._each(rest)
+        for r, core, tail in tails:
+            known[r] = known[core] + known[tail]
+
+    def _each(self, runs: list[bytes]) -> None:
+        for r, e in zip(runs, self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False), strict=True):
+            self.known[r] = np.array(e.ids, dtype="<u2").tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of letters alone, encoded as one text and cut where an id ends a word: a word has one such id. If there are
+        more or fewer than words, each is encoded by itself."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u2")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self._each(words)
+            return
+        raw, at = ids.tobytes(), 0
+        for r, end in zip(words, ends, strict=True):
+            self.known[r] = raw[2 * at : 2 * end]
+            at = end
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [(t.lower() if self.folds and b"<|" not in t else t).split() for t in texts]
         known = self.known
-        new = set().union(*split).difference(known)
+        met = set().union(*split)
+        new = met.difference(known)
         if new and len(known) + len(new) > CACHE_ENTRIES:
-            known.clear()
-            new = set().union(*split)
+            # what this batch has, and so what is frequent, stays
+            known = self.known = {r: known[r] for r in met.difference(new)}
         if new:
             self.learn(list(new))
         return [b"".join(map(known.__getitem__, s)) for s in split]

@@ -244,3 +244,33 @@ def test_fill_in_middle_shuffles_texts_once(spark):
     plan = plan[: plan.index("Initial Plan")]
     made = [x for x in plan.split("\n") if " Exchange hashpartitioning" in x and "ReusedExchange" not in x]
     assert len(made) == 1 and plan.count("ReusedExchange") == 2, plan
+
+
+def test_words_of_letters_are_encoded_together_and_marks_apart(monkeypatch):
+    import public_tokenizers
+
+    from nearfield.llm import token_file
+
+    w = token_file.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    plain = w.tokenizer
+    texts = [
+        "İstanbul ıIJ été$$", "éa café ́x", "don't ab's, it's$", "x<|endoftext|>, a|> foo<|endoftext", "ab$'s ab,'t", "한글 ᄒ ᅡ",
+        "a1b2 12. 3,4 é, é.. ß$$ ＡＢ ½ Ⅳ ʰx ǅ", "ab..,, #ab# $5 a&&b * ×$ 中$", "", " ".join(f"{a}{b}e{c}" for a in "abcd" for b in "xyzé" for c in ("", "$$", ",")),
+    ]
+    texts = [t.encode() for t in texts]
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, runs, add_special_tokens):
+            calls.append(len(runs))
+            return plain.encode_batch_fast(runs, add_special_tokens=add_special_tokens)
+
+    w.tokenizer = Counted()
+    monkeypatch.setattr(token_file, "CACHE_ENTRIES", 20)
+    for some in (texts, texts[::-1], texts[5:]):
+        for t in some:
+            assert w([t])[0] == b"".join(i.to_bytes(2, "little") for i in plain.encode(t.decode(), add_special_tokens=False).ids)
+    calls.clear()
+    w.known.clear()
+    w([texts[-1]])
+    assert calls[0] == 1 and sum(calls) <= 3  # sixteen words in one text; before, and with marks, one each

@@ -15,16 +15,127 @@ from nearfield.llm.range_coder import BLOCK_IDS, Prior, decode_blocks, encode_bl
 
 #: Entries that a worker keeps of the ids of words it has met.
 CACHE_ENTRIES = 250_000
-#: Ids that a worker codes at a time: some five hundred blocks side by side.
-GROUP_IDS = 4 << 20
+#: Ids that a worker codes at a time: some two thousand blocks side by side.
+GROUP_IDS = 8 << 20
 #: A segment is closed at so many ids; it holds whole documents, however long.
 SEGMENT_IDS = 1 << 16
 
 
 def _ends_plainly(word: bytes) -> bool:
-    """Whether the last character is an ASCII letter or digit, or a Latin letter of two bytes."""
+    """Whether the last character is an ASCII letter or digit, or a Latin letter of two bytes that stays one in lower case."""
     last = word[-2:].decode(errors="ignore")[-1:]
-    return word[-1:].isalnum() or ("\xc0" <= last < "\u0250" and last.isalpha())
+    return word[-1:].isalnum() or ("\xc0" <= last < "\u0250" and last.isalpha() and last != "\u0130")
+
+
+class MarkedWords:
+    """Ids of texts by tiktoken, for a tokenizer of byte-level BPE that lower-cases texts, parts them into runs of letters, single
+    digits, runs of other marks and English endings, drops white space and tells a word's last piece by "</w>".
+
+    A word gets a space behind it, which stands for "</w>". The merges of a character with the space come before all
+    others, so tiktoken begins with the pieces that BPE begins with, and takes the merge of the lowest rank as BPE does. It
+    asks only whether the two pieces together are in the vocabulary; this is the same where every merge makes a piece of its
+    own from earlier ones, and every piece's own bytes merge to it. Both are checked when a file is loaded.
+    """
+
+    #: Tokenizer files that this reads, but for vocabulary and merges.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    }
+    #: Bytes of texts that are read here: ASCII but for control characters, and letters of U+00C0 to U+017F, which NFC leaves.
+    ALLOWED = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+    #: ... but for the signs of multiplication and division, an I that becomes two characters, and special strings.
+    OTHERS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"<|")
+    #: ASCII in lower case, white space as spaces.
+    LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+    #: 0 white space, 1 letters, 2 other marks, 3 digits.
+    KINDS = bytes(0 if b == 32 else 3 if 48 <= b <= 57 else 1 if b >= 128 or 97 <= b <= 122 else 2 for b in range(256))
+    #: A text with a longer word is left to the tokenizer, as tiktoken's merging is quadratic.
+    LONGEST = 1000
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            j = json.load(f)
+        model = j["model"]
+        odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if model["type"] != "BPE" or odd or model.get("end_of_word_suffix") != "</w>" or j["normalizer"] != self.NORMALIZER or j["pre_tokenizer"] != self.PRE_TOKENIZER:
+            raise ValueError("another kind of tokenizer")
+        special = {t["content"]: t["id"] for t in j["added_tokens"]}
+        if any(not t.startswith("<|") for t in special) or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in j["added_tokens"]):
+            raise ValueError("other special strings")
+        # the printable bytes stand for themselves, the others for the code points from 256 on, in order
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+        def marked(piece: str) -> bytes:
+            word = piece.removesuffix("</w>")
+            return bytes(map(byte_of.__getitem__, word)) + b" " * (word != piece)
+
+        vocab = {marked(w): i for w, i in model["vocab"].items() if w not in special}
+        merges = [tuple(map(marked, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        bytes_ = [bytes([b]) for b in range(256)]
+        order = [b + b" " for b in bytes_] + [a + b for a, b in merges]
+        place = {w: i for i, w in enumerate(order)} | {b: -1 for b in bytes_}
+        whole = len(place) == len(order) + 256 and all(place.get(a, len(order)) < i and place.get(b, len(order)) < i for i, (a, b) in enumerate(merges, 256))
+        # a space by itself is no piece here, but tiktoken asks for a rank of every byte
+        order += bytes_
+        if not whole or set(vocab) != set(order):
+            raise ValueError("merges that don't make each piece once, from earlier ones")
+        self.fast = tiktoken.Encoding("marked", pat_str="[^ ]+ ", mergeable_ranks={w: i for i, w in enumerate(order)}, special_tokens={})
+        rank = {w: i for i, w in enumerate(order)}
+        # a piece in front of a byte that no merge has is merged from its bytes, not looked up
+        if any(b"\0" in a + b for a, b in merges) or any(self.fast._encode_single_piece(w + b"\0") != [i, rank[b"\0"]] for w, i in rank.items() if b"\0" not in w):
+            raise ValueError("pieces whose bytes don't merge to them")
+        self.id_of, self.stop = np.array([vocab[w] for w in order], "<u2"), rank[b"\0 "]
+
+    def can(self, text: bytes) -> bool:
+        return not text.translate(None, self.ALLOWED) and not any(x in text for x in self.OTHERS)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of each text, all of which it can; None where a word is too long."""
+        # a zero byte is a word of its own, which stands behind each text
+        joined = b" \0 ".join([b"", *[t.decode().lower().encode() if b"\xc4" in t or b"\xc5" in t else t for t in texts], b""]).translate(self.LOWER)
+        x, kind = np.frombuffer(bytearray(joined), np.uint8), np.frombuffer(joined.translate(self.KINDS), np.uint8)
+        at = np.flatnonzero(x == 0xC3) + 1
+        x[at] += ((x[at] < 0x9F) * 32).astype(np.uint8)
+        left, right = kind[:-1], kind[1:]
+        cut = (left != right) | (left == 3)
+        cut &= left != 0
+        cut &= right != 0
+        if b"'" in joined:
+            self._endings(x, kind, cut)
+        at = np.flatnonzero(cut) + 1
+        apart, keep = np.full(len(x) + len(at), 32, np.uint8), np.ones(len(x) + len(at), bool)
+        keep[at + np.arange(len(at))] = False
+        apart[keep] = x
+        spaces = np.flatnonzero(apart == 32)
+        long = np.flatnonzero(np.diff(spaces) > self.LONGEST)
+        if len(long):
+            stops = np.flatnonzero(apart == 0)
+            skip = set((np.searchsorted(stops, spaces[long]) - 1).tolist())
+            rest = iter(self([t for i, t in enumerate(texts) if i not in skip]))
+            return [None if i in skip else next(rest) for i in range(len(texts))]
+        ranks = self.fast.encode_to_numpy(apart.tobytes().decode(), disallowed_special=())
+        stops, raw = (np.flatnonzero(ranks == self.stop) * 2).tolist(), self.id_of.take(ranks).tobytes()
+        return [raw[a + 2 : b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+    @staticmethod
+    def _endings(x: np.ndarray, kind: np.ndarray, cut: np.ndarray) -> None:
+        """'s, 't, 'm, 'd, 're, 've and 'll are words, if no other mark stands before them."""
+        at = np.flatnonzero(x == 39)
+        at = at[kind[at - 1] != 2]
+        a, b = x[at + 1], x[at + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        cut[at[one | two]] = False
+        for end in (at[one] + 1, at[two] + 2):
+            cut[end] = kind[end + 1] != 0
 
 
 class WordIds:
@@ -103,6 +214,38 @@ class WordIds:
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
+class TextIds:
+    """Ids of texts by MarkedWords, where it knows the file and all characters of a text, and by WordIds otherwise."""
+
+    def __init__(self, path: str) -> None:
+        self.runs = WordIds(path)
+        try:
+            self.marked = MarkedWords(path)
+        except (ValueError, KeyError):  # a file of another kind
+            self.marked = None
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        if self.marked:
+            can = [i for i, t in enumerate(texts) if self.marked.can(t)]
+            for i, x in zip(can, self.marked([texts[i] for i in can]), strict=True):
+                out[i] = x
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(left, self.runs([texts[i] for i in left]), strict=True):
+            out[i] = x
+        return out
+
+
+_text_ids: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
+    """A worker's own, which it keeps from task to task: loading and checking a file takes about a second."""
+    if path not in _text_ids:
+        _text_ids[path] = TextIds(path)
+    return _text_ids[path]
+
+
 def id_segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(shard, segment, start, n_ids, ids, lengths, raw): docs in ascending id order as segments of token ids, raw.
 
@@ -122,7 +265,7 @@ def id_segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        encode = WordIds(path)
+        encode = text_ids(path)
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], dtype="<u2").tobytes()
         names: list = []
@@ -155,7 +298,8 @@ def id_segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
                     yield pack()
         if names:
             yield pack()
-        del encode, parts
+        encode.runs.known = {}
+        del parts
         trim()
 
     # null ids first, then ascending; rows of one id stand by the hashes of their texts, so they can fall into many tasks;

@@ -150,7 +150,7 @@ class _Out:
 
     def __init__(self, n: int, width: int) -> None:
         self.low, self.range = np.zeros(n, _U), np.full(n, 2**64 - 1, _U)
-        self.width = width
+        self.width, self.room = width, width - 4  # a flush adds a word at most, so it needs no look at all streams
         self.words, self.first = np.zeros((n, width), np.uint32), np.arange(n) * width
         self.flat, self.at = self.words.ravel(), self.first.copy()
 
@@ -174,20 +174,23 @@ class _Out:
     def flush(self, k: int) -> None:
         todo = (self.range[:k] < _LEAST).nonzero()[0]
         if len(todo):
-            if self.width - (self.at.take(todo) - self.first.take(todo)).max() < 4:
-                self._grow()
+            if not self.room:
+                self._make_room()
+            self.room -= 1
             low, at = self.low.take(todo), self.at.take(todo)
             self.flat[at] = low >> _WORD
-            self.at[todo] = at + 1
+            self.at[todo] = at + _NEXT
             self.low[todo] = low << _WORD
             self.range[todo] = self.range.take(todo) << _WORD
 
-    def _grow(self) -> None:
+    def _make_room(self) -> None:
         n, used = len(self.low), self.at - self.first
-        self.words = np.concatenate((self.words, np.zeros_like(self.words)), axis=1)
-        self.width *= 2
-        self.first = np.arange(n) * self.width
-        self.flat, self.at = self.words.ravel(), self.first + used
+        if used.max() > self.width // 2:
+            self.words = np.concatenate((self.words, np.zeros_like(self.words)), axis=1)
+            self.width *= 2
+            self.first = np.arange(n) * self.width
+            self.flat, self.at = self.words.ravel(), self.first + used
+        self.room = self.width - 4 - int(used.max())
 
     def ended(self) -> list[bytes]:
         """The streams with one last word; a reader takes those behind it as 0."""
@@ -203,12 +206,13 @@ class _Out:
 class _In:
     """Streams that _Out wrote, as how far the code is above low, and the range."""
 
-    def __init__(self, streams: list[bytes]) -> None:
+    def __init__(self, streams: list[bytes], most: int) -> None:
         n, width = len(streams), max(map(len, streams), default=0) // 4 + 4
-        words = np.zeros((n, width), np.uint32)
+        flat = np.zeros(n * width + most, np.uint32)  # each step reads one word at most: damage doesn't lead beyond
+        words = flat[: n * width].reshape(n, width)
         for j, s in enumerate(streams):
             words[j, : len(s) // 4] = np.frombuffer(s, "<u4")
-        self.flat, self.at, self.last = words.ravel(), np.arange(n) * width + 2, np.arange(1, n + 1) * width - 1
+        self.flat, self.at = flat, np.arange(n) * width + 2
         self.code = words[:, 0].astype(_U) << _WORD | words[:, 1]
         self.range = np.full(n, 2**64 - 1, _U)
 
@@ -221,8 +225,8 @@ class _In:
         if len(todo):
             at = self.at.take(todo)
             self.code[todo] = self.code.take(todo) << _WORD | self.flat.take(at)
-            self.range[todo] = np.maximum(self.range.take(todo), _U(1)) << _WORD  # 0 only in damaged data
-            self.at[todo] = np.minimum(at + 1, self.last.take(todo))
+            self.range[todo] = self.range.take(todo) << _WORD
+            self.at[todo] = at + _NEXT
 
 
 def _lanes(sizes: np.ndarray, longest: int) -> list[int]:
@@ -290,8 +294,8 @@ def _decode_rest(streams: list[bytes], sizes: np.ndarray, prior: Prior) -> np.nd
     """The ids of streams of order 0 in rows, each from the first place on."""
     n, order = len(streams), np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
-    read, bands = _In([streams[i] for i in order.tolist()]), _Bands(n)
     ids = np.zeros((int(sizes[0]) if n else 0, n), np.uint16)
+    read, bands = _In([streams[i] for i in order.tolist()], len(ids)), _Bands(n)
     ones, top, most = np.array(0x0101010101010101, _U), np.array(56, _U), np.array(0xFFFF, _U)
     last = (np.array(1, _U) << prior.bits) - _U(1)
     for t, k in enumerate(_lanes(sizes, len(ids))):
@@ -383,10 +387,11 @@ def decode_blocks(blocks: list[tuple[int, bytes, int]], prior: Prior | None = No
             raise ValueError("a block of token ids fails its checksum: its parts are damaged")
         streams.append(data[PARTS.size : cut])
         rest.append(data[cut:])
-    missed = _decode_rest(rest, left, prior)
+    with np.errstate(divide="ignore"):  # a range of 0 is damage, which the checksum tells
+        missed = _decode_rest(rest, left, prior)
     at = np.arange(n) * missed.shape[1]
     missed = np.append(missed.ravel(), np.zeros(longest + 1, np.uint16))  # damage may ask for more than there are
-    m, parts, read = _Model(n), _Parts(n), _In(streams)
+    m, parts, read = _Model(n), _Parts(n), _In(streams, longest)
     ids, may = np.zeros((longest, n), np.uint16), np.zeros((n, 4), np.uint32)
     for t, k in enumerate(_lanes(sizes, longest)):
         m.start(k)

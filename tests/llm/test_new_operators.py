@@ -274,3 +274,39 @@ def test_words_of_letters_are_encoded_together_and_marks_apart(monkeypatch):
     w.known.clear()
     w([texts[-1]])
     assert calls[0] == 1 and sum(calls) <= 3  # sixteen words in one text; before, and with marks, one each
+
+
+def test_marked_words_are_the_tokenizers():
+    import public_tokenizers
+
+    from nearfield.llm import token_file
+
+    w = token_file.TextIds(public_tokenizers.path("word_bpe_49k.json"))
+    plain = w.runs.tokenizer
+    rng = random.Random(3)
+    parts = [*"abzAZ09'.,!|<>$_-\"\\ \n\t\r\x0b", "'s", "'S", "'re", "'LL", "'ve", "'d", "'x", "''", "É", "é", "ß", "ÿ", "Ÿ", "ł", "Ł", "the", "ing"]
+    texts = ["", "xİ$ İ.", "a" * 1200 + " b", "don't''s 's's 5'm.'d", "<|endoftext|> A", *("".join(rng.choices(parts, k=30)) for _ in range(400))]
+    texts += ["".join(rng.choices([*parts, "İ", "×", "÷", "中", "\x00", "\x1c", "\xa0", "é"], k=20)) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    assert sum(map(w.marked.can, raw)) > 300 and None in w.marked([raw[0], raw[2], raw[3]])
+    assert [np.frombuffer(x, "<u2").tolist() for x in w(raw)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # a word whose lower case ends in a mark isn't parted from the marks behind it
+    assert w.runs(["xİ$".encode()]) == [np.array(plain.encode("xİ$", add_special_tokens=False).ids, "<u2").tobytes()]
+
+
+def test_coder_keeps_rare_ids_and_tells_damage():
+    from nearfield.llm import range_coder
+
+    rng = np.random.default_rng(5)
+    counts = np.zeros(1 << 16, np.int64)
+    counts[rng.choice(1 << 16, 5000, replace=False)] = (10.0 ** rng.uniform(0, 9, 5000)).astype(np.int64)
+    prior, own = range_coder.Prior(counts), np.flatnonzero(counts)
+    blocks = [rng.choice(own, n) for n in (0, 1, 2, 300, 4096)] + [np.repeat(rng.choice(own, 5), 800)] * 2
+    coded = range_coder.encode_blocks(blocks, prior)
+    back = range_coder.decode_blocks([x for c in coded for x in range_coder.split_blocks(c)], prior)
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
+    for at in (17, 21, 24, 60, len(coded[4]) // 2):
+        broken = bytearray(coded[4])
+        broken[at] ^= 0xFF
+        with pytest.raises(ValueError, match="checksum"):
+            range_coder.decode_blocks(range_coder.split_blocks(bytes(broken)), prior)

@@ -55,6 +55,8 @@ class MarkedWords:
     KINDS = bytes(0 if b == 32 else 3 if 48 <= b <= 57 else 1 if b >= 128 or 97 <= b <= 122 else 2 for b in range(256))
     #: A text with a longer word is left to the tokenizer, as tiktoken's merging is quadratic.
     LONGEST = 1000
+    #: Bytes that tiktoken gets at a time.
+    PART = 4 << 20
 
     def __init__(self, path: str) -> None:
         import json
@@ -122,8 +124,14 @@ class MarkedWords:
             skip = set((np.searchsorted(stops, spaces[long]) - 1).tolist())
             rest = iter(self([t for i, t in enumerate(texts) if i not in skip]))
             return [None if i in skip else next(rest) for i in range(len(texts))]
-        # its list of ids is there sooner than its buffer, for which it looks for special strings
-        ranks = np.frombuffer(array("I", self.fast.encode_ordinary(apart.tobytes().decode())), np.uint32)
+        # its list of ids is there sooner than its buffer, for which it looks for special strings; a long text's list is large,
+        # so texts are cut behind spaces
+        found, start = array("I"), 0
+        while start < len(apart):
+            end = int(spaces[np.searchsorted(spaces, start + self.PART, side="right") - 1]) + 1
+            found.extend(self.fast.encode_ordinary(apart[start:end].tobytes().decode()))
+            start = end
+        ranks = np.frombuffer(found, np.uint32)
         stops, raw = (np.flatnonzero(ranks == self.stop) * 2).tolist(), self.id_of.take(ranks).tobytes()
         return [raw[a + 2 : b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
 

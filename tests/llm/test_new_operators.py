@@ -276,11 +276,13 @@ def test_words_of_letters_are_encoded_together_and_marks_apart(monkeypatch):
     assert calls[0] == 1 and sum(calls) <= 3  # sixteen words in one text; before, and with marks, one each
 
 
-def test_marked_words_are_the_tokenizers():
+@pytest.mark.parametrize("part", [4 << 20, 2000])
+def test_marked_words_are_the_tokenizers(monkeypatch, part):
     import public_tokenizers
 
     from nearfield.llm import token_file
 
+    monkeypatch.setattr(token_file.MarkedWords, "PART", part)
     w = token_file.TextIds(public_tokenizers.path("word_bpe_49k.json"))
     plain = w.runs.tokenizer
     rng = random.Random(3)

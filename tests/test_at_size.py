@@ -144,3 +144,18 @@ def test_parts_of_a_fit_are_whole_rounds_of_the_cores(spark, monkeypatch):
     rows = spark.range(10 * (2 * cores - 1)).selectExpr("double(id) AS a", "double(id) AS r").repartition(4 * cores)
     declarative._fit(seen, rows, ["a"], "r")
     assert seen.parts == cores
+
+
+def test_a_graph_of_all_rows_has_ties_by_rounded_distance(spark):
+    # from row 0, rows 1 and 2 are both at 1.0 in six digits, and row 1 is the farther one
+    rows = [(0, [0.0, 0.0]), (1, [1.0000002, 0.0]), (2, [0.0, 1.0]), (3, [5.0, 5.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["neighbor"], r["distance"]) for r in graph.knn_graph(v, 1).collect()}
+    assert got[0] == (1, 1.0)
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(700, 4)).astype(np.float32).astype(float), 3, axis=0)  # copies tie as well
+    w = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    d = np.round(((x[:, None] - x[None]) ** 2).sum(2), 6)
+    d[np.arange(len(x)), np.arange(len(x))] = np.inf
+    want = {(i, r + 1, int(j)) for i, own in enumerate(np.argsort(d, axis=1, kind="stable")[:, :4]) for r, j in enumerate(own)}
+    assert {(r["vec_id"], r["rank"], r["neighbor"]) for r in graph.knn_graph(w, 4, shard_points=500).collect()} == want

@@ -159,3 +159,18 @@ def test_a_graph_of_all_rows_has_ties_by_rounded_distance(spark):
     d[np.arange(len(x)), np.arange(len(x))] = np.inf
     want = {(i, r + 1, int(j)) for i, own in enumerate(np.argsort(d, axis=1, kind="stable")[:, :4]) for r, j in enumerate(own)}
     assert {(r["vec_id"], r["rank"], r["neighbor"]) for r in graph.knn_graph(w, 4, shard_points=500).collect()} == want
+
+
+def test_a_radius_is_of_rounded_distances(spark):
+    # both are nearer than 1.5, but the first is at 1.5 in six digits, which exact search leaves out
+    x = np.zeros((40, 2), np.float32)
+    x[:, 0] = np.linspace(0.1, 0.9, 40)
+    x[0], x[1], x[2] = 0.0, (1.22474474, 0.0), (0.0, 1.2247)
+    d = float((x[1].astype(float) ** 2).sum())
+    assert 1.4999995 < d < 1.5
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x.astype(float))], "vec_id long, embedding array<float>")
+    q = search.queries_of(v, "vec_id = 0")
+    exact = {r["vec_id"] for r in search.range_join(q, v, 1.5).collect()}
+    assert 1 not in exact and 2 in exact
+    g = graph.build(v, 8)
+    assert {r["vec_id"] for r in graph.search(g, q, 5, 64, radius=1.5).collect()} == exact

@@ -38,3 +38,16 @@ def test_blocks_and_tiles_keep_the_results(spark, monkeypatch):
     assert len(search.query_blocks(q, 6)) > 1
     assert sorted(search.knn(q, v, 5, "l1").collect()) == want
     assert search.knn(q.where("query_id < 0"), v, 5).count() == search.knn(q, v.where("vec_id < 0"), 5).count() == 0
+
+
+@pytest.mark.parametrize("name", ["l2", "ip", "l1", "lp"])
+def test_ranges_are_what_the_columns_say(spark, name):
+    v = odd_rows(spark).unionByName(spark.createDataFrame([(505, [None] * 6), (506, [None, *[1.0] * 5]), (None, [1.0] * 6)], "vec_id long, embedding array<float>"))
+    q = search.queries_of(v, "vec_id % 10 = 0 and vec_id < 500")
+    f, greater = metric(name, 3.0)
+    pairs = q.crossJoin(v).select("query_id", "vec_id", F.round(f(F.col("q"), F.col("embedding")), 6).alias("distance")).where("size(embedding) = 6")
+    for radius in (0.4, 3.0, 4.25):  # squares of halves: 4.25 is a distance, which is not inside
+        found = search.range_join(q, v, radius, name, 3.0)
+        assert "NestedLoopJoin" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+        want = pairs.where(F.col("distance") > radius if greater else F.col("distance") < radius)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))

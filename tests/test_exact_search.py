@@ -51,3 +51,13 @@ def test_ranges_are_what_the_columns_say(spark, name):
         assert "NestedLoopJoin" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
         want = pairs.where(F.col("distance") > radius if greater else F.col("distance") < radius)
         assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_best_of_buckets_are_what_a_window_finds(spark, monkeypatch):
+    v = odd_rows(spark)
+    q = search.queries_of(v, "vec_id % 10 = 0 and vec_id < 500")
+    found = search.approximate_top(q, v, 10)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+    got = sorted(found.collect())
+    monkeypatch.setattr(search, "_arrays", lambda *_: False)
+    assert got == sorted(search.approximate_top(q, v.where("size(embedding) = 6"), 10).collect()) and len(got) == 120

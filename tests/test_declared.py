@@ -143,3 +143,46 @@ def test_degrees_of_results(world):
         own.setdefault(r["query_id"], {})[r["rank"]] = deg[r["vec_id"]]
     got = {r["query_id"]: (r["avg_degree"], r["degree_0"]) for r in evaluate.degrees(truth, g, 5).collect()}
     assert got == {i: (sum(x.values()) // 5, x[1]) for i, x in own.items()}
+
+
+def shards_log(spark):
+    """Query 1 has three true neighbours in shard 0 and one in shard 1; query 2 has one that is never found."""
+    rows = [(1, 0, 3, 0 / 3, 0.9, 10, 5), (1, 0, 3, 2 / 3, 0.2, 20, 6), (1, 0, 3, 3 / 3, 0.3, 40, 9)]
+    rows += [(1, 1, 1, 0.0, 0.4, 15, 5), (1, 1, 1, 0.0, 0.7, 30, 7), (1, 1, 1, 1.0, 0.1, 90, 8), (2, 0, 1, 0.0, 0.5, 7, 5)]
+    return spark.createDataFrame(rows, "qid long, shard int, near int, r double, p double, dists int, width int")
+
+
+def test_what_a_stop_needs_is_of_all_shards(spark):
+    log = shards_log(spark)
+    at = lambda value, target, before=False: {r["qid"]: r["s"] for r in declarative.needed(log, F.col(value), target, before).collect()}
+    # two found after 0.9, one after 0.9 as well (it stays the highest), and one after 0.7
+    assert at("p", 0.25, True) == {1: 0.7, 2: math.inf} and at("p", 1.0, True) == {1: 0.9, 2: math.inf}
+    assert at("dists", 0.5) == {1: 20, 2: math.inf} and at("dists", 0.75) == {1: 40, 2: math.inf} and at("dists", 1.0)[1] == 90
+    assert {r["qid"]: r["ef"] for r in declarative.widths(log, 1.0, 64).collect()} == {1: 9, 2: 64}
+
+
+def test_each_shard_has_a_budget_and_a_query_pays_for_all(spark):
+    goal = {(r["qid"], r["shard"]): r["dists_for_max_recall"] for r in evaluate.budget_targets(shards_log(spark)).collect()}
+    assert goal == {(1, 0): 40, (1, 1): 90, (2, 0): 7}
+    found = spark.createDataFrame([(1, 5, 10, 0), (1, 6, 10, 0), (1, 7, 30, 1), (2, 5, 20, 0), (2, 8, 40, 1)], "query_id long, vec_id long, ndis long, shard int")
+    assert graph.cost(found) == 50.0
+
+
+def test_factors_keep_a_promise_over_shards(spark, monkeypatch):
+    log = shards_log(spark)
+    wide = spark.range(3, 60).selectExpr("id AS qid", "0 AS shard", "1 AS near", "1.0D AS r", "0.5D AS p", "10 AS dists", "5 AS width")
+    rows = log.unionByName(wide).where("qid <> 2")
+    monkeypatch.setattr(declarative, "predicted", lambda log, model: log.withColumn("p", F.lit(10.0)))
+    # of 58 queries one needs 90 / 10 to have all, the others 10 / 10
+    assert declarative.factor(rows, rows.select("qid", "shard").distinct(), None, "dists", 1.0) == 1.0
+    assert declarative.factor(rows, rows.select("qid", "shard").distinct(), None, "dists", 1.0, 0.98) == 9.0
+
+
+def test_multiples_of_predictions_end_walks():
+    trees = declarative.Trees([], [], np.zeros(0))  # predicts 0, which counts as 1
+    s = graph.State(2, 50, np.zeros(3), best=[(-1.0, 0), (-2.0, 1)], ndis=60)
+    declarative.width_policy(trees, 7.0)()(s, 3.0)
+    assert s.ef == 7
+    declarative.width_policy(trees, math.inf)()(s, 3.0)
+    assert s.ef == 7  # no narrower than it was
+    assert declarative.budget_policy(trees, 40, 60.0)()(s, 1.0) and not declarative.budget_policy(trees, 40, math.inf)()(s, 1.0)

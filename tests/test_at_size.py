@@ -174,3 +174,20 @@ def test_a_radius_is_of_rounded_distances(spark):
     assert 1 not in exact and 2 in exact
     g = graph.build(v, 8)
     assert {r["vec_id"] for r in graph.search(g, q, 5, 64, radius=1.5).collect()} == exact
+
+
+def test_a_promise_is_of_all_queries(spark, table, monkeypatch):
+    from nearfield.plans import mechanisms
+
+    asked, rows = [], []
+    monkeypatch.setattr(queries, "TRAINING", 20)
+    real, fit = declarative.trace, declarative.train
+    monkeypatch.setattr(declarative, "trace", lambda *a, **b: asked.append(a[1].count()) or real(*a, **b))
+    monkeypatch.setattr(declarative, "train", lambda log, *a: rows.append((log.count(), log.select("qid").distinct().count())) or fit(log, *a))
+    got = mechanisms.promises(spark, table, (0.9,))
+    assert asked[0] == 80 and asked[-1] == 160 and got[0][1] == 80
+    # the model has all rows of all queries
+    g = graph.build(queries.V(spark, table), 12)
+    q = search.queries_of(queries.V(spark, table), "vec_id % 5 = 1")
+    log = real(g, q, search.knn(q, queries.V(spark, table), 10), 10, queries.widest(queries.V(spark, table)), queries.EVERY)
+    assert rows[0][1] == 80 and rows[0][0] >= log.count()
